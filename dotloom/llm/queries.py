@@ -1,9 +1,11 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
 from dotloom.llm.media import op5_media
+from dotloom.llm.spiece import op9_sentencepiece
 
 QUERIES = {
     "op5_media": op5_media,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
