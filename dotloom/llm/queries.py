@@ -2,10 +2,14 @@
 
 from dotloom.llm.media import op5_media
 from dotloom.llm.spiece import op9_sentencepiece
+from dotloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_media": op5_media,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+}
