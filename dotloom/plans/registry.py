@@ -1,4 +1,158 @@
 """Registered queries of the counting operators and their independent SQL checks."""
 
+from pyspark.sql import functions as F
+
+from dotloom.operators import dots as D
+from dotloom.operators import masks as M
+from dotloom.sources import derived as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _add(name, sql):
+    def put(f):
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return put
+
+
+def _inputs(spark, sf):
+    c = S.candidates(spark, sf)
+    return c, S.candidate_runs(c), D.in_bounds(S.dots(spark, sf), S.SIDE)
+
+
+BIN = "CASE WHEN dots<=10 THEN '0-10' WHEN dots<=20 THEN '11-20' WHEN dots<=50 THEN '21-50' WHEN dots<=100 THEN '51-100' ELSE '100+' END"
+
+
+def _recall_sql(bin_: str, r: int) -> str:
+    return S.SQL + f"""per AS (SELECT d.image_id, count(*) AS dots, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand_run c WHERE c.image_id=d.image_id AND abs(c.y-d.yi)<={r} AND d.xi>=c.xs-{r} AND d.xi<c.xe+{r})) AS cov FROM dot d GROUP BY 1)
+SELECT {bin_} AS bin, count(*) AS images, CAST(sum(dots) AS BIGINT) AS dots, round(sum(cov)/CAST(sum(dots) AS DOUBLE),6) AS micro, round(avg(cov/CAST(dots AS DOUBLE)),6) AS macro FROM per GROUP BY 1"""
+
+
+def _recall(name, total, radius):
+    @_add(name, _recall_sql("'ALL'" if total else BIN, radius))
+    def run(spark, sf):
+        _, runs, dots = _inputs(spark, sf)
+        return D.recall_by_bin(D.recall_rows(dots, runs, radius), total)
+
+
+_recall("dot_recall_by_bin", False, 0)
+_recall("dot_recall_total", True, 0)
+_recall("dot_recall_dilated", False, 2)
+
+MATCH = S.SQL + """ca AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1), ga AS (SELECT gt_id, sum(xe-xs) AS g FROM gt_run GROUP BY 1),
+it AS (SELECT c.image_id, c.cand_id, t.gt_id, sum(least(c.xe,t.xe)-greatest(c.xs,t.xs)) AS i FROM cand_run c JOIN gt_run t ON c.image_id=t.image_id AND c.y=t.y AND c.xs<t.xe AND t.xs<c.xe GROUP BY 1,2,3),
+ov AS (SELECT it.image_id, it.cand_id, it.gt_id, i/CAST(a+g-i AS DOUBLE) AS iou, i/CAST(a AS DOUBLE) AS purity, i/CAST(g AS DOUBLE) AS coverage, max(i/CAST(a AS DOUBLE)) OVER (PARTITION BY it.cand_id) AS mp,
+ row_number() OVER (PARTITION BY it.cand_id ORDER BY i/CAST(a+g-i AS DOUBLE) DESC, it.gt_id) AS r FROM it JOIN ca USING (cand_id) JOIN ga USING (gt_id)),
+m AS (SELECT c.image_id, c.cand_id, round(coalesce(iou,0),6) AS iou, round(coalesce(purity,0),6) AS purity, round(coalesce(coverage,0),6) AS coverage,
+ CASE WHEN mp>=0.5 THEN gt.label ELSE -1 END AS matched_class, CASE WHEN mp>=0.5 THEN o.gt_id ELSE -1 END AS matched_instance_id, CAST(CASE WHEN mp>=0.5 THEN 1 ELSE 0 END AS BIGINT) AS valid,
+ CASE WHEN mp IS NULL OR mp<0.5 THEN 'background' WHEN coverage<0.5 AND purity>=0.5 THEN 'part' ELSE 'valid' END AS label_type
+ FROM cand c LEFT JOIN (SELECT * FROM ov WHERE r=1) o ON c.cand_id=o.cand_id LEFT JOIN gt ON gt.gt_id=o.gt_id)
+"""
+
+
+def _matched(spark, sf):
+    c, runs, _ = _inputs(spark, sf)
+    g = S.truths(c)
+    return M.match(c, runs, g, S.truth_runs(g))
+
+
+@_add("match_candidates", MATCH + "SELECT * FROM m")
+def match_candidates(spark, sf):
+    return _matched(spark, sf).withColumns({c: F.round(c, 6) for c in ("iou", "purity", "coverage")})
+
+
+@_add("match_label_counts", MATCH + "SELECT label_type, count(*) AS n FROM m GROUP BY 1")
+def match_label_counts(spark, sf):
+    return _matched(spark, sf).groupBy("label_type").agg(F.count("*").alias("n"))
+
+
+@_add("class_weights", MATCH + """, f AS (SELECT l.label, greatest(count(m.cand_id),1) AS n FROM (SELECT DISTINCT label FROM cand) l LEFT JOIN m ON m.matched_class=l.label AND m.valid>0 GROUP BY 1),
+w AS (SELECT label, n, sum(n) OVER ()/CAST(count(*) OVER () * n AS DOUBLE) AS w FROM f) SELECT label, n, round(w/avg(w) OVER (),6) AS weight FROM w""")
+def class_weights(spark, sf):
+    """Inverse-frequency class weights with mean 1; a class without valid candidates counts once."""
+    n = _matched(spark, sf).where("valid > 0").groupBy(F.col("matched_class").alias("label")).agg(F.count("*").alias("k"))
+    f = S.candidates(spark, sf).select("label").distinct().join(n, "label", "left").select("label", F.greatest(F.coalesce("k", F.lit(0)), F.lit(1)).cast("long").alias("n"))
+    t = f.agg(F.sum("n").alias("s"), F.count("*").alias("c"), F.sum(1 / F.col("n")).alias("h"))  # one row
+    w = F.col("s") / (F.col("c") * F.col("n"))
+    return f.crossJoin(F.broadcast(t)).select("label", "n", F.round(w / (F.col("s") / F.col("c") * F.col("h") / F.col("c")), 6).alias("weight"))
+
+
+DUP = S.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """ca AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1),
+mi AS (SELECT c.cand_id AS p, d.cand_id AS q, sum(least(c.xe,d.xe)-greatest(c.xs,d.xs)) AS i FROM cand_run c JOIN cand_run d ON c.image_id=d.image_id AND c.y=d.y AND c.cand_id<>d.cand_id AND c.xs<d.xe AND d.xs<c.xe GROUP BY 1,2),
+bx AS (SELECT c.cand_id AS p, d.cand_id AS q, greatest(0,least(c.x1+c.w,d.x1+d.w)-greatest(c.x1,d.x1))*greatest(0,least(c.y1+c.h,d.y1+d.h)-greatest(c.y1,d.y1)) AS i, c.w*c.h+d.w*d.h AS t FROM cand c JOIN cand d ON c.image_id=d.image_id AND c.cand_id<>d.cand_id),
+du AS (SELECT mi.p, list(mi.q) AS dups FROM mi JOIN ca x ON x.cand_id=mi.p JOIN ca y ON y.cand_id=mi.q JOIN bx ON bx.p=mi.p AND bx.q=mi.q WHERE mi.i/CAST(x.a+y.a-mi.i AS DOUBLE)>0.9 AND bx.i/CAST(bx.t-bx.i AS DOUBLE)>0.5 GROUP BY 1),
+o AS (SELECT c.image_id, c.cand_id, coalesce(dups, []) AS dups, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, c.cand_id) AS n FROM cand c LEFT JOIN du ON du.p=c.cand_id),
+wk AS (SELECT image_id, n, [cand_id] AS kept FROM o WHERE n=1 UNION ALL SELECT o.image_id, o.n, CASE WHEN list_has_any(kept, dups) THEN kept ELSE list_append(kept, o.cand_id) END FROM wk JOIN o ON o.image_id=wk.image_id AND o.n=wk.n+1)
+"""
+
+
+@_add("near_dup_suppressed", DUP + "SELECT image_id, unnest(kept) AS cand_id FROM (SELECT image_id, arg_max(kept, n) AS kept FROM wk GROUP BY 1)")
+def near_dup_suppressed(spark, sf):
+    c, runs, _ = _inputs(spark, sf)
+    return M.suppress(c, runs)
+
+
+@_add("capped_candidates", DUP + "SELECT image_id, unnest(kept[1:5]) AS cand_id FROM (SELECT image_id, arg_max(kept, n) AS kept FROM wk GROUP BY 1)")
+def capped_candidates(spark, sf):
+    c, runs, _ = _inputs(spark, sf)
+    return M.suppress(c, runs, 5)
+
+
+@_add("filter_candidates", S.SQL + "z AS (SELECT 1) SELECT image_id, cand_id, w, h FROM cand WHERE w*h/4096.0 BETWEEN 0.0001 AND 0.95 AND w>=4 AND h>=4 AND score>=0.25")
+def filter_candidates(spark, sf):
+    return M.filter_candidates(S.candidates(spark, sf), S.SIDE, min_score=0.25).select("image_id", "cand_id", "w", "h")
+
+
+@_add("geometry_features", S.SQL + """a AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1)
+SELECT cand_id, round((x1+w/2.0)/64,6) AS cx, round((y1+h/2.0)/64,6) AS cy, round(w/64.0,6) AS nw, round(h/64.0,6) AS nh, round(w*h/4096.0,6) AS box_ratio, round(a/4096.0,6) AS mask_ratio, round(w/CAST(h AS DOUBLE),6) AS aspect, round(a/CAST(w*h AS DOUBLE),6) AS fill FROM cand JOIN a USING (cand_id)""")
+def geometry_features(spark, sf):
+    c, runs, _ = _inputs(spark, sf)
+    e = {"cx": "(x1+w/2)/64", "cy": "(y1+h/2)/64", "nw": "w/64", "nh": "h/64", "box_ratio": "w*h/4096", "mask_ratio": "a/4096", "aspect": "w/h", "fill": "a/(w*h)"}
+    return c.join(M.areas(runs, "cand_id", "a"), ["image_id", "cand_id"]).selectExpr("cand_id", *[f"round({v},6) AS {k}" for k, v in e.items()])
+
+
+@_add("mask_to_bbox", S.SQL + "z AS (SELECT 1) SELECT cand_id, min(xs) AS x1, min(y) AS y1, max(xe) AS x2, max(y)+1 AS y2 FROM cand_run GROUP BY 1")
+def mask_to_bbox(spark, sf):
+    _, runs, _ = _inputs(spark, sf)
+    return runs.groupBy("cand_id").agg(F.min("xs").alias("x1"), F.min("y").alias("y1"), F.max("xe").alias("x2"), (F.max("y") + 1).alias("y2"))
+
+
+@_add("mask_union_area", S.SQL + "px AS (SELECT DISTINCT image_id, y, unnest(generate_series(xs, xe-1)) AS x FROM cand_run) SELECT image_id, count(*) AS area FROM px GROUP BY 1")
+def mask_union_area(spark, sf):
+    _, runs, _ = _inputs(spark, sf)
+    return M.union_runs(runs).groupBy("image_id").agg(F.sum(F.col("xe") - F.col("xs")).alias("area"))
+
+
+@_add("count_errors_by_order", """WITH r AS (SELECT l_orderkey, count(*) AS gt, count(*) FILTER (WHERE l_discount<0.08) AS pred FROM lineitem GROUP BY 1)
+SELECT CASE WHEN gt<=2 THEN 'few' ELSE 'many' END AS bin, count(*) AS n, round(avg(abs(pred-gt)),6) AS mae, round(sqrt(avg((pred-gt)*(pred-gt))),6) AS rmse, round(avg(pred-gt),6) AS bias FROM r GROUP BY 1""")
+def count_errors_by_order(spark, sf):
+    r = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("gt"), F.count_if(F.col("l_discount") < 0.08).alias("pred"))
+    return D.errors(r.withColumn("bin", F.when(F.col("gt") <= 2, "few").otherwise("many")), "gt", "pred", "bin")
+
+
+ORACLE = S.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """hit AS (SELECT DISTINCT d.image_id, c.cand_id, d.dot_id FROM dot d JOIN cand_run c ON c.image_id=d.image_id AND c.y=d.yi AND d.xi>=c.xs AND d.xi<c.xe),
+st AS (SELECT image_id, cand_id, list(dot_id) AS s FROM hit GROUP BY 1,2),
+im AS (SELECT image_id, list(s ORDER BY cand_id) AS sets, list_distinct(flatten(list(s))) AS rem FROM st GROUP BY 1),
+wk AS (SELECT image_id, sets, rem, CAST(0 AS BIGINT) AS n FROM im UNION ALL
+ SELECT image_id, sets, list_filter(rem, lambda v: NOT list_contains(sets[list_position(g, list_max(g))], v)), n+1 FROM (SELECT *, list_transform(sets, lambda t: len(list_intersect(t, rem))) AS g FROM wk WHERE len(rem)>0)),
+rw AS (SELECT image_id, count(*) AS gt, CAST(coalesce(max(c), 0) AS BIGINT) AS pred_cover, coalesce(max(n), 0) AS pred_greedy FROM dot LEFT JOIN (SELECT image_id, max(len(rem)) AS c, max(n) AS n FROM wk GROUP BY 1) USING (image_id) GROUP BY 1)
+"""
+
+
+@_add("count_oracle_rows", ORACLE + "SELECT * FROM rw")
+def count_oracle_rows(spark, sf):
+    _, runs, dots = _inputs(spark, sf)
+    return D.count_oracle(dots, runs)
+
+
+@_add("count_oracle_overall", ORACLE + "SELECT count(*) AS n, round(avg(abs(pred_greedy-gt)),6) AS mae, round(sqrt(avg((pred_greedy-gt)*(pred_greedy-gt))),6) AS rmse, round(avg(pred_greedy-gt),6) AS bias FROM rw")
+def count_oracle_overall(spark, sf):
+    return D.errors(count_oracle_rows(spark, sf), "gt", "pred_greedy")
+
+
+@_add("split_by_image", """WITH i AS (SELECT DISTINCT CAST(floor(vec_id/12.0) AS BIGINT) AS image_id FROM embeddings) SELECT image_id, CASE WHEN (image_id*7919)%10=0 THEN 'val' ELSE 'train' END AS part FROM i""")
+def split_by_image(spark, sf):
+    return S.candidates(spark, sf).select("image_id").distinct().withColumn("part", F.when(F.expr("(image_id*7919)%10=0"), "val").otherwise("train"))
