@@ -2,14 +2,17 @@
 
 from dotloom.llm.media import op5_media
 from dotloom.llm.spiece import op9_sentencepiece
+from dotloom.llm.substring import OP8_SQL, op8_substring
 from dotloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
     "op5_media": op5_media,
+    "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op8_substring": OP8_SQL,
 }
