@@ -1,13 +1,17 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
 from dotloom.llm.media import op5_media
+from dotloom.llm.quality import op1_quality
 from dotloom.llm.spiece import op9_sentencepiece
 from dotloom.llm.substring import OP8_SQL, op8_substring
+from dotloom.llm.toxicity import op7_toxicity
 from dotloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op5_media": op5_media,
+    "op7_toxicity": op7_toxicity,
     "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
 }
