@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
 from dotloom.llm.media import op5_media
+from dotloom.llm.pii import op6_pii
 from dotloom.llm.quality import op1_quality
 from dotloom.llm.spiece import op9_sentencepiece
 from dotloom.llm.substring import OP8_SQL, op8_substring
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op5_media": op5_media,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
