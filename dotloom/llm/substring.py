@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import chunks, inside, row_of, with_only, word_hashes, window_hashes, words_of
+from dotloom.llm.common import chunks, inside, mix, row_of, with_only, word_hashes, window_hashes, words_of
 
 #: Words of a window.
 WINDOW = 13
@@ -65,7 +65,10 @@ def sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def partial(batches):
         kept, total = [], 0
         for _, data, off in chunks(batches):
-            h0, h1, _, _ = windows(data, off, n)
+            h0, h1, row, _ = windows(data, off, n)
+            # A window that repeats in one document alone removes nothing: it counts once a document.
+            once = np.unique(mix(h0 ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+            h0, h1 = h0[once], h1[once]
             kept.append([(h >> np.uint64(64 - bits)).astype(np.int64) for h in (h0, h1)])
             total += len(h0)
             if total >= FLUSH:
@@ -96,7 +99,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
 def repeated_candidates(docs: DataFrame, n: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """(h0, h1, doc_id, at) of the windows that the sketch estimates as repeated; windows of a null doc_id aside."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(most_bits, max(BLOCK_BITS, math.ceil(math.log2(2 * size + 2))))
+    bits = min(most_bits, max(BLOCK_BITS, math.ceil(math.log2(size / 2 + 2))))
     blocks = 1 << (bits - BLOCK_BITS)
     full = np.zeros((2 * blocks, (1 << BLOCK_BITS) // 8), np.uint8)
     found = sketch(docs, n, bits).toArrow()
