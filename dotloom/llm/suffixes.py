@@ -5,7 +5,8 @@ least W + K - 1 words keep equal positions. A suffix carries the words ahead of
 as 16-bit hashes. Suffixes are sorted over the cluster by (k-gram, words ahead, words behind, document), in ranges, so
 that even a passage of very many copies is dealt over tasks; neighbours are compared and extended left and right, and
 matches of at least ``LEAST`` words are joined into passages. Range borders are compared in a pass over one pair of
-rows a range.
+rows a range. A suffix is compared with ``NEAR`` neighbours each way (one over a range border): exact copies of a passage are
+neighbours, but a passage whose only partners lie further off, among many near copies with edits elsewhere, can be lost.
 
 Defined results: null and empty texts have no passages; repeats inside one document and between rows that share a
 doc_id count too; a null doc_id takes part and is reported as null; a document without passages gives no row; empty
@@ -24,6 +25,8 @@ from dotloom.llm.common import chunks, inside, mix, row_of, with_only, window_ha
 
 #: Words of a k-gram, k-grams a minimiser is chosen from, words carried each way, least words of a repeat.
 K, W, REACH, LEAST = 10, 40, 50, 50
+#: Neighbours in the order that a suffix is compared with, each way.
+NEAR = 16
 SUFFIX = "gram long, ahead binary, behind binary, doc_id long, at int"
 
 
@@ -87,21 +90,26 @@ OUT = "doc_id long, s int, e int, other long, border int, gram long, ahead binar
 
 
 def _compared(t: pa.Table):
-    """Matches between neighbours of a sorted table, reported for both."""
-    gram = t.column("gram").to_numpy()
-    same = np.flatnonzero(gram[1:] == gram[:-1])
-    if not len(same):
+    """Matches between neighbours of a sorted table, up to ``NEAR`` rows apart, reported for both."""
+    gram, at, ids = t.column("gram").to_numpy(), t.column("at").to_numpy(), t.column("doc_id")
+    ahead, behind = _matrix(t.column("ahead")), _matrix(t.column("behind"))
+    parts = []
+    for d in range(1, min(NEAR, len(gram) - 1) + 1):
+        same = np.flatnonzero(gram[d:] == gram[:-d])
+        if not len(same):
+            break
+        left, right = _common(ahead[same], ahead[same + d]), _common(behind[same], behind[same + d])
+        long = left + right >= LEAST
+        parts.append((same[long], same[long] + d, left[long], right[long]))
+    if not sum(len(p[0]) for p in parts):
         return None
-    left, right = (_common(m[same], m[same + 1]) for m in (_matrix(t.column("ahead")), _matrix(t.column("behind"))))
-    long = left + right >= LEAST
-    i, left, right = same[long], left[long], right[long]
-    if not len(i):
-        return None
-    at, ids = t.column("at").to_numpy(), t.column("doc_id")
-    pick = np.concatenate([i, i + 1])
-    who, other = ids.take(pa.array(pick)), ids.take(pa.array(np.concatenate([i + 1, i])))
-    s, e = at[pick] - np.concatenate([left, left]), at[pick] + np.concatenate([right, right])
-    return pa.table({"doc_id": who, "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "other": other})
+    i, j, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    pick, left, right = np.concatenate([i, j]), np.concatenate([left, left]), np.concatenate([right, right])
+    who, other = ids.take(pa.array(pick)), ids.take(pa.array(np.concatenate([j, i])))
+    # One row for each place and reach is enough.
+    once = np.unique(np.stack([pick, left, right]), axis=1, return_index=True)[1]
+    s, e = (at[pick] - left)[once], (at[pick] + right)[once]
+    return pa.table({"doc_id": who.take(pa.array(once)), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "other": other.take(pa.array(once))})
 
 
 def _rows(found: pa.Table):
@@ -134,9 +142,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             got = _compared(joined)
             if got is not None:
                 yield from _rows(got)
-            last = t.slice(t.num_rows - 1, 1)
+            last = joined.slice(max(0, joined.num_rows - NEAR))
         if last is not None:
-            yield from _edge(last, 2 * number + 1)
+            yield from _edge(last.slice(last.num_rows - 1), 2 * number + 1)
 
     def _edge(t, number):
         none32, none64 = pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())
