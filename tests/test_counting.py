@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from dotloom.operators import dots as D
 from dotloom.operators import masks as M
-from dotloom.plans import registry
+from dotloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,22 +14,22 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("events", "embeddings", "lineitem"):
+    for t in ("events", "embeddings", "lineitem", "part"):
         p = f"{SF}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     cols = ",".join(sorted(df.columns))
-    assert sorted(map(tuple, df.selectExpr(*cols.split(",")).collect()), key=str) == sorted(duck.sql(f"SELECT {cols} FROM ({registry.ORACLE_SQL[name]})").fetchall(), key=str)
+    assert sorted(map(tuple, df.selectExpr(*cols.split(",")).collect()), key=str) == sorted(duck.sql(f"SELECT {cols} FROM ({catalog.ORACLE_SQL[name]})").fetchall(), key=str)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_dots_round_half_to_even_and_leave_the_image(spark):
