@@ -27,7 +27,7 @@ from dotloom.llm.common import _splitmix, mix, span_hashes, with_only
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters that are encoded together, and words of earlier batches whose ids a worker remembers.
-BATCH_CHARS, KNOWN_WORDS = 3_000_000, 400_000
+BATCH_CHARS, KNOWN_WORDS = 1_500_000, 400_000
 _NONE = np.int64(1) << 40
 
 
