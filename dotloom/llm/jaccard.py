@@ -1,13 +1,14 @@
 """N-gram Jaccard join by MinHash banding.
 
 Sets are the shingles of five consecutive words (a shorter text is one shingle). ``BANDS`` bands of ``ROWS`` MinHash
-values are computed for the target recall at the threshold; texts that share a band hash meet in its bucket. In a
-bucket each text is verified, on full shingle sets, against the bucket's least one; those that don't link go on to a
-next round among themselves, until no bucket is left. So a bucket of n near copies costs n pairs, not n squared, and
-no bucket is cut. Equal texts are one node. Classes are the connected components of the verified links.
+values are computed for the target recall at the threshold; texts that share a band hash meet in its bucket, and every
+pair that meets is verified once on full shingle sets. A bucket of at most ``BUCKET`` texts lists its pairs. A larger
+one is split into blocks of about ``BLOCK`` texts, and each block is compared with each: a task holds two blocks, and
+gives out numbers of links and a spanning forest of them instead of pairs. A pair that meets in several such buckets is
+counted in the one with the least key. Equal texts are one node. Classes are the connected components of the links.
 
 Defined results: one row for each row with an id, (doc_id, class_id, n_links): class_id is the least doc_id of the
-class, n_links the verified links of its text to other texts (one to each pivot it met, not all pairs). Null and empty
+class, n_links the verified links of its text to other texts (all that share a band). Null and empty
 texts are equal texts; a text without words links to equal texts alone; rows of a null doc_id have a null class and
 no links; rows that share a doc_id share links; empty tables give empty ones; further columns are ignored.
 """
@@ -27,6 +28,8 @@ from dotloom.llm.common import Stored, _splitmix, chunks, components, inside, mi
 #: Words of a shingle, least Jaccard similarity, target recall at it, MinHash values of a band.
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 5
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST**ROWS))
+#: Most texts of a bucket that lists its pairs, texts of a block of a larger one, shingles compared at once.
+BUCKET, BLOCK, COLUMNS = 16, 512, 4096
 SIGNATURE = "doc_id long, h0 long, h1 long, bands array<long>"
 
 
@@ -92,21 +95,97 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFra
     return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> list[Stored]:
-    """Tables of verified links (u, v), u < v, between the least rows of different texts; one table a round."""
+def _shared(row: np.ndarray, value: np.ndarray, n: int, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common distinct values of each of the first ``first`` rows with each from ``second`` on, and the values of each of n rows."""
+    _, value = np.unique(value, return_inverse=True)
+    width = int(value.max()) + 1 if len(value) else 1
+    row, value = np.divmod(np.unique(row * width + value), width)
+    size = np.bincount(row, minlength=n)
+    # A value of one row alone is common to none.
+    often = np.bincount(value, minlength=width) > 1
+    row, value = row[often[value]], (np.cumsum(often) - 1)[value[often[value]]]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    both = np.zeros((first, n - second), np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(value, [at, at + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[a:b], value[a:b] - at] = 1
+        both += has[:first] @ has[second:].T
+    return both, size
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that keep every connected part of a link matrix connected."""
+    out, new = [], [np.ones(k, bool) for k in link.shape]
+    for start in range(link.shape[0]):
+        todo = [(0, start)] if new[0][start] else []
+        new[0][start] = False
+        while todo:
+            side, x = todo.pop()
+            for y in np.flatnonzero((link[:, x] if side else link[x]) & new[1 - side]).tolist():
+                new[1 - side][y] = False
+                out.append((y, x) if side else (x, y))
+                todo.append((1 - side, y))
+    return out
+
+
+def compared(t: pa.Table) -> pa.Table:
+    """The links of two blocks of a bucket (one block against itself where ``side`` is 0 alone), as in ``links``."""
+    t = t.sort_by([("side", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    ids, side, n = t.column("doc_id").to_numpy(), t.column("side").to_numpy(), t.num_rows
+    first = int((side == 0).sum())
+    second = first if first < n else 0
+    h, off = shingles(*text_buffers(t.column("text")))
+    both, size = _shared(row_of(off), h, n, first, second)
+    link = (both > 0) & (both >= LEAST * (size[:first, None] + size[None, second:] - both) - 1e-9)
+    key, keys = t.column("key")[0].as_py(), t.column("big").to_pylist()
+    before = [[k for k in x if k < key] for x in keys]
+    earlier = _shared(np.repeat(np.arange(n), [len(x) for x in before]), np.array([k for x in before for k in x], np.int64), n, first, second)[0]
+    link &= earlier == 0
+    # Rows that share a doc_id are one node.
+    u, a = np.unique(ids[:first], return_inverse=True)
+    v, b = np.unique(ids[second:], return_inverse=True)
+    if len(u) < first or len(v) < n - second:
+        one = np.zeros((len(u), len(v)), bool)
+        x, y = np.nonzero(link)
+        one[a[x], b[y]] = True
+        link = one
+    if not second:
+        np.fill_diagonal(link, False)
+    at = [(u, link.sum(axis=1))] + ([(v, link.sum(axis=0))] if second else [])
+    if not second:
+        np.fill_diagonal(link, link.any(axis=1))
+    edges = _forest(link)
+    rows = [(int(u[x]), int(v[y]), 0) for x, y in edges if u[x] != v[y]]
+    rows += [(int(i), None, int(k)) for who, many in at for i, k in zip(who, many, strict=True) if k]
+    return pa.table({"u": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+
+def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> Stored:
+    """Verified links between the least rows of different texts: rows (u, v, n), n to add to the links of u, and u linked to v unless null."""
     one = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    left = stored(one.select(F.explode("bands").alias("key"), "doc_id").distinct(), "bands")
-    found: list[Stored] = []
-    while True:
-        heads = left.df.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("most")).where("u < most").select("key", "u")
-        met = stored(left.df.join(heads, "key").where("doc_id <> u").select("key", "u", F.col("doc_id").alias("v")), "met")
-        left.drop()
-        if not met.df.limit(1).count():
-            met.drop()
-            return found
-        found.append(stored(verified(met.df.select("u", "v").distinct(), docs), "links"))
-        left = stored(met.df.join(found[-1].df, ["u", "v"], "left_anti").select("key", F.col("v").alias("doc_id")), "bands")
-        met.drop()
+    every = stored(one.select(F.explode("bands").alias("key"), "doc_id").distinct(), "bands")
+    sizes = every.df.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = stored(every.df.join(sizes, "key"), "met")
+    every.drop()
+    large = met.df.where(F.col("size") > BUCKET)
+    big = stored(large.groupBy("doc_id").agg(F.collect_set("key").alias("big")), "large")
+    few = met.df.where(F.col("size") <= BUCKET)
+    pairs = few.select("key", F.col("doc_id").alias("u")).join(few.select("key", F.col("doc_id").alias("v")), "key").where("u < v").select("u", "v").distinct()
+    # Pairs that meet in a large bucket too are counted there.
+    for x in ("u", "v"):
+        pairs = pairs.join(big.df.select(F.col("doc_id").alias(x), F.col("big").alias(f"big_{x}")), x, "left")
+    pairs = stored(pairs.where("NOT coalesce(arrays_overlap(big_u, big_v), false)").select("u", "v"), "pairs")
+    found = stored(verified(pairs.df, docs), "links")
+    dealt = large.select("key", "doc_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(big.df, "doc_id").join(docs, "doc_id").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), (F.col("mine") > F.col("their")).cast("int").alias("side"), "doc_id", "text", "big")
+    blocked = dealt.groupBy("key", "i", "j").applyInArrow(compared, "u long, v long, n long")
+    out = stored(found.df.selectExpr("u", "v", "1L AS n").union(found.df.selectExpr("v", "u", "1L")).union(blocked), "links")
+    for t in (met, big, pairs, found):
+        t.drop()
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -116,12 +195,9 @@ def classes(docs: DataFrame) -> DataFrame:
     sig = stored(signatures(ids), "signatures")
     reps = stored(sig.df.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")), "texts")
     found = links(ids, sig.df, reps.df)
-    edges = d.sparkSession.createDataFrame([], "u long, v long")
-    for t in found:
-        edges = edges.union(t.df)
-    edges = edges.distinct()
+    edges = found.df.where("v IS NOT NULL").select("u", "v")
     label = components(edges, "jaccard").df
-    degree = edges.select("u").union(edges.select("v")).groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n"))
+    degree = found.df.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     texts = reps.df.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     texts = texts.select("h0", "h1", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
     known = sig.df.select("doc_id", "h0", "h1").join(texts, ["h0", "h1"]).select("doc_id", "class_id", "n_links")

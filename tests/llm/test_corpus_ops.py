@@ -94,6 +94,28 @@ def test_classes_equal_brute(spark, docs):
     assert {(r.doc_id, r.class_id) for r in out if r.doc_id is not None} == set(label.items())
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 24])
+def test_hub_and_spokes_are_one_class_with_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    hub = [word() for _ in range(120)]
+    texts = []
+    for k in range(100):
+        w = list(hub)
+        for p in (rng.randrange(5, 50), rng.randrange(60, 115)) if k != 50 else ():
+            w[p] = word()
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(116)} for w in map(str.split, texts)]
+    linked = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert sum(map(sum, linked)) < 0.7 * 100 * 99
+    got = {r.doc_id: r for r in jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert {r.class_id for r in got.values()} == {0}
+    # Pairs close to the threshold share a band with a probability of 0.999 at least.
+    n, all_links = sum(r.n_links for r in got.values()), sum(map(sum, linked))
+    assert all(got[i].n_links <= sum(x) for i, x in enumerate(linked)) and n >= 0.995 * all_links
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
