@@ -2,11 +2,14 @@
 
 Suffixes are kept where a word k-gram has the least hash of ``W`` consecutive ones (minimisers): equal passages of at
 least W + K - 1 words keep equal positions. A suffix carries the words ahead of it and from it on, ``REACH`` each way,
-as 16-bit hashes. Suffixes are sorted over the cluster by (k-gram, words ahead, words behind, document), in ranges, so
-that even a passage of very many copies is dealt over tasks; neighbours are compared and extended left and right, and
-matches of at least ``LEAST`` words are joined into passages. Range borders are compared in a pass over one pair of
-rows a range. A suffix is compared with ``NEAR`` neighbours each way (one over a range border): exact copies of a passage are
-neighbours, but a passage whose only partners lie further off, among many near copies with edits elsewhere, can be lost.
+as 16-bit hashes. Suffixes are sorted over the cluster by (k-gram, words ahead, words behind, document), in ranges. In a
+group of one k-gram of at most ``NEAR`` + 1 rows that lies within a range, all are compared with each other and extended
+left and right. In other groups a suffix is compared with its two neighbours, and the stretches of ``LEAST`` words around
+the k-gram that those can't settle are keyed by content and by the k-gram's place in them: equal keys are repeats,
+whatever lies between. A stretch is left out where it equals the row's before (a run is keyed once, by its first row),
+or where it reaches further ahead than both neighbours agree (then no other row agrees either). The keys are sorted in
+ranges too, so that even a passage of very many copies is dealt over tasks, and each is compared with its two
+neighbours; range borders of the keys are compared in a pass over two rows a range. Matches are joined into passages.
 
 Defined results: null and empty texts have no passages; repeats inside one document and between rows that share a
 doc_id count too; a null doc_id takes part and is reported as null; a document without passages gives no row; empty
@@ -21,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import chunks, inside, mix, row_of, with_only, window_hashes, word_hashes, words_of
+from dotloom.llm.common import _splitmix, chunks, inside, mix, row_of, span_hashes, with_only, window_hashes, word_hashes, words_of
 
 #: Words of a k-gram, k-grams a minimiser is chosen from, words carried each way, least words of a repeat.
 K, W, REACH, LEAST = 10, 40, 50, 50
-#: Neighbours in the order that a suffix is compared with, each way.
+#: Most other suffixes of a k-gram that all are compared with each other; in a larger group stretches are keyed.
 NEAR = 16
 SUFFIX = "gram long, ahead binary, behind binary, doc_id long, at int"
 
@@ -86,15 +89,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-OUT = "doc_id long, s int, e int, other long, border int, gram long, ahead binary, behind binary, at int"
+OUT = "doc_id long, s int, e int, other long, key long"
+EDGE = "doc_id long, s int, e int, other long, border int, key long"
 
 
-def _compared(t: pa.Table):
-    """Matches between neighbours of a sorted table, up to ``NEAR`` rows apart, reported for both."""
+def _compared(t: pa.Table, near: int = NEAR):
+    """Matches of rows of one k-gram, up to ``near`` rows apart in a sorted table, reported for both."""
     gram, at, ids = t.column("gram").to_numpy(), t.column("at").to_numpy(), t.column("doc_id")
     ahead, behind = _matrix(t.column("ahead")), _matrix(t.column("behind"))
     parts = []
-    for d in range(1, min(NEAR, len(gram) - 1) + 1):
+    for d in range(1, min(near, len(gram) - 1) + 1):
         same = np.flatnonzero(gram[d:] == gram[:-d])
         if not len(same):
             break
@@ -112,12 +116,48 @@ def _compared(t: pa.Table):
     return pa.table({"doc_id": who.take(pa.array(once)), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "other": other.take(pa.array(once))})
 
 
-def _rows(found: pa.Table):
-    n = found.num_rows
-    empty = {"border": pa.nulls(n, pa.int32()), "gram": pa.nulls(n, pa.int64()), "ahead": pa.nulls(n, pa.binary()), "behind": pa.nulls(n, pa.binary()), "at": pa.nulls(n, pa.int32())}
-    for k, v in empty.items():
-        found = found.append_column(k, v)
-    return found.combine_chunks().to_batches()
+def _stretches(t: pa.Table, done: int, wait: int, first: bool, last: bool):
+    """Keys of stretches of ``LEAST`` words around each suffix's k-gram, by content and place of the k-gram.
+
+    The first ``done`` and the last ``wait`` rows are neighbours only; ``first`` and ``last`` tell that more of the
+    group may lie before the first row or behind the last one.
+    """
+    if t.num_rows <= done + wait:
+        return
+    gram, splits = t.column("gram").to_numpy(), np.arange(LEAST - K + 1)
+    ahead, behind = _matrix(t.column("ahead")), _matrix(t.column("behind"))
+    same = gram[1:] == gram[:-1]
+    left, right = np.where(same, _common(ahead[1:], ahead[:-1]), -1), np.where(same, _common(behind[1:], behind[:-1]), -1)
+    reach = np.maximum(np.append(-1, left), np.append(left, -1))
+    if first:
+        reach[0] = REACH
+    if last:
+        reach[-1] = REACH
+    before, after = np.append(-1, left), np.append(-1, right)
+    at, ids = t.column("at").to_numpy(), t.column("doc_id")
+    for i in range(done, t.num_rows - wait, 20_000):
+        k = np.arange(i, min(i + 20_000, t.num_rows - wait))
+        line = np.hstack([ahead[k][:, ::-1], behind[k]])
+        start = REACH - splits
+        want = (line[:, start] != 0) & (line[:, start + LEAST - 1] != 0) & (splits <= reach[k, None])
+        want &= (splits > before[k, None]) | (LEAST - splits > after[k, None])
+        row, split = np.nonzero(want)
+        if not len(row):
+            continue
+        start = row * (2 * REACH) + start[split]
+        key = mix(span_hashes(mix(line.ravel().astype(np.uint64)), start, start + LEAST) ^ _splitmix(len(splits), 55)[split])
+        s = at[k[row]] - split
+        yield from pa.table({"doc_id": ids.take(pa.array(k[row])), "s": pa.array(s.astype(np.int32)), "e": pa.array((s + LEAST).astype(np.int32)), "other": pa.nulls(len(row), pa.int64()), "key": pa.array(key.view(np.int64))}).combine_chunks().to_batches()
+
+
+def _alike(t: pa.Table):
+    """Rows (doc_id, s, e, other) of a table sorted by key that have a neighbour of their key; ``other`` is the least neighbour's."""
+    key, ids, n = t.column("key").to_numpy(), t.column("doc_id").combine_chunks(), t.num_rows
+    i = np.flatnonzero(key[1:] == key[:-1])
+    if not len(i):
+        return None
+    pick, mate = np.concatenate([i, i + 1]), np.concatenate([i + 1, i])
+    return pa.table({"doc_id": ids.take(pa.array(pick)), "s": t.column("s").take(pa.array(pick)), "e": t.column("e").take(pa.array(pick)), "other": ids.take(pa.array(mate))}).combine_chunks()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -125,47 +165,87 @@ def repeats(docs: DataFrame) -> DataFrame:
     from dotloom.llm.common import stored
 
     # A value behind the keys deals equal suffixes of one document over ranges too.
-    keys = ["gram", "ahead", "behind", "doc_id", "at"]
-    made = suffixes(docs)
-    spread = made.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    order = ["gram", "ahead", "behind", "doc_id", "at"]
+    spread = suffixes(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def found(t, near):
+        got = _compared(t, near)
+        if got is not None:
+            yield from got.append_column("key", pa.nulls(got.num_rows, pa.int64())).combine_chunks().to_batches()
 
     def compare(batches):
-        number, last, first = TaskContext.get().partitionId(), None, True
+        # The last group may go on in the next batch, the first and the last of a range in another range. Of an open
+        # large group the last row is held, after ``done`` rows before it.
+        held, now, large, done, first = None, None, True, 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            if first:
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            gram = t.column("gram").to_numpy()
+            head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            size = np.diff(np.append(head, len(gram)))
+            keyed = size > NEAR + 1
+            keyed[0] |= large and (now is None or now == gram[0])
+            if not keyed[0]:
+                done = 0
+            mark, some = np.repeat(keyed, size), np.repeat(~keyed, size)
+            now, large, some[head[-1] :] = gram[-1], bool(keyed[-1]), False
+            many = t.filter(pa.array(mark)).combine_chunks()
+            yield from found(many, 1)
+            yield from _stretches(many, done, int(large), first, False)
+            first = first and many.num_rows <= done + int(large)
+            yield from found(t.filter(pa.array(some)).combine_chunks(), NEAR)
+            done = int(large and size[-1] > 1)
+            held = t.slice(t.num_rows - 1 - done if large else head[-1])
+        if held is not None:
+            held = held.combine_chunks()
+            yield from found(held, 1)
+            yield from _stretches(held, done, 0, first, True)
+
+    both = stored(spread.mapInArrow(compare, OUT), "suffixes")
+    keys = ["key", "doc_id", "s"]
+    dealt = both.df.where("key IS NOT NULL").select("doc_id", "s", "e", "key").repartitionByRange(*keys).sortWithinPartitions("key")
+
+    def _edge(t, number):
+        none = pa.nulls(1, pa.int64())
+        yield from pa.table({"doc_id": t.column("doc_id"), "s": t.column("s"), "e": t.column("e"), "other": none, "border": pa.array([number], pa.int32()), "key": t.column("key")}).combine_chunks().to_batches()
+
+    def pair(batches):
+        number, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            if last is None:
                 yield from _edge(t.slice(0, 1), 2 * number)
-                first = False
-            joined = t if last is None else pa.concat_tables([last, t]).combine_chunks()
-            got = _compared(joined)
+            else:
+                t = pa.concat_tables([last, t])
+            t = t.combine_chunks()
+            got = _alike(t)
             if got is not None:
-                yield from _rows(got)
-            last = joined.slice(max(0, joined.num_rows - NEAR))
+                n = got.num_rows
+                yield from got.append_column("border", pa.nulls(n, pa.int32())).append_column("key", pa.nulls(n, pa.int64())).combine_chunks().to_batches()
+            last = t.slice(t.num_rows - 1)
         if last is not None:
-            yield from _edge(last.slice(last.num_rows - 1), 2 * number + 1)
-
-    def _edge(t, number):
-        none32, none64 = pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())
-        yield from pa.table({"doc_id": t.column("doc_id"), "s": none32, "e": none32, "other": none64, "border": pa.array([number], pa.int32()), "gram": t.column("gram"), "ahead": t.column("ahead"), "behind": t.column("behind"), "at": t.column("at")}).combine_chunks().to_batches()
+            yield from _edge(last, 2 * number + 1)
 
-    both = stored(spread.mapInArrow(compare, OUT), "suffixes")
+    near = stored(dealt.mapInArrow(pair, EDGE), "stretches")
 
     def meet(batches):
         rows = [b for b in batches if b.num_rows]
         if rows:
             t = pa.Table.from_batches(rows).combine_chunks()
             number = t.column("border").to_numpy()
-            t = t.select(["gram", "ahead", "behind", "doc_id", "at"])
-            for k in np.flatnonzero((number[:-1] % 2 == 1)).tolist():
-                got = _compared(t.slice(k, 2).combine_chunks())
+            t = t.select(["doc_id", "s", "e", "key"])
+            for k in np.flatnonzero(number[:-1] % 2 == 1).tolist():
+                got = _alike(t.slice(k, 2).combine_chunks())
                 if got is not None:
-                    yield from got.combine_chunks().to_batches()
+                    yield from got.to_batches()
 
     # Two rows a range: as many as there are ranges, not as there are documents.
-    edges = both.df.where("border IS NOT NULL").coalesce(1).sortWithinPartitions("border").mapInArrow(meet, "doc_id long, s int, e int, other long")
-    every = both.df.where("border IS NULL").select("doc_id", "s", "e", "other").union(edges)
+    edges = near.df.where("border IS NOT NULL").coalesce(1).sortWithinPartitions("border").mapInArrow(meet, "doc_id long, s int, e int, other long")
+    every = both.df.where("key IS NULL").union(near.df.where("border IS NULL").select(*both.df.columns)).select("doc_id", "s", "e", "other").union(edges)
     per = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "other"))).alias("m"))
 
     def merge(batches):

@@ -94,6 +94,36 @@ def test_classes_equal_brute(spark, docs):
     assert {(r.doc_id, r.class_id) for r in out if r.doc_id is not None} == set(label.items())
 
 
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_passages_behind_a_frequent_line_equal_brute(spark, batch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    texts = []
+    for line, own in ((some(30), 20), (some(40), 12), (some(30), 25)):
+        texts += [some(25) + line + some(30) for _ in range(400)]
+        for _ in range(40):
+            behind = some(own)
+            texts += [some(20) + line + behind + some(20) for _ in range(2)]
+    rng.shuffle(texts)
+    seen, want, got = {}, set(), set()
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            seen.setdefault(tuple(t[k : k + 50]), []).append((i, k))
+    for at in seen.values():
+        if len(at) > 1:
+            want |= {(i, j) for i, k in at for j in range(k, k + 50)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for r in suffixes.repeats(d).collect():
+            got |= {(r.doc_id, j) for j in range(r.start_word, r.end_word)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert got == want and len({i for i, _ in want}) == 240
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 24])
 def test_hub_and_spokes_are_one_class_with_all_links(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
