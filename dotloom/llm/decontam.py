@@ -1,13 +1,12 @@
-"""Benchmark decontamination by CGK embedding and bit sampling.
+"""Benchmark decontamination by a banded q-gram count and exact alignment.
 
-Texts become lower-case words of letters and digits. A window the size of an item is embedded by a random walk
-(Chakraborty, Goldenberg, Koucky): step t gives out the current word and moves on if a random bit of (t, word) is
-set, so that few edits give few differing steps. Repeated samples of ``SAMPLED`` steps are bucket keys; a window and
-an item of equal size that share a key are a candidate, and an alignment of words verifies it exactly: the least edit
-distance of the item to any stretch there, at most a fifth of the item's words.
+Texts become lower-case words of letters and digits. A match is a stretch of a document whose edit distance to an item,
+in words, is at most a fifth of the item's words. e edits leave at least m - q + 1 - q * e of an item's q-grams whole,
+and move them by at most e words against each other. So an item is aligned, exactly, around each place where so many
+of its q-grams stand with starts (place in the document less place in the item) that lie within e words; nothing that
+matches is lost, whatever the item's length and its edits, and no candidate is sampled.
 
-Windows are embedded where an item can be: e edits leave at least m - q + 1 - q * e of an item's q-grams whole, so a
-document with fewer has no match (this loses none). The benchmark goes to the workers in blocks of ``BLOCK_ITEMS``
+The benchmark goes to the workers in blocks of ``BLOCK_ITEMS``
 items and ``BLOCK_CHARS`` characters, one pass over the documents a block.
 
 Defined results: null and empty texts match nothing, as do items under two words; items of equal text are matched
@@ -16,7 +15,6 @@ each; rows that repeat give a row each; null ids stay null; empty tables give em
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,26 +23,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import _splitmix, chunks, inside, mix, row_of, text_buffers, window_hashes, with_only, word_hashes, words_of
+from dotloom.llm.common import chunks, inside, row_of, text_buffers, window_hashes, with_only, word_hashes, words_of
 
-#: Edits as a share of an item's words; target recall of the sampling; items of a block.
-EDITS, RECALL, BLOCK_ITEMS, BLOCK_CHARS = 0.2, 0.99, 20_000, 8_000_000
-#: Independent walks, sampled steps of a key, and the share of equal steps that the number of keys is computed for.
-WALKS, SAMPLED, EQUAL_STEPS = 4, 2, 0.4
-KEYS_A_WALK = math.ceil(math.log(1 - RECALL) / math.log(1 - EQUAL_STEPS**SAMPLED) / WALKS)
+#: Edits as a share of an item's words; items and characters of a block.
+EDITS, BLOCK_ITEMS, BLOCK_CHARS = 0.2, 20_000, 8_000_000
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, start_word long, end_word long"
 _SEP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_END = np.uint64(0x5851F42D4C957F2D)
 
 
-def _edits(m: int) -> int:
-    return int(EDITS * m + 1e-9)
+def _edits(m):
+    """Most edits of items of m words (a number or an array)."""
+    return np.floor(EDITS * m + 1e-9).astype(np.int64)
 
 
 def _q(m: int) -> int:
     return 3 if m >= 8 else 2
 
 
+def _least(m: np.ndarray, q: int) -> np.ndarray:
+    """q-grams of an item of m words that the most edits leave whole, one at least."""
+    return np.maximum(m - q + 1 - q * _edits(m), 1)
+
+
 def lowered(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(col)
 
@@ -54,34 +54,7 @@ class Items:
     ids: list
     words: list[np.ndarray]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # q: sorted hashes, item, offset
-    keys: dict[int, tuple[np.ndarray, np.ndarray]]  # size: sorted keys, item
-
-
-def _embedding(words: np.ndarray, starts: np.ndarray, m: int, walk: int) -> np.ndarray:
-    """Steps x windows: the walk's output over words[start : start + m], ``_END`` behind the window and the text."""
-    seeds = _splitmix(2 * m, 1000 + walk)
-    at = np.zeros(len(starts), np.int64)
-    out = np.empty((2 * m, len(starts)), np.uint64)
-    for t in range(2 * m):
-        pos = starts + at
-        sym = np.where((at < m) & (pos < len(words)), words[np.minimum(pos, len(words) - 1)], _END)
-        out[t] = sym
-        at += (mix(sym ^ seeds[t]) & np.uint64(1)).astype(np.int64)
-    return out
-
-
-def window_keys(words: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """windows x keys: bucket keys of the windows of m words."""
-    keys = []
-    for walk in range(WALKS):
-        out = _embedding(words, starts, m, walk)
-        rng = np.random.default_rng([m, walk])
-        for k in range(KEYS_A_WALK):
-            key = np.full(len(starts), walk * 1000 + k + 1, np.uint64)
-            for step in np.sort(rng.choice(2 * m, min(SAMPLED, 2 * m), replace=False)):
-                key = mix(key ^ out[step])
-            keys.append(key)
-    return np.column_stack(keys)
+    size: np.ndarray
 
 
 def load_items(ids: list, texts: list) -> Items:
@@ -89,7 +62,7 @@ def load_items(ids: list, texts: list) -> Items:
     s, e, word_off = words_of(data, off, _SEP)
     h = word_hashes(data, s, e)
     words = [h[a:b] for a, b in zip(word_off, word_off[1:], strict=False)]
-    grams, keys = {}, {}
+    grams = {}
     for q in (2, 3):
         some = [i for i, w in enumerate(words) if len(w) >= 2 and _q(len(w)) == q]
         if some:
@@ -97,13 +70,7 @@ def load_items(ids: list, texts: list) -> Items:
             flat, item, at = np.concatenate(g), np.repeat(some, [len(x) for x in g]), np.concatenate([np.arange(len(x)) for x in g])
             order = np.argsort(flat, kind="stable")
             grams[q] = (flat[order], item[order], at[order])
-    for m in {len(w) for w in words if len(w) >= 2}:
-        some = [i for i, w in enumerate(words) if len(w) == m]
-        k = np.vstack([window_keys(words[i], np.zeros(1, np.int64), m) for i in some])
-        flat, item = k.ravel(), np.repeat(some, k.shape[1])
-        order = np.argsort(flat, kind="stable")
-        keys[m] = (flat[order], item[order])
-    return Items(ids, words, grams, keys)
+    return Items(ids, words, grams, np.array([len(w) for w in words], np.int64))
 
 
 def _ranges(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,40 +113,35 @@ def matches(words: np.ndarray, word_off: np.ndarray, items: Items):
         pair = row * len(items.ids) + item
         seen = np.unique(np.stack([pair, at]), axis=1)[0]
         pairs, n = np.unique(seen, return_counts=True)
-        size = np.array([len(items.words[i]) for i in (pairs % len(items.ids)).tolist()])
-        # Equal grams of one item count once a position, so repeated grams can't lower the number.
-        least = size - q + 1 - q * np.array([_edits(m) for m in size.tolist()])
-        good = pairs[n >= np.maximum(least, 1)]
+        good = pairs[n >= _least(items.size[pairs % len(items.ids)], q)]
         keep = np.isin(pair, good)
-        starts = np.clip(pos[keep] - at[keep], word_off[row[keep]], None)
-        found.append(np.stack([row[keep], item[keep], starts]))
+        pair, start = pair[keep], pos[keep] - at[keep]
+        order = np.lexsort((start, pair))
+        pair, start = pair[order], start[order]
+        # And so many of them within e words: the k-th and the one that many further on.
+        size = items.size[pair % len(items.ids)]
+        far = np.arange(len(pair)) + _least(size, q) - 1
+        there = np.minimum(far, len(pair) - 1)
+        near = np.flatnonzero((far < len(pair)) & (pair[there] == pair) & (start[there] - start <= _edits(size)))
+        found.append(np.stack([pair[near], start[near], start[there[near]]]))
     if not found:
         return
-    cand = np.unique(np.concatenate(found, axis=1), axis=1)
-    size = np.array([len(items.words[i]) for i in cand[1].tolist()])
-    for m in np.unique(size).tolist():
-        part = cand[:, size == m]
-        windows = np.unique(np.stack([part[0], part[2]]), axis=1)
-        hit = set()
-        for r in np.unique(windows[0]).tolist():  # a walk must not leave its row
-            a, b = word_off[r], word_off[r + 1]
-            starts = windows[1][windows[0] == r] - a
-            k = window_keys(words[a:b], starts, m)
-            which, entry = _ranges(items.keys[m][0], k.ravel())
-            hit.update(zip([r] * len(which), items.keys[m][1][entry].tolist(), (starts[which // k.shape[1]] + a).tolist(), strict=True))
-        e, last = _edits(m), None
-        spans: list[list[int]] = []
-        for r, i, s in sorted(hit):
-            if last == (r, i) and s - spans[-1][3] <= m:
-                spans[-1][3] = s
-            else:
-                spans.append([r, i, s, s])
-            last = (r, i)
-        for r, i, s, t in spans:
-            a, b = max(int(word_off[r]), s - e), min(int(word_off[r + 1]), t + m + e)
-            d, x, y = align(items.words[i], words[a:b])
-            if d <= e:
-                yield r, i, d, a + x - int(word_off[r]), a + y - int(word_off[r])
+    cand = np.concatenate(found, axis=1)
+    cand = cand[:, np.lexsort((cand[1], cand[0]))]
+    spans: list[list[int]] = []
+    for p, s, t in cand.T.tolist():
+        if spans and spans[-1][0] == p and s - spans[-1][2] <= items.size[p % len(items.ids)]:
+            spans[-1][2] = max(t, spans[-1][2])
+        else:
+            spans.append([p, s, t])
+    for p, s, t in spans:
+        r, i = divmod(p, len(items.ids))
+        m = int(items.size[i])
+        e = int(_edits(m))
+        a, b = max(int(word_off[r]), s - e), min(int(word_off[r + 1]), t + m + e)
+        d, x, y = align(items.words[i], words[a:b])
+        if d <= e:
+            yield r, i, d, a + x - int(word_off[r]), a + y - int(word_off[r])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

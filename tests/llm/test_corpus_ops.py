@@ -164,6 +164,36 @@ def test_decontamination_finds_edited_items(spark):
     assert all(r.distance <= 0.2 * r.item_words for r in out)
 
 
+def test_decontamination_finds_all_items_at_the_edit_bound(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([5, 10, 15, 40, 60, 120, 120, 200])]
+
+    def least(a, b):
+        d = [0] * (len(b) + 1)
+        for i, w in enumerate(a):
+            new = [i + 1]
+            for j, x in enumerate(b):
+                new.append(min(d[j] + (w != x), d[j + 1] + 1, new[j] + 1))
+            d = new
+        return min(d)
+
+    rows, want = [], {}
+    for k, w in items:
+        for c in range(15):
+            t, e = list(w), len(w) // 5
+            for p in sorted(rng.sample(range(len(t)), e), reverse=True):
+                kind = "sub" if c < 10 else rng.choice(["sub", "del", "ins"])
+                t[p : p + 1] = [word()] if kind == "sub" else [] if kind == "del" else [t[p], word()]
+            text = [word() for _ in range(15)] + t + [word() for _ in range(15)]
+            if (d := least(w, text)) <= e:
+                want[len(rows), k] = d
+            rows.append((len(rows), " ".join(text)))
+    assert len(want) == len(rows)
+    out = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in out} == want
+
+
 def test_alignment_is_the_least_edit_distance():
     rng = np.random.default_rng(4)
     for _ in range(300):
