@@ -9,6 +9,8 @@ matches is lost, whatever the item's length and its edits, and no candidate is s
 The benchmark goes to the workers in blocks of ``BLOCK_ITEMS``
 items and ``BLOCK_CHARS`` characters, one pass over the documents a block.
 
+Stretches of one item don't overlap: the best one of a place is given out, and then those left and right of it.
+
 Defined results: null and empty texts match nothing, as do items under two words; items of equal text are matched
 each; rows that repeat give a row each; null ids stay null; empty tables give empty ones; further columns are ignored.
 """
@@ -98,6 +100,20 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(dist[end]), int(begin[end]), end
 
 
+def stretches(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """Distance, start and end of stretches that don't overlap: the best one, then those left and right of it, until none is within ``most``."""
+    out, parts = [], [(0, len(text))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < max(len(item) - most, 1):
+            continue
+        d, x, y = align(item, text[a:b])
+        if d <= most:
+            out.append((d, a + x, a + y))
+            parts += [(a, a + x), (a + y, b)]
+    return out
+
+
 def matches(words: np.ndarray, word_off: np.ndarray, items: Items):
     """(row, item, distance, start, end) for each stretch of a row's words that an item matches."""
     row_all = row_of(word_off)
@@ -139,8 +155,7 @@ def matches(words: np.ndarray, word_off: np.ndarray, items: Items):
         m = int(items.size[i])
         e = int(_edits(m))
         a, b = max(int(word_off[r]), s - e), min(int(word_off[r + 1]), t + m + e)
-        d, x, y = align(items.words[i], words[a:b])
-        if d <= e:
+        for d, x, y in sorted(stretches(items.words[i], words[a:b], e), key=lambda f: f[1]):
             yield r, i, d, a + x - int(word_off[r]), a + y - int(word_off[r])
 
 

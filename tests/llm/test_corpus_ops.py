@@ -194,6 +194,15 @@ def test_decontamination_finds_all_items_at_the_edit_bound(spark):
     assert {(r.doc_id, r.item_id): r.distance for r in out} == want
 
 
+def test_decontamination_gives_each_repeat_of_an_item(spark):
+    item = [f"w{k}" for k in range(12)]
+    edited = [*item[:5], "other", *item[6:]]
+    text = ["x"] * 3 + item + item + edited + ["y"] * 2 + item + ["z"] * 40 + item
+    d = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(item))], "doc_id long, text string")
+    out = decontam.contaminated(d, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.distance) for r in out) == [(1, 3, 15, 0), (1, 15, 27, 0), (1, 27, 39, 1), (1, 41, 53, 0), (1, 93, 105, 0), (2, 0, 12, 0)]
+
+
 def test_alignment_is_the_least_edit_distance():
     rng = np.random.default_rng(4)
     for _ in range(300):
