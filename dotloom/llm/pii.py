@@ -29,23 +29,28 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9][A-Za-z0-9_-]{7,}+"
 SMALL = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 FORMAT = r"^(?:[0-9a-f]{32,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|AKIA[0-9A-Z]{12,}|(?:sk|pk|ghp|xox[a-z])[-_][A-Za-z0-9_-]{12,})$"
-KEYS = r"(?i)\b(?:token|secret|password|passwd|pwd|api[ _-]?key|key|ssn|iban|passport|account|credential)\b"
+KEYS = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[ _-]?key|key|ssn|iban|passport|account|credential)(?![a-z0-9])"
 KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = 24
 
 
 def spans(text: Column, pattern: str, hint: Column) -> Column:
-    """Matches as array<struct<s, e, m, before>>, code points; ``before`` is the text right ahead. Only where ``hint`` holds."""
+    """Matches as array<struct<s, e, m, before>>, code points; ``before`` is the text right ahead, earlier matches included. Only where ``hint`` holds."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     z = F.arrays_zip(m.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("q"))
     none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,before:string>>)")
 
+    def tail(x):
+        return F.substring(x, -CONTEXT, CONTEXT)
+
     def step(acc, z):
         s = acc["at"] + F.length(z["q"])
         e = s + F.length(z["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), F.substring(z["q"], -CONTEXT, CONTEXT).alias("before")))).alias("out"))
+        before = tail(F.concat(acc["tail"], tail(z["q"])))
+        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"))))
+        return F.struct(e.alias("at"), tail(F.concat(before, tail(z["m"]))).alias("tail"), out.alias("out"))
 
-    found = F.aggregate(z, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    found = F.aggregate(z, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), step)["out"]
     return F.when(hint, found).otherwise(none)
 
 

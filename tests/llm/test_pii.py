@@ -63,3 +63,10 @@ def test_redaction_keeps_columns_and_rows(spark):
 
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keywords_that_are_tokens_themselves_vote(spark):
+    texts = ["passport AB1234567", "my password Zx81kq2204", "credential: Zx81kq2204", 'my_api_token = "Zx81kq2204"', "monkeypassport Zx81kq2204", "wordlike2024 Zx81kq2204", "password " + "far " * 8 + "Zx81kq2204"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x.v.keyword for x in r.cand] for r in pii.with_candidates(pii.with_base(df)).collect()}
+    assert got == {0: [1], 1: [1], 2: [1], 3: [1], 4: [0], 5: [0, 0], 6: [0]}
