@@ -7,8 +7,8 @@ maximal-scoring segments of a document; their extreme-value statistics (Karlin a
 documents' token scores) give E-values, and a Gumbel curve fitted on training documents turns the best segment into a
 score.
 
-The feature counts cover all labelled training documents of different text. The lexicon is bounded: a feature must
-occur in ``LEAST_SHARE`` of the toxic documents, so at most (mean features a document) / LEAST_SHARE can enter. The
+The feature counts cover all labelled training documents of different text. A feature needs two of the toxic ones and
+significance, no share of the documents: the driver and the workers hold all features that are significant. The
 curve's two parameters are fitted on at most ``FIT_ROWS`` training rows.
 
 Defined results: null and empty texts have no passages and the least score; a table without both classes gives every
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from dotloom.llm.common import held_out, with_only
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Prior mass, least z and log-odds of a lexicon feature, and least share of toxic documents that have it.
-PRIOR, LEAST_Z, LEAST_ODDS, LEAST_SHARE = 50.0, 3.0, 2.0, 0.004
+#: Prior mass, least z and log-odds of a lexicon feature.
+PRIOR, LEAST_Z, LEAST_ODDS = 50.0, 3.0, 2.0
 #: Score of other tokens, E-value of a significant passage, rows that the curve is fitted on.
 OTHER, MOST_E, FIT_ROWS = -0.5, 0.01, 20_000
 HEAD = 4
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     rows = (
         table.df.where("f NOT IN ('$docs', '$tokens')").withColumn("n", F.col("a") + F.col("b")).withColumn("p", prior)
         .withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b)})
-        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS) & (F.col("a") >= max(2.0, LEAST_SHARE * n1)))
+        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS) & (F.col("a") >= 2))
         .select("f", "odds", "b").collect()
     )
     table.drop()

@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -235,6 +236,16 @@ def test_held_out_accuracy(spark, name, label, least):
     assert r.a >= least
 
 
+def test_rare_significant_words_enter_the_lexicon(spark):
+    rng = random.Random(8)
+    ids = [i for i in range(26_000) if zlib.crc32(str(i).encode()) % 5][:20_000]
+    rows = [[i, " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(6)), int(k < 3000)] for k, i in enumerate(ids)]
+    for r in rows[:8] + rows[-1:]:
+        r[1] += " zzrareword"
+    m = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert m is not None and "zzrareword" in m.words
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
