@@ -1,7 +1,9 @@
 """Operators against brute force on small fixtures, and the defined results of edge cases."""
 
+import hashlib
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -253,6 +255,80 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_each_stage_equals_brute(spark, tmp_path):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    items = [some(12), some(30)]
+    rows, toxic = [], []
+    for k in range(1400):
+        bad = k % 4 == 0
+        t = some(30)
+        if bad:
+            t[3:9] = ["vilest", "nastiest", "hatefully"] * 2
+        toxic.append(bad)
+        rows.append(t)
+    for k in range(1, 400, 8):  # near copies of clean documents, one word changed at the end; some are exact
+        rows.append([*rows[k][:-1], word() if k % 16 == 1 else rows[k][-1]])
+        toxic.append(False)
+    for k in range(3, 400, 8):
+        item = list(items[k % 16 == 3])
+        for p in rng.sample(range(len(item)), len(item) // 5):
+            item[p] = word()
+        rows[k][10:10] = item
+    for k in range(5, 400, 8):
+        rows[k][7:7] = [f"mail u{k}@host.example or 10.0.{k % 250}.7"]
+    docs = [(i, " ".join(t)) for i, t in enumerate(rows)] + [(None, "vilest nastiest without an id")]
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def distance(a, b):
+        d = [0] * (len(b) + 1)
+        for i, w in enumerate(a):
+            new = [i + 1]
+            for j, x in enumerate(b):
+                new.append(min(d[j] + (w != x), d[j + 1] + 1, new[j] + 1))
+            d = new
+        return min(d)
+
+    def first_copies(now):
+        label, sets = {i: i for i, _ in now if i is not None}, {i: grams(t) for i, t in now if i is not None}
+        at = {}
+        for i, x in sets.items():
+            for g in x:
+                at.setdefault(g, []).append(i)
+        links = {(i, j) for x in at.values() for i in x for j in x if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        for _ in now:
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        return [(i, t) for i, t in now if i is None or label[i] == i]
+
+    rules = {
+        "toxicity": lambda now: [(i, t) for i, t in now if i is None or not toxic[i]],
+        "near_copies": first_copies,
+        "decontamination": lambda now: [(i, t) for i, t in now if i is None or all(distance(x, re.findall("[a-z0-9]+", t)) > len(x) // 5 for x in items)],
+        "pii": lambda now: [(i, re.sub(r"10\.0\.[0-9]+\.7", "[IP]", re.sub(r"u[0-9]+@host\.example", "[EMAIL]", t))) for i, t in now],
+        "sentencepiece": lambda now: now,
+    }
+    want, got = docs, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        n = len(want)
+        want, got = rules[name](want), stage(spark, got, str(tmp_path)).localCheckpoint()
+        assert len(want) < n or name in ("pii", "sentencepiece")
+        if name == "sentencepiece":
+            digests = [(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want]
+            assert sorted(((r.doc_id, r.decoded_sha256) for r in got.collect()), key=str) == sorted(digests, key=str)
+            continue
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str), name
+        if name == "pii":
+            assert all(r.n_chars == len(r.text) for r in got.collect())
+
+
 def test_pipeline_keeps_clean_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
