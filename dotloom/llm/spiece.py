@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding of a BPE model by suffix-array matching.
 
-The distinct words of a batch are laid behind each other and indexed by a suffix array (prefix doubling up to the
-longest piece). Every piece is found by binary search as a range of the array; the ranges' positions are the edges
-of a lattice, sorted by where they end and relaxed in that order. A BPE model has no additive path score, so the
+The words of a batch of texts are laid behind each other, equal words once, and indexed by a suffix array (prefix
+doubling up to the longest piece). Every piece is found by binary search as a range of the array; the ranges'
+positions are the edges of a lattice, sorted by where they end and relaxed in that order. A BPE model has no additive path score, so the
 relaxation keeps, for each prefix of a word, the one piece that the model's own encoding of the prefix ends with: an
 edge counts if the piece before it and its own piece stay apart when both are merged from characters. That gives the
 ids of the SentencePiece library itself. Words of one text never merge with each other, since no piece has the word
-mark inside.
+mark inside. Nothing is remembered from batch to batch but which two pieces stay apart.
 
 The model file is a parameter and is only read. Defined results: a null or empty text has no ids; characters outside
 the vocabulary fall back to bytes; ids decode to the text again (U+2581 as a space, as in the library); equal texts
@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from dotloom.llm.common import _splitmix, mix, span_hashes, with_only
+from dotloom.llm.common import _splitmix, chunks, mix, span_hashes, with_only
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters that are encoded together, and words of earlier batches whose ids a worker remembers.
-BATCH_CHARS, KNOWN_WORDS = 1_500_000, 400_000
+#: UTF-8 bytes of the texts that are encoded together (one text may have more).
+BATCH_BYTES = 600_000
 _NONE = np.int64(1) << 40
 
 
@@ -52,6 +52,8 @@ class Model:
     longest: int  # marks in that piece
     mark: int  # id of the single mark
     words: int  # packed words to a key
+    order: dict[str, int]  # rank of each piece that merges make
+    id_of: dict[str, int]
 
     @property
     def v(self) -> int:
@@ -127,11 +129,11 @@ def load_model(path: str = DEFAULT_MODEL) -> Model:
     keys = np.zeros((len(use), 4 * words), np.int64)
     for k, i in enumerate(use):
         keys[k, : len(pieces[i])] = [char_of[c] for c in pieces[i]]
-    return Model(pieces, sp.unk_id(), byte_ids, char_of, single, np.array(use, np.int64), _packed(keys, words), length, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), runs, longest, run_id[MARK], words)
+    return Model(pieces, sp.unk_id(), byte_ids, char_of, single, np.array(use, np.int64), _packed(keys, words), length, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), runs, longest, run_id[MARK], words, order, id_of)
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of known words and which pieces stay apart."""
+    """Encodes batches of texts; keeps which pieces stay apart."""
 
     TABLE = 1 << 21
 
@@ -143,8 +145,6 @@ class Encoder:
         self.other = m.v  # a character without piece
         self.apart_key = np.full(self.TABLE, -1, np.int64)
         self.apart_value = np.zeros(self.TABLE, bool)
-        self.known = np.zeros(0, np.uint64)
-        self.known_off, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.low = m.piece_keys
         mask = np.zeros_like(m.piece_keys)
         full = np.uint64(0xFFFF)
@@ -201,49 +201,57 @@ class Encoder:
         return out
 
     # -- suffix array
-    def _suffixes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array by the first 4 * words characters, and each position's first four packed."""
+    def _suffixes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Suffix array by the longest piece's characters, its sorted keys, and each doubling's distinct keys before."""
         n, m = len(text), self.m
         t = np.zeros(n + 4, np.uint64)
         t[:n] = text
-        four = (t[:n] << np.uint64(48)) | (t[1 : n + 1] << np.uint64(32)) | (t[2 : n + 2] << np.uint64(16)) | t[3 : n + 3]
-        key, known = four, 4
+        key, known, tables = (t[:n] << np.uint64(48)) | (t[1 : n + 1] << np.uint64(32)) | (t[2 : n + 2] << np.uint64(16)) | t[3 : n + 3], 4, []
         while True:
             sa = np.argsort(key)
-            if known >= 4 * m.words:
-                return sa, four
             s = key[sa]
-            new = np.empty(n, np.uint64)
-            new[sa] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]).astype(np.uint64) + np.uint64(1)
+            if known >= 4 * m.words:
+                return sa, s, tables
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            tables.append(s[first])
+            rank = np.empty(n, np.uint64)
+            rank[sa] = np.cumsum(first).astype(np.uint64)
             later = np.zeros(n, np.uint64)
-            later[: n - known] = new[known:] if known < n else 0
-            key = (new << np.uint64(32)) | later
+            later[: max(0, n - known)] = rank[known:]
+            key = (rank << np.uint64(32)) | later
             known *= 2
 
-    def _ranges(self, sa: np.ndarray, four: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every piece, the range of the suffix array that begins with it; all pieces are searched in step."""
-        m, n = self.m, len(sa)
-        padded = np.concatenate([four, np.zeros(4 * m.words, np.uint64)])
-
-        def search(keys: np.ndarray, above: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), n, np.int64)
-            while True:
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    return lo
-                mid = (lo[open_] + hi[open_]) >> 1
-                at = sa[mid]
-                less, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-                for w in range(m.words):
-                    x, y = padded[at + 4 * w], keys[open_, w]
-                    less |= same & (x < y)
-                    same &= x == y
-                if above:
-                    less |= same
-                lo[open_[less]] = mid[less] + 1
-                hi[open_[~less]] = mid[~less]
-
-        return search(self.low, False), search(self.high, True)
+    def _ranges(self, keys: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of every piece, the range of the suffix array that begins with it.
+
+        The piece's blocks of four characters become ranges of ranks, blocks join in pairs as in the doubling, and the
+        last range is searched in the array's keys. ``gone``: a block that no position has.
+        """
+        m, any_, size = self.m, np.uint64(0xFFFFFFFF), 4
+        length = m.piece_len[m.piece_ids]
+        lo, hi = list(self.low.T), list(self.high.T)
+        for table in tables:
+            if len(lo) % 2:
+                lo, hi = [*lo, np.zeros_like(lo[0])], [*hi, np.full_like(hi[0], any_)]
+            r_lo, r_hi = [], []
+            for b, (x, y) in enumerate(zip(lo, hi, strict=True)):
+                has = np.flatnonzero(length > b * size)
+                u, v = np.zeros_like(x), np.full_like(x, any_)
+                u[has], v[has] = np.searchsorted(table, x[has], "left") + 1, np.searchsorted(table, y[has], "right")
+                r_lo.append(u)
+                r_hi.append(v)
+            lo, hi = [], []
+            for b in range(0, len(r_lo), 2):
+                on = length > (b + 1) * size
+                gone = (r_lo[b] > r_hi[b]) | (on & (r_lo[b + 1] > r_hi[b + 1]))
+                low = (r_lo[b] << np.uint64(32)) | np.where(on, r_lo[b + 1], np.uint64(0))
+                high = (np.where(on, r_lo[b], r_hi[b]) << np.uint64(32)) | np.where(on, r_hi[b + 1], any_)
+                low[gone], high[gone] = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
+                lo.append(low)
+                hi.append(high)
+            size *= 2
+        first = np.searchsorted(keys, lo[0], "left")
+        return first, np.maximum(first, np.searchsorted(keys, hi[0], "right"))
 
     def _encode_words(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, each with the word mark ahead; characters without piece stay as ``other``."""
@@ -256,8 +264,9 @@ class Encoder:
         body = (within > 0) & (within < np.repeat(size - 1, size))
         text[off[:-1]] = m.char_of[MARK]
         text[body] = self.lookup[chars[(np.repeat(starts - 1, size) + within)[body]]]
-        sa, four = self._suffixes(text)
-        lo, hi = self._ranges(sa, four)
+        sa, keys, tables = self._suffixes(text)
+        lo, hi = self._ranges(keys, tables)
+        del keys, tables
         count = hi - lo
         which = np.repeat(np.arange(len(count)), count)
         pos = sa[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
@@ -294,13 +303,22 @@ class Encoder:
             at = at - length[t]
             keep = at > off[word]
             at, word = at[keep], word[keep]
-        if broken.any():
-            raise RuntimeError("a word has no encoding: the model's merges are not as expected")
         ids, owner = np.concatenate(ids_back), np.concatenate(word_back)
         step = np.repeat(np.arange(len(ids_back)), [len(x) for x in ids_back])
+        if broken.any():  # a model whose merges are not as expected: plain merging of these words
+            keep = ~broken[owner]
+            own = [(w, self._plain(chars[starts[w] : ends[w]])) for w in np.flatnonzero(broken).tolist()]
+            ids = np.concatenate([ids[keep], *[x for _, x in own]])
+            owner = np.concatenate([owner[keep], *[np.full(len(x), w) for w, x in own]])
+            step = np.concatenate([step[keep], *[-np.arange(len(x)) for _, x in own]])
         order = np.lexsort((-step, owner))
         return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_words))])
 
+    def _plain(self, chars: np.ndarray) -> np.ndarray:
+        """Ids of one word by plain merging."""
+        word = [MARK, *map(chr, chars.tolist())]
+        return np.array([self.m.id_of.get(p, self.other) for p in merge(word, self.m.order)[0]], np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's offsets among them."""
         m = self.m
@@ -324,43 +342,13 @@ class Encoder:
         with np.errstate(over="ignore"):
             values = self.codes[cps & 4095] + mix(cps.astype(np.uint64))
         h = span_hashes(values, starts, ends, 0)
-        distinct, first_at, back = np.unique(h, return_index=True, return_inverse=True)
+        _, first_at, back = np.unique(h, return_index=True, return_inverse=True)
         other_hash = span_hashes(values, starts, ends, 1)
-        if (other_hash[first_at][back] != other_hash).any():  # two words share a hash: this batch does without
-            distinct, first_at, back = np.unique(np.stack([h, other_hash], 1), axis=0, return_index=True, return_inverse=True)
-            ids, off = self._encode_words(cps, starts[first_at], ends[first_at])
-        else:
-            ids, off = self._with_known(distinct, cps, starts[first_at], ends[first_at])
+        if (other_hash[first_at][back] != other_hash).any():  # two words share a hash: both tell them apart
+            _, first_at, back = np.unique(np.stack([h, other_hash], 1), axis=0, return_index=True, return_inverse=True)
+        ids, off = self._encode_words(cps, starts[first_at], ends[first_at]) if len(starts) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         return self._spread(cps, starts, row, marks, back.ravel(), ids, off, row_off, ends, lens)
 
-    def _with_known(self, h, cps, starts, ends):
-        k = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        have = self.known[k] == h if len(self.known) else np.zeros(len(h), bool)
-        fresh = np.flatnonzero(~have)
-        if len(fresh):
-            ids_f, off_f = self._encode_words(cps, starts[fresh], ends[fresh])
-        else:
-            ids_f, off_f = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        base = len(self.known_ids)
-        begin = np.zeros(len(h), np.int64)
-        count = np.zeros(len(h), np.int64)
-        begin[have], count[have] = self.known_off[k[have]], (self.known_off[1:] - self.known_off[:-1])[k[have]] if have.any() else 0
-        begin[fresh], count[fresh] = base + off_f[:-1], np.diff(off_f)
-        pool = np.concatenate([self.known_ids, ids_f])
-        ids, off = _gather(pool, begin, count)
-        # Short words are worth remembering; the store starts anew when it is full.
-        small = fresh[(ends - starts)[fresh] <= 24]
-        if len(self.known) + len(small) > KNOWN_WORDS:
-            self.known, self.known_off, self.known_ids = h, off, ids  # the words of this batch
-        elif len(small):
-            kc = np.diff(self.known_off)
-            all_h = np.concatenate([self.known, h[small]])
-            all_b, all_c = np.concatenate([self.known_off[:-1], begin[small]]), np.concatenate([kc, count[small]])
-            o = np.argsort(all_h)
-            self.known = all_h[o]
-            self.known_ids, self.known_off = _gather(pool, all_b[o], all_c[o])
-        return ids, off
-
     def _run_split(self, r: int) -> tuple[int, int]:
         """Longest pieces ahead, and marks of the run that are left."""
         ahead = max(0, r // self.m.longest - 1)
@@ -443,17 +431,14 @@ class Decoder:
 
 
 # ---------------------------------------------------------------- DataFrame operators
-def _parts(batches, column):
-    for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        start = total = 0
-        for k, t in enumerate(texts):
-            if k > start and total + len(t) > BATCH_CHARS:
-                yield batch.slice(start, k - start), texts[start:k]
-                start, total = k, 0
-            total += len(t)
-        if len(texts) > start:
-            yield batch.slice(start), texts[start:]
+def _parts(batches):
+    """Small slices of the batches, their texts, null as empty."""
+    for part, _, _ in chunks(batches, limit=BATCH_BYTES):
+        yield part, [t or "" for t in part.column("text").to_pylist()]
+
+
+def _lists(off: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -462,37 +447,46 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for part, texts in _parts(batches, "text"):
+        for part, texts in _parts(batches):
             ids, off = encoder.encode(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "token_ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _lists(off, ids)], ["doc_id", "token_ids"])
 
     return with_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>")
 
 
-def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, digest: bool = False) -> DataFrame:
-    """(doc_id, token_ids) to (doc_id, text); with ``digest`` also the ids' number, and the text's SHA-256 instead of it."""
+def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """(doc_id, token_ids) to (doc_id, text); null ids are none."""
     shared = tokens.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches):
         decoder = Decoder(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 col = batch.column("token_ids")
                 if col.null_count:
                     col = pa.array([x or [] for x in col.to_pylist()], pa.list_(pa.int32()))
                 off = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
                 texts = decoder.decode(col.flatten().to_numpy(zero_copy_only=False), off)
-                if digest:
-                    cols = [batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), col, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "token_ids", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "text"])
+
+    return with_only(tokens, "doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+
+
+def round_trip(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256): ids of each text, and the SHA-256 of what they decode to, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+
+    def run(batches):
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for part, texts in _parts(batches):
+            ids, off = encoder.encode(texts)
+            digest = [hashlib.sha256(t).hexdigest() for t in decoder.decode(ids, off)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off), pa.int64()), _lists(off, ids), pa.array(digest, pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded_sha256"])
 
-    schema = "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string" if digest else "doc_id long, text string"
-    return with_only(tokens, "doc_id", "token_ids").mapInArrow(run, schema)
+    return with_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text of ``documents``, and the digest of what they decode to."""
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), digest=True)
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
