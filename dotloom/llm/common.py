@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +23,18 @@ _M = np.uint64
 
 # ---------------------------------------------------------------- shared storage
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, as in tests, a local session gets a folder of its own, removed at exit; a cluster's folder can't
+    be guessed, so there ValueError is raised.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="dotloom-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="dotloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -43,12 +54,12 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Stored:
-    """A table written to the shared folder: ``df`` reads it, ``drop()`` deletes it."""
+    """A table written to the shared folder, in folders by column ``by`` if given: ``df`` reads it, ``drop()`` deletes it."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, name: str):
+    def __init__(self, spark: SparkSession, df: DataFrame, name: str, by: str | None = None):
         self.spark, self.path = spark, f"{shared_dir(spark)}/dotloom-{name}-{uuid.uuid4().hex}"
         schema = df.schema
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.df = spark.read.schema(schema).parquet(self.path)
         atexit.register(_remove_at_exit, spark, self.path)
 
@@ -56,9 +67,15 @@ class Stored:
         remove(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> Stored:
+def stored(df: DataFrame, name: str, by: str | None = None) -> Stored:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder, so that a lost executor loses nothing."""
-    return Stored(df.sparkSession, df, name)
+    return Stored(df.sparkSession, df, name, by)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the exchange files of tables that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- Arrow batches
@@ -192,23 +209,34 @@ def with_only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def least_hashed(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` of the rows, a documented sample for a fit: those with the least hash of the columns.
+
+    Rows far above the n-th hash go first, by its expected place, so that no partition sends n rows to one task.
+    """
+    total, place = rows.count(), F.xxhash64(*columns).bitwiseAND(F.lit((1 << 32) - 1))
+    if total > 2 * n:
+        rows = rows.where(place < int((1 << 32) * 1.5 * n / total))
+    return rows.orderBy(place, *columns).limit(n)
+
+
 def held_out(column: str = "doc_id"):
     """The evaluation fold: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 # ---------------------------------------------------------------- components
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> Stored:
+def components(edges: DataFrame, name: str) -> Stored:
     """Connected components of the edges (u, v), both long: a table (node, label), label the least node.
 
     Each round takes the least label over a node's neighbours and then follows labels once more (pointer
     jumping), so paths halve. Labels are written to the shared folder each round. Joins meet on a side with one
     row a node, and both sides are stored tables, so that a hot node's rows can be split by adaptive execution.
-    An empty edge table gives an empty table. Raises if ``most_rounds`` rounds don't settle it.
+    Labels only fall, so the rounds end. An empty edge table gives an empty table.
     """
     both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), f"{name}-edges")
     labels = stored(both.df.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-labels")
-    for _ in range(most_rounds):
+    while True:
         at = labels.df.select(F.col("node").alias("v"), F.col("label").alias("theirs"))
         near = stored(both.df.join(at, "v").groupBy(F.col("u").alias("node")).agg(F.min("theirs").alias("near")), f"{name}-near")
         hooked = stored(labels.df.join(near.df, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), f"{name}-hooked")
@@ -222,4 +250,3 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> Stored:
             both.drop()
             labels.df = labels.df.select("node", "label")
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
