@@ -1,15 +1,16 @@
 """Legacy archive converter: ARC files, version 1 and 2, to WARC 1.0 records, and WARC files read back.
 
 ``parse_arc`` reads the version block, whose second line names the fields of the header lines, and cuts records by
-their declared lengths. ``to_warc`` synthesises what WARC asks for and ARC lacks: record ids (from the record's own
-content, so a rerun gives the same), W3C timestamps, record types and SHA-1 digests of block and payload. Records
-with a payload seen before become ``revisit`` records of the identical-payload-digest profile.
+their declared lengths. ``to_warc`` synthesises what WARC asks for and ARC lacks: record ids (from the archive's name,
+the record's offset in it and its content, so equal records differ and a rerun gives the same), W3C timestamps, record
+types and SHA-1 digests of block and payload. Records with a payload seen before become ``revisit`` records of the
+identical-payload-digest profile, which name the response's record id, target and date.
 
 Archives travel as rows of bytes of about a megabyte, one row an archive; WARC archives have one gzip member a record.
 
 Defined results: null html is an empty payload; a null url is written as ``unknown:``; rows with a null page_id revisit
 the group's response, or are responses if no row of the group has an id; rows that share the smallest page_id are all
-responses; an empty table gives an empty one; further columns are ignored. A damaged archive gives its records up to
+responses (revisits name that of the least record id); an empty table gives an empty one; further columns are ignored. A damaged archive gives its records up to
 the damage and one row with ``error`` set.
 """
 
@@ -22,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,31 +59,35 @@ def arc_record(version: int, url: str, date: str, mime: str, block: bytes, offse
     return f"{url} 0.0.0.0 {date} {mime}{extra} {len(block)}\n".encode() + block + b"\n"
 
 
-def gunzip_members(data: bytes, step: int = 1 << 15) -> bytes:
-    """All gzip members behind each other; other data as it is."""
+def gunzip_members(data: bytes, step: int = 1 << 15) -> tuple[bytes, str | None]:
+    """All whole gzip members behind each other, and what ended them early; other data as it is."""
     if data[:2] != b"\x1f\x8b":
-        return data
+        return data, None
     out, at = [], 0
     while at < len(data):
-        d, pos = zlib.decompressobj(31), at
-        while not d.eof:
-            if pos >= len(data):
-                raise ValueError("gzip member without end")
-            out.append(d.decompress(data[pos : pos + step]))
-            pos = min(pos + step, len(data))
+        d, pos, own = zlib.decompressobj(31), at, []
+        try:
+            while not d.eof:
+                if pos >= len(data):
+                    return b"".join(out), "gzip member without end"
+                own.append(d.decompress(data[pos : pos + step]))
+                pos = min(pos + step, len(data))
+        except zlib.error as e:
+            return b"".join(out), str(e)
+        out += own
         at = pos - len(d.unused_data)
-    return b"".join(out)
+    return b"".join(out), None
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file as their header fields, ``version`` and ``block``. Raises ValueError at damage."""
-    data = gunzip_members(data)
+    """Records of an ARC file as their header fields, ``version``, ``offset`` and ``block``. Raises ValueError at damage."""
+    data, damage = gunzip_members(data)
     fields, version, at = None, 0, 0
     while at < len(data):
         if data[at : at + 1] == b"\n":  # between records
             at += 1
             continue
-        end = data.find(b"\n", at)
+        end, offset = data.find(b"\n", at), at
         if end < 0:
             raise ValueError("header line without end")
         line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
@@ -104,7 +110,9 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             if fields[0] != "URL" or fields[-1] != "Archive-length":
                 raise ValueError("unknown header fields")
             continue
-        yield dict(zip(names, parts, strict=True)) | {"version": version, "block": block}
+        yield dict(zip(names, parts, strict=True)) | {"version": version, "offset": offset, "block": block}
+    if damage:
+        raise ValueError(damage)
 
 
 # ---------------------------------------------------------------- WARC
@@ -116,7 +124,7 @@ def iso_date(arc_date: str) -> str:
 
 
 def record_id(*parts: str) -> str:
-    """A version 5 UUID of the record's own content."""
+    """A version 5 UUID of what the parts say."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(parts))}>"
 
 
@@ -136,20 +144,23 @@ def http_field(head: bytes, name: bytes) -> str | None:
     return None
 
 
-def to_warc(url: str, date: str, head: bytes, payload: bytes, digest: str, page_id, refers_to=None, revisit: bool = False) -> bytes:
-    """A WARC record, one gzip member. A revisit keeps the HTTP head alone; the digest is the payload's."""
-    block = head if revisit else head + payload
+def to_warc(url: str, date: str, head: bytes, payload: bytes, digest: str, own_id: str, response: dict | None = None) -> bytes:
+    """A WARC record, one gzip member. ``response`` (page_id, record_id, url, date) makes it a revisit of that record, which keeps the HTTP head alone; the digest is the payload's."""
+    block = head if response else head + payload
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'revisit' if revisit else 'response' if head else 'resource'}",
-        f"WARC-Record-ID: {record_id(url, date, digest, str(page_id))}",
+        f"WARC-Type: {'revisit' if response else 'response' if head else 'resource'}",
+        f"WARC-Record-ID: {own_id}",
         f"WARC-Date: {iso_date(date)}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{sha1_32(block)}",
     ]
-    if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page: {refers_to}"]
+    if response:
+        lines += [
+            f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {response['record_id']}", f"WARC-Refers-To-Target-URI: {response['url']}",
+            f"WARC-Refers-To-Date: {iso_date(response['date'])}", f"X-Refers-To-Page: {response['page_id']}",
+        ]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -157,7 +168,7 @@ def to_warc(url: str, date: str, head: bytes, payload: bytes, digest: str, page_
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and blocks of a WARC file. Raises ValueError at damage."""
-    data = gunzip_members(data)
+    data, damage = gunzip_members(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -175,13 +186,15 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if data[at : at + 4] != b"\r\n\r\n":
             raise ValueError("record without end")
         at += 4
+    if damage:
+        raise ValueError(damage)
 
 
 # ---------------------------------------------------------------- DataFrame operators
 ARC_SCHEMA = "name string, version int, bytes binary"
-RECORD_SCHEMA = "url string, date string, mime string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string, error string"
+RECORD_SCHEMA = "url string, date string, mime string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string, record_id string, error string"
 WARC_SCHEMA = "bytes binary"
-READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, record_date string, url string, error string"
+READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, record_date string, url string, error string"
 
 
 def _url(url: str | None) -> str:
@@ -190,24 +203,27 @@ def _url(url: str | None) -> str:
 
 
 def pages_to_arc(pages: DataFrame, date: str = DEFAULT_DATE) -> DataFrame:
-    """(page_id, url, html) as ARC archives: even ids in version 1, others in version 2."""
+    """(page_id, url, html) as ARC archives, named by partition and number: even ids in version 1, others in version 2."""
 
     def run(batches):
         open_: dict[int, list[bytes]] = {}
-        size = {1: 0, 2: 0}
+        size, number, part = {1: 0, 2: 0}, {1: 0, 2: 0}, TaskContext.get().partitionId()
 
         def close(version):
-            out = pa.RecordBatch.from_arrays([pa.array([f"v{version}.arc"]), pa.array([version], pa.int32()), pa.array([b"".join(open_.pop(version))], pa.binary())], ["name", "version", "bytes"])
-            size[version] = 0
+            out = pa.RecordBatch.from_arrays([pa.array([named(version)]), pa.array([version], pa.int32()), pa.array([b"".join(open_.pop(version))], pa.binary())], ["name", "version", "bytes"])
+            size[version], number[version] = 0, number[version] + 1
             return out
 
+        def named(version):
+            return f"{part:06d}-{number[version]:06d}-v{version}.arc"
+
         for batch in batches:
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 version = 2 if page is None else 1 + page % 2
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
                 head += ("" if page is None else f"X-Page-Id: {page}\r\n") + "\r\n"
-                name = f"v{version}.arc"
+                name = named(version)
                 parts = open_.setdefault(version, [arc_head(version, name, date)])
                 parts.append(arc_record(version, _url(url), date, "text/html", head.encode() + payload, size[version], name))
                 size[version] += len(parts[-1])
@@ -219,38 +235,41 @@ def pages_to_arc(pages: DataFrame, date: str = DEFAULT_DATE) -> DataFrame:
     return with_only(pages, "page_id", "url", "html").mapInArrow(run, ARC_SCHEMA)
 
 
-def read_arc(archives: DataFrame) -> DataFrame:
-    """ARC archives (bytes) to records: HTTP head, payload, its length and digest."""
+def read_arc(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """ARC archives (name, bytes) to records: HTTP head, payload (both null without ``payloads``), its length and digest, record id."""
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
-    def rows(data):
+    def rows(name, data):
         try:
             for r in parse_arc(data or b""):
                 head, payload = split_http(r["block"])
-                page = http_field(head, b"x-page-id")
-                yield (r["URL"], r["Archive-date"], r["Content-type"], int(page) if page and page.lstrip("-").isdigit() else None, head, payload, len(payload), sha1_32(payload), None)
+                page, digest = http_field(head, b"x-page-id"), sha1_32(payload)
+                own = record_id(name or "", str(r["offset"]), r["URL"], digest)
+                bodies = (head, payload) if payloads else (None, None)
+                yield (r["URL"], r["Archive-date"], r["Content-type"], int(page) if page and page.lstrip("-").isdigit() else None, *bodies, len(payload), digest, own, None)
         except (ValueError, IndexError, KeyError) as e:
-            yield (None,) * 8 + (str(e),)
+            yield (None,) * 9 + (str(e),)
 
     def run(batches):
-        schema = pa.schema([("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("page_id", pa.int64()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
+        schema = pa.schema([("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("page_id", pa.int64()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("error", pa.string())])
         for batch in batches:
-            for data in batch.column("bytes").to_pylist():
-                got = list(rows(data))
+            for k in range(batch.num_rows):
+                got = list(rows(batch.column("name")[k].as_py(), batch.column("bytes")[k].as_py()))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], names)
 
-    return with_only(archives, "bytes").mapInArrow(run, RECORD_SCHEMA)
+    return with_only(archives, "name", "bytes").mapInArrow(run, RECORD_SCHEMA)
 
 
 def write_warc(records: DataFrame) -> DataFrame:
-    """Records with ``revisit`` and ``refers_to`` to WARC archives of about a megabyte of payload."""
+    """Records with ``response`` (see ``mark_revisits``) to WARC archives of about a megabyte of payload."""
+    cols = ("url", "date", "head", "payload", "payload_digest", "record_id", "response")
 
     def run(batches):
         parts, size = [], 0
-        cols = ("url", "date", "head", "payload", "payload_digest", "page_id", "refers_to", "revisit")
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
+            for k in range(batch.num_rows):
+                row = [batch.column(c)[k].as_py() for c in cols]
                 parts.append(to_warc(*row))
                 size += len(row[3])
                 if size >= ARCHIVE_BYTES:
@@ -259,19 +278,19 @@ def write_warc(records: DataFrame) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["bytes"])
 
-    return with_only(records, "url", "date", "head", "payload", "payload_digest", "page_id", "refers_to", "revisit").mapInArrow(run, WARC_SCHEMA)
+    return with_only(records, *cols).mapInArrow(run, WARC_SCHEMA)
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """WARC archives (bytes) to one row a record. A response's digest is computed anew; a wrong one is an error."""
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
     names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
 
     def rows(data):
         try:
             for f, block in parse_warc(data or b""):
                 head, payload = split_http(block)
-                page, refers, digest = http_field(head, b"x-page-id"), f.get("warc-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:")
+                page, refers, digest = http_field(head, b"x-page-id"), f.get("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:")
                 kind, error = f.get("warc-type"), None
                 if kind == "revisit":
                     size = int(http_field(head, b"content-length") or 0)
@@ -279,9 +298,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     size, own = len(payload), sha1_32(payload)
                     error = None if own == digest else "payload digest differs"
                     digest = own
-                yield (int(page) if page else None, size, digest, kind, int(refers) if refers else None, f.get("warc-record-id"), f.get("warc-date"), f.get("warc-target-uri"), error)
+                yield (int(page) if page else None, size, digest, kind, int(refers) if refers else None, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-date"), f.get("warc-target-uri"), error)
         except ValueError as e:
-            yield (None,) * 8 + (str(e),)
+            yield (None,) * 9 + (str(e),)
 
     def run(batches):
         for batch in batches:
@@ -293,23 +312,32 @@ def read_warc(archives: DataFrame) -> DataFrame:
     return with_only(archives, "bytes").mapInArrow(run, READ_SCHEMA)
 
 
-def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds ``revisit`` and ``refers_to``: of equal payloads of at least ``least_bytes``, all but the smallest page_id.
+def first_responses(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(payload_digest, first): page_id, record_id, url and date of the row with the smallest page_id, of payloads of at least ``least_bytes``."""
+    first = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))
+    return records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(first).alias("first"))
 
-    The first ids are counted with partial sums and stored, so the join's sides are plain exchanges whose hot
-    digests adaptive execution can split.
+
+def mark_revisits(records: DataFrame, first: DataFrame) -> DataFrame:
+    """Adds ``response``: what a record revisits, null for responses. Null ids revisit; rows of the smallest page_id don't.
+
+    ``first`` is a stored table with a row a digest, so the join's sides are plain exchanges whose hot digests adaptive
+    execution can split.
     """
-    first = stored(records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id")), "warc-first")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return records.join(first.df, "payload_digest", "left").withColumn("revisit", again).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return records.join(first, "payload_digest", "left").withColumn("response", F.when(again, F.col("first"))).drop("first")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as ARC, converted to WARC archives in the shared folder, which are then read back."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    records = stored(read_arc(pages_to_arc(pages)).where("error IS NULL"), "warc-records")
-    archives = stored(write_warc(mark_revisits(records.df)), "warc-archives")
-    records.drop()
+    """``pages`` as ARC, converted to WARC archives in the shared folder, which are then read back.
+
+    The ARC archives are parsed twice, for the digests and for the payloads, so that payloads lie in one exchange and
+    in the WARC archives alone.
+    """
+    arc = pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    first = stored(first_responses(read_arc(arc, payloads=False).where("error IS NULL")), "warc-first")
+    archives = stored(write_warc(mark_revisits(read_arc(arc).where("error IS NULL"), first.df)), "warc-archives")
+    first.drop()
     return read_warc(archives.df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
