@@ -4,16 +4,16 @@ Features are lower-case letter tokens and their four-letter beginnings. Their lo
 labelled documents take an informative Dirichlet prior; features with a significant z enter the lexicon. A token
 scores its best lexicon weight, any other token a constant below zero. The linear scan of Ruzzo and Tompa gives all
 maximal-scoring segments of a document; their extreme-value statistics (Karlin and Altschul: lambda from the clean
-documents' token scores) give E-values, and a Gumbel curve fitted on training documents turns the best segment into a
-score.
+documents' token scores) give E-values. The significant passages of a document count together, by the statistics of
+sums of segment scores; a Gumbel curve fitted on training documents turns that evidence into a score.
 
 The feature counts cover all labelled training documents of different text. A feature needs two of the toxic ones and
 significance, no share of the documents: the driver and the workers hold all features that are significant. The
 curve's two parameters are fitted on at most ``FIT_ROWS`` training rows.
 
 Defined results: null and empty texts have no passages and the least score; a table without both classes gives every
-document 0; rows that repeat are scored each; labels of null doc_id or null value are not used; further columns are
-ignored.
+document 0; rows that repeat are scored each; labels of null doc_id or null value are not used, of several labels of an
+id the highest is; empty tables give empty ones; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import held_out, with_only
+from dotloom.llm.common import held_out, least_hashed, stored, with_only
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Prior mass, least z and log-odds of a lexicon feature.
@@ -36,6 +36,8 @@ PRIOR, LEAST_Z, LEAST_ODDS = 50.0, 3.0, 2.0
 #: Score of other tokens, E-value of a significant passage, rows that the curve is fitted on.
 OTHER, MOST_E, FIT_ROWS = -0.5, 0.01, 20_000
 HEAD = 4
+#: Features that a task counts before it gives them out, rows that are worked on at once.
+FLUSH, ROWS = 150_000, 200
 
 
 @dataclass
@@ -81,10 +83,23 @@ def scan(text: str | None, m: ToxicModel) -> tuple[int, list[tuple[int, float, i
     return n, hits
 
 
-def best_evidence(n: int, hits: list, m: ToxicModel) -> float:
-    """lambda * S - ln n of the best segment; -ln n - 1 without a hit."""
-    segs = segments([h[:2] for h in hits], OTHER, n)
-    return (m.lam * max(s for _, _, s in segs) if segs else -1.0) - math.log(max(n, 1))
+def together(n: int, scores: list[float], lam: float) -> float:
+    """Evidence, -ln of a probability by chance, of a document of n tokens with segments of these scores.
+
+    A segment alone: lambda * S - ln n. The r best significant ones with the sum T of that: about
+    exp(-T) T^(r-1) / (r! (r-1)!), halved for each r tried. -ln n - 1 without a segment.
+    """
+    length = math.log(max(n, 1))
+    own = sorted((lam * s - length for s in scores), reverse=True)
+    if not own:
+        return -1.0 - length
+    best, total = own[0], own[0]
+    for r, x in enumerate(own[1:], 2):
+        if x < -math.log(MOST_E):
+            break
+        total += x
+        best = max(best, total - (r - 1) * (math.log(total) + math.log(2)) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
 
 
 def curve(x: np.ndarray, slope: float, shift: float) -> np.ndarray:
@@ -92,16 +107,20 @@ def curve(x: np.ndarray, slope: float, shift: float) -> np.ndarray:
     return np.exp(-np.exp(-np.clip(slope * x + shift, -6, 30)))
 
 
-def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the training fold, one row for equal texts."""
+def _training(docs: DataFrame, labels: DataFrame):
+    """Stored (doc_id, h, toxic) of the training fold, one row for equal texts, h the text's MD5; no text is exchanged."""
     lab = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    both = with_only(docs, "doc_id", "text").where(~held_out()).where("text IS NOT NULL").join(lab, "doc_id")
-    first = both.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return both.join(first, "doc_id", "left_semi")
+    ids = _keyed(docs).where(~held_out()).where("text IS NOT NULL").select("doc_id", "h").join(lab, "doc_id")
+    return stored(ids.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("k")).select("k.doc_id", "h", "k.toxic"), "toxic-ids")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return with_only(docs, "doc_id", "text").withColumn("h", F.md5("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
-    train = _training(docs, labels)
+    ids = _training(docs, labels)
+    train = _keyed(docs).join(ids.df, ["doc_id", "h"]).select("text", "toxic")
 
     def count(batches):
         seen: list[Counter] = [Counter(), Counter()]
@@ -114,27 +133,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
             seen[0].clear()
             seen[1].clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                tokens = [t.group() for t in TOKEN.finditer(text.lower())]
-                have = Counter(tokens)
+                tokens = TOKEN.findall(text.lower())
+                have = set(tokens)
                 bag = seen[int(toxic > 0)]
-                bag.update(have.keys())
+                bag.update(have)
                 bag.update({"^" + w[:HEAD] for w in have if len(w) > HEAD})
                 bag["$docs"] += 1
                 bag["$tokens"] += len(tokens)
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield from give()
+                if len(seen[0]) + len(seen[1]) > FLUSH:
+                    yield from give()
         yield from give()
 
     pair = train.mapInArrow(count, "f string, c int, n long").groupBy("f").agg(F.sum(F.when(F.col("c") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(0)).alias("b"))
-    from dotloom.llm.common import stored
-
     table = stored(pair, "toxic-counts")
     total = {r.f: (r.a, r.b) for r in table.df.where("f IN ('$docs', '$tokens')").collect()}
     n1, n0 = total.get("$docs", (0, 0))
     if not n1 or not n0:
         table.drop()
+        ids.drop()
         return None
     prior = F.col("n") * PRIOR / (n1 + n0) + 0.01
     a, b = F.col("a") + F.col("p"), F.col("b") + F.col("p")
@@ -149,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     words = {r.f: r.odds for r in rows if not r.f.startswith("^")}
     heads = {r.f[1:]: r.odds for r in rows if r.f.startswith("^")}
     if not rows:
+        ids.drop()
         return None
     # Lambda: the clean documents' expected exp(lambda * score) is 1; a feature never seen there counts half.
     t0 = max(total["$tokens"][1], 1)
@@ -162,8 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 600))).sum() + (1 - p.sum()) * math.exp(mid * OTHER) < 1 else (lo, mid)
     m = ToxicModel(words, heads, lo, 1.0, 0.0)
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    got = evidence(sample, m, "toxic").select("x", "toxic").toPandas()
+    # At most FIT_ROWS ids go to every worker; texts stay where they are.
+    sample = F.broadcast(least_hashed(ids.df, FIT_ROWS, "doc_id", "h"))
+    got = evidence(_keyed(docs).join(sample, ["doc_id", "h"]), m, "toxic").select("x", "toxic").toPandas()
+    ids.drop()
     m.slope, m.shift = _gumbel(got["x"].to_numpy(float), (got["toxic"] > 0).to_numpy())
     return m
 
@@ -182,6 +203,21 @@ def _gumbel(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return best
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def judged(text: str | None, m: ToxicModel) -> tuple[float, list[dict]]:
+    """Evidence of a text, and its significant passages."""
+    n, hits = scan(text, m)
+    segs = segments([h[:2] for h in hits], OTHER, n)
+    start, end = {h[0]: h[2] for h in hits}, {h[0] + 1: h[3] for h in hits}
+    e = [(a, b, s, math.exp(min(700.0, math.log(max(n, 1)) - m.lam * s))) for a, b, s in segs]
+    return together(n, [s for _, _, s in segs], m.lam), [{"start": start[a], "end": end[b], "score": s, "e_value": v} for a, b, s, v in e if v <= MOST_E]
+
+
 def evidence(docs: DataFrame, m: ToxicModel, *keep: str) -> DataFrame:
     """(doc_id, x, passages) and the columns ``keep`` (int); passages: (start, end, score, e_value) in code points of the lower-cased text."""
     shared = docs.sparkSession.sparkContext.broadcast(m)
@@ -189,16 +225,9 @@ def evidence(docs: DataFrame, m: ToxicModel, *keep: str) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            xs, found = [], []
-            for text in batch.column("text").to_pylist():
-                n, hits = scan(text, model)
-                segs = segments([h[:2] for h in hits], OTHER, n)
-                xs.append((model.lam * max(s for _, _, s in segs) if segs else -1.0) - math.log(max(n, 1)))
-                start, end = {h[0]: h[2] for h in hits}, {h[0] + 1: h[3] for h in hits}
-                e = [(a, b, s, math.exp(min(700.0, math.log(max(n, 1)) - model.lam * s))) for a, b, s in segs]
-                found.append([{"start": start[a], "end": end[b], "score": s, "e_value": v} for a, b, s, v in e if v <= MOST_E])
-            cols = [batch.column("doc_id").cast(pa.int64()), pa.array(xs, pa.float64()), pa.array(found, passage), *[batch.column(k).cast(pa.int32()) for k in keep]]
+        for batch in _slices(batches):
+            got = [judged(t, model) for t in batch.column("text").to_pylist()]
+            cols = [batch.column("doc_id").cast(pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], passage), *[batch.column(k).cast(pa.int32()) for k in keep]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "x", "passages", *keep])
 
     schema = "doc_id long, x double, passages array<struct<start:int,end:int,score:double,e_value:double>>" + "".join(f", {k} int" for k in keep)
@@ -213,6 +242,21 @@ def score(docs: DataFrame, m: ToxicModel | None) -> DataFrame:
     return evidence(docs, m).select("doc_id", F.exp(-F.exp(-inner)).alias("score"), "passages")
 
 
+def accepted(docs: DataFrame, m: ToxicModel | None, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``most``; each row is judged by its own text, without an exchange."""
+    if m is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches):
+        model = shared.value
+        for batch in _slices(batches):
+            x = np.array([judged(t, model)[0] for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(curve(x, model.slope, model.shift) < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labelled documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
