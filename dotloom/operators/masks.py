@@ -50,12 +50,21 @@ def box_iou(a: str, b: str) -> Column:
 
 
 def duplicates(cand: DataFrame, runs: DataFrame, box: float = 0.5, mask: float = 0.9) -> DataFrame:
-    """Directed pairs (image_id, cand_id, other_id) with box IoU > ``box`` and mask IoU > ``mask``."""
+    """Directed pairs (image_id, cand_id, other_id) with box IoU > ``box`` and mask IoU > ``mask``.
+
+    Boxes come first and each pair once; masks meet for pairs of close boxes alone.
+    """
     c = cand.select("image_id", "cand_id", F.struct("x1", "y1", "w", "h").alias("a"))
     o = cand.select("image_id", F.col("cand_id").alias("other_id"), F.struct("x1", "y1", "w", "h").alias("b"))
-    near = c.join(o, "image_id").where(F.col("cand_id") != F.col("other_id")).where(box_iou("a", "b") > box).select("image_id", "cand_id", "other_id")
-    iou = mask_overlaps(runs, runs.withColumnRenamed("cand_id", "other_id"), "cand_id", "other_id")
-    return iou.where(F.col("iou") > mask).join(near, ["image_id", "cand_id", "other_id"], "left_semi").select("image_id", "cand_id", "other_id")
+    near = c.join(o, "image_id").where(F.col("cand_id") < F.col("other_id")).where(box_iou("a", "b") > box).select("image_id", "cand_id", "other_id")
+    left = near.join(runs, ["image_id", "cand_id"])
+    right = runs.select("image_id", F.col("cand_id").alias("other_id"), "y", F.col("xs").alias("xs2"), F.col("xe").alias("xe2"))
+    hit = left.join(right, ["image_id", "other_id", "y"]).where("xs < xe2 AND xs2 < xe")
+    inter = hit.groupBy("image_id", "cand_id", "other_id").agg(F.sum(F.least("xe", "xe2") - F.greatest("xs", "xs2")).alias("inter"))
+    size = areas(runs, "cand_id", "area_a")
+    both = inter.join(size, ["image_id", "cand_id"]).join(size.withColumnsRenamed({"cand_id": "other_id", "area_a": "area_b"}), ["image_id", "other_id"])
+    same = both.where(ratio(F.col("inter"), F.col("area_a") + F.col("area_b") - F.col("inter")) > mask).select("image_id", "cand_id", "other_id")
+    return same.union(same.select("image_id", "other_id", "cand_id"))
 
 
 def suppress(cand: DataFrame, runs: DataFrame, cap: int = 0) -> DataFrame:
@@ -69,9 +78,34 @@ def suppress(cand: DataFrame, runs: DataFrame, cap: int = 0) -> DataFrame:
     return kept.select("image_id", F.explode("kept").alias("cand_id"))
 
 
-def filter_candidates(cand: DataFrame, side: int, lo: float = 1e-4, hi: float = 0.95, least: int = 4, min_score: float = 0.0) -> DataFrame:
-    """Candidates with an area ratio in [lo, hi], a box of at least ``least`` pixels each way and enough score."""
-    return cand.where((F.col("w") * F.col("h") / float(side * side)).between(lo, hi) & (F.col("w") >= least) & (F.col("h") >= least) & (F.col("score") >= min_score))
+def sized(cand: DataFrame, runs: DataFrame, height: int, width: int, lo: float = 1e-4, hi: float = 0.95, least: int = 4, min_score: float = 0.0) -> DataFrame:
+    """Candidates with a mask, its share of the image in [lo, hi], a box of at least ``least`` pixels each way and enough score; none of an image without pixels."""
+    if height * width <= 0:
+        return cand.limit(0)
+    c = cand.join(areas(runs, "cand_id", "mask_area"), ["image_id", "cand_id"]).where(F.col("mask_area") > 0)
+    c = c.where((F.col("mask_area") / float(height * width)).between(lo, hi) & (F.col("w") >= least) & (F.col("h") >= least) & (F.col("score") >= min_score))
+    return c.drop("mask_area")
+
+
+def filter_candidates(cand: DataFrame, runs: DataFrame, height: int, width: int, cap: int = 0, **bounds: float) -> DataFrame:
+    """(image_id, cand_id): ``sized`` candidates without near duplicates, at most ``cap`` an image, the best scores first."""
+    some = sized(cand, runs, height, width, **bounds)
+    return suppress(some, runs.join(some.select("image_id", "cand_id"), ["image_id", "cand_id"], "left_semi"), cap)
+
+
+def top_by(cand: DataFrame, score: str, n: int) -> DataFrame:
+    """The n candidates of each image with the highest score, the lower id first among equals; all for n <= 0."""
+    if n <= 0:
+        return cand
+    w = Window.partitionBy("image_id").orderBy(F.desc(score), "cand_id")
+    return cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")
+
+
+def dilated(runs: DataFrame, radius: int) -> DataFrame:
+    """Runs grown by a square of ``radius``; overlaps remain."""
+    if radius <= 0:
+        return runs
+    return runs.withColumn("y", F.explode(F.expr(f"sequence(y-{radius}, y+{radius})"))).withColumns({"xs": F.col("xs") - radius, "xe": F.col("xe") + radius})
 
 
 def union_runs(runs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries of the counting operators."""
 
-from dotloom.plans import registry, scoring
+from dotloom.plans import evaluation, groups, registry, scoring
 
-QUERIES = {**registry.QUERIES, **scoring.QUERIES}
-ORACLE_SQL = {**registry.ORACLE_SQL, **scoring.ORACLE_SQL}
+_ALL = (registry, scoring, evaluation, groups)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from dotloom.operators import dots as D
+from dotloom.operators import geometry as G
 from dotloom.operators import masks as M
+from dotloom.operators import splits as P
 from dotloom.sources import derived as S
 
 QUERIES: dict = {}
@@ -80,15 +82,23 @@ def class_weights(spark, sf):
     return f.crossJoin(F.broadcast(t)).select("label", "n", F.round(w / (F.col("s") / F.col("c") * F.col("h") / F.col("c")), 6).alias("weight"))
 
 
-DUP = S.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """ca AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1),
+AREAS = "ca AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1),"
+
+
+def _dup_sql(some: str) -> str:
+    """Near-duplicate suppression walked candidate by candidate, over the candidates that ``some`` keeps."""
+    return S.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + AREAS + f"""cs AS (SELECT c.* FROM cand c JOIN ca USING (cand_id) WHERE {some}),
 mi AS (SELECT c.cand_id AS p, d.cand_id AS q, sum(least(c.xe,d.xe)-greatest(c.xs,d.xs)) AS i FROM cand_run c JOIN cand_run d ON c.image_id=d.image_id AND c.y=d.y AND c.cand_id<>d.cand_id AND c.xs<d.xe AND d.xs<c.xe GROUP BY 1,2),
-bx AS (SELECT c.cand_id AS p, d.cand_id AS q, greatest(0,least(c.x1+c.w,d.x1+d.w)-greatest(c.x1,d.x1))*greatest(0,least(c.y1+c.h,d.y1+d.h)-greatest(c.y1,d.y1)) AS i, c.w*c.h+d.w*d.h AS t FROM cand c JOIN cand d ON c.image_id=d.image_id AND c.cand_id<>d.cand_id),
+bx AS (SELECT c.cand_id AS p, d.cand_id AS q, greatest(0,least(c.x1+c.w,d.x1+d.w)-greatest(c.x1,d.x1))*greatest(0,least(c.y1+c.h,d.y1+d.h)-greatest(c.y1,d.y1)) AS i, c.w*c.h+d.w*d.h AS t FROM cs c JOIN cs d ON c.image_id=d.image_id AND c.cand_id<>d.cand_id),
 du AS (SELECT mi.p, list(mi.q) AS dups FROM mi JOIN ca x ON x.cand_id=mi.p JOIN ca y ON y.cand_id=mi.q JOIN bx ON bx.p=mi.p AND bx.q=mi.q WHERE mi.i/CAST(x.a+y.a-mi.i AS DOUBLE)>0.9 AND bx.i/CAST(bx.t-bx.i AS DOUBLE)>0.5 GROUP BY 1),
-o AS (SELECT c.image_id, c.cand_id, coalesce(dups, []) AS dups, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, c.cand_id) AS n FROM cand c LEFT JOIN du ON du.p=c.cand_id),
+o AS (SELECT c.image_id, c.cand_id, coalesce(dups, []) AS dups, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, c.cand_id) AS n FROM cs c LEFT JOIN du ON du.p=c.cand_id),
 wk AS (SELECT image_id, n, [cand_id] AS kept FROM o WHERE n=1 UNION ALL SELECT o.image_id, o.n, CASE WHEN list_has_any(kept, dups) THEN kept ELSE list_append(kept, o.cand_id) END FROM wk JOIN o ON o.image_id=wk.image_id AND o.n=wk.n+1)
 """
 
 
+DUP = _dup_sql("true")
+
+
 @_add("near_dup_suppressed", DUP + "SELECT image_id, unnest(kept) AS cand_id FROM (SELECT image_id, arg_max(kept, n) AS kept FROM wk GROUP BY 1)")
 def near_dup_suppressed(spark, sf):
     c, runs, _ = _inputs(spark, sf)
@@ -101,17 +111,92 @@ def capped_candidates(spark, sf):
     return M.suppress(c, runs, 5)
 
 
-@_add("filter_candidates", S.SQL + "z AS (SELECT 1) SELECT image_id, cand_id, w, h FROM cand WHERE w*h/4096.0 BETWEEN 0.0001 AND 0.95 AND w>=4 AND h>=4 AND score>=0.25")
+SIZED = "a/4096.0 BETWEEN 0.055 AND 0.11 AND w>=15 AND h>=15 AND score>=0.25"
+
+
+@_add("filter_candidates", _dup_sql(SIZED) + "SELECT image_id, unnest(kept[1:4]) AS cand_id FROM (SELECT image_id, arg_max(kept, n) AS kept FROM wk GROUP BY 1)")
 def filter_candidates(spark, sf):
-    return M.filter_candidates(S.candidates(spark, sf), S.SIDE, min_score=0.25).select("image_id", "cand_id", "w", "h")
+    c, runs, _ = _inputs(spark, sf)
+    return M.filter_candidates(c, runs, S.SIDE, S.SIDE, cap=4, lo=0.055, hi=0.11, least=15, min_score=0.25)
+
+
+@_add("sized_candidates", S.SQL + AREAS + f"z AS (SELECT 1) SELECT image_id, cand_id, w, h FROM cand JOIN ca USING (cand_id) WHERE {SIZED}")
+def sized_candidates(spark, sf):
+    c, runs, _ = _inputs(spark, sf)
+    return M.sized(c, runs, S.SIDE, S.SIDE, 0.055, 0.11, 15, 0.25).select("image_id", "cand_id", "w", "h")
+
+
+@_add("top_by_predicted_iou", S.SQL + """z AS (SELECT image_id, cand_id, row_number() OVER (PARTITION BY image_id ORDER BY (cand_id*17)%7 DESC, cand_id) AS r FROM cand)
+SELECT image_id, cand_id FROM z WHERE r<=3""")
+def top_by_predicted_iou(spark, sf):
+    c = S.candidates(spark, sf).withColumn("predicted_iou", F.expr("((cand_id*17)%7)/7D"))
+    return M.top_by(c, "predicted_iou", 3).select("image_id", "cand_id")
+
+
+#: Boxes of a canvas's candidates moved and grown, so that some leave the image and some have no width.
+def _wild_boxes(spark, sf):
+    c = S.candidates(spark, sf).withColumns({"width": F.lit(S.SIDE), "height": F.lit(S.SIDE)})
+    e = {"x1": "x1*2.25D-30.5D", "y1": "y1*2.25D-30.5D", "x2": "x1*2.25D-30.5D+(w-16)*2.75D", "y2": "y1*2.25D-30.5D+(h-16)*2.75D"}
+    return c.select("image_id", "cand_id", "width", "height", *[F.expr(v).alias(k) for k, v in e.items()])
+
+
+WILD = "wd AS (SELECT image_id, cand_id, x1*d-30.5 AS x1, y1*d-30.5 AS y1, x1*d-30.5+(w-16)*g AS x2, y1*d-30.5+(h-16)*g AS y2 FROM cand, (SELECT CAST(2.25 AS DOUBLE) AS d, CAST(2.75 AS DOUBLE) AS g)),"
+
 
+def _clip(x1, y1, x2, y2, more="", name="cl", src="wd"):
+    lo = lambda v: f"greatest(0, least(CAST(trunc({v}) AS BIGINT), 63))"
+    hi = lambda v, w: f"greatest({w}+1, least(CAST(trunc({v}) AS BIGINT), 64))"
+    return f"{name}0 AS (SELECT *, {lo(x1)} AS p, {lo(y1)} AS q FROM {src}), {name} AS (SELECT image_id, cand_id{more}, p AS u1, q AS v1, {hi(x2, 'p')} AS u2, {hi(y2, 'q')} AS v2 FROM {name}0),"
 
-@_add("geometry_features", S.SQL + """a AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1)
-SELECT cand_id, round((x1+w/2.0)/64,6) AS cx, round((y1+h/2.0)/64,6) AS cy, round(w/64.0,6) AS nw, round(h/64.0,6) AS nh, round(w*h/4096.0,6) AS box_ratio, round(a/4096.0,6) AS mask_ratio, round(w/CAST(h AS DOUBLE),6) AS aspect, round(a/CAST(w*h AS DOUBLE),6) AS fill FROM cand JOIN a USING (cand_id)""")
+
+CROPS = WILD + _clip("x1", "y1", "x2", "y2") + "ex AS (SELECT image_id, cand_id, u1 AS bx1, v1 AS by1, u2 AS bx2, v2 AS by2, u1-CAST(trunc((u2-u1)*0.5) AS BIGINT) AS x1, v1-CAST(trunc((v2-v1)*0.5) AS BIGINT) AS y1, u2+CAST(trunc((u2-u1)*0.5) AS BIGINT) AS x2, v2+CAST(trunc((v2-v1)*0.5) AS BIGINT) AS y2 FROM cl)," + _clip("x1", "y1", "x2", "y2", ", bx1, by1, bx2, by2", "cx", "ex")
+
+
+@_add("crop_boxes", S.SQL + CROPS + "z AS (SELECT 1) SELECT cand_id, bx1 AS x1, by1 AS y1, bx2 AS x2, by2 AS y2, u1 AS cx1, v1 AS cy1, u2 AS cx2, v2 AS cy2 FROM cx")
+def crop_boxes(spark, sf):
+    """Clipped boxes and their context, of boxes that leave the image."""
+    return G.context_boxes(_wild_boxes(spark, sf)).select("cand_id", *G.BOX, "cx1", "cy1", "cx2", "cy2")
+
+
+@_add("masked_crops", S.SQL + CROPS + """px AS (SELECT cand_id, y, unnest(generate_series(xs, xe-1)) AS x FROM cand_run)
+SELECT cand_id, count(*) AS area, min(x)-any_value(bx1) AS left_x, max(y)-any_value(by1) AS low_y FROM px JOIN cx USING (cand_id) WHERE x>=bx1 AND x<bx2 AND y>=by1 AND y<by2 GROUP BY 1""")
+def masked_crops(spark, sf):
+    """Area and corner of each mask inside its clipped box, in the box's coordinates."""
+    _, runs, _ = _inputs(spark, sf)
+    r = G.masked_crop(runs, G.clipped(_wild_boxes(spark, sf)), "image_id", "cand_id")
+    return r.groupBy("cand_id").agg(F.sum(F.col("xe") - F.col("xs")).alias("area"), F.min("xs").alias("left_x"), F.max("y").alias("low_y"))
+
+
+PIXEL = "(x*7+y*13+image_id*31)%256"
+
+
+@_add("crop_pixels", S.SQL + CROPS + f"""bx AS (SELECT cand_id, image_id, 'box' AS view, bx1 AS l, by1 AS t, bx2 AS r, by2 AS b FROM cx UNION ALL SELECT cand_id, image_id, 'context', u1, v1, u2, v2 FROM cx),
+ys AS (SELECT *, unnest(generate_series(t, b-1)) AS y FROM bx), xy AS (SELECT *, unnest(generate_series(l, r-1)) AS x FROM ys),
+mk AS (SELECT cand_id, image_id, y, unnest(generate_series(xs, xe-1)) AS x FROM cand_run),
+ms AS (SELECT cx.cand_id, sum({PIXEL.replace('image_id', 'cx.image_id')}) AS s FROM cx JOIN mk ON mk.cand_id=cx.cand_id AND x>=bx1 AND x<bx2 AND y>=by1 AND y<by2 GROUP BY 1)
+SELECT cand_id, view, r-l AS width, b-t AS height, CAST(sum({PIXEL}) AS BIGINT) AS total FROM xy GROUP BY cand_id, view, l, t, r, b
+UNION ALL SELECT cand_id, 'masked', bx2-bx1, by2-by1, CAST(coalesce(s, 0) AS BIGINT) FROM cx LEFT JOIN ms USING (cand_id)""")
+def crop_pixels(spark, sf):
+    """Size and sum of the first channel of the three crops of each candidate, from images with a known pixel rule."""
+    c, runs, _ = _inputs(spark, sf)
+    side = S.SIDE
+    pixel = F.expr(f"transform(sequence(0, {side * side - 1}), k -> CAST(((k%{side})*7+CAST(floor(k/{side}) AS BIGINT)*13+image_id*31)%256 AS INT))")
+    rgb = F.unhex(F.concat_ws("", F.transform(pixel, lambda v: F.concat(F.lpad(F.hex(v), 2, "0"), F.lit("0000")))))
+    images = c.select("image_id").distinct().select("image_id", F.lit(side).alias("height"), F.lit(side).alias("width"), rgb.alias("rgb"))
+    m = runs.groupBy("image_id", "cand_id").agg(F.collect_list(F.struct("y", "xs", "xe")).alias("runs"))
+    got = G.pixel_crops(images, G.context_boxes(_wild_boxes(spark, sf)).join(m, ["image_id", "cand_id"]))
+    first = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.conv(F.hex(F.substring("rgb", k * 3 + 1, F.lit(1))), 16, 10).cast("long"))
+    return got.select("cand_id", "view", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.aggregate(first, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@_add("geometry_features", S.SQL + """a AS (SELECT cand_id, sum(xe-xs) AS a FROM cand_run GROUP BY 1), b AS (SELECT cand_id, a, x1, y1, x1+w-16 AS x2, y1+h-16 AS y2, greatest(w-16, 1) AS bw, greatest(h-16, 1) AS bh FROM cand JOIN a USING (cand_id))
+SELECT cand_id, round((x1+x2)/2.0/64,6) AS cx, round((y1+y2)/2.0/64,6) AS cy, round(bw/64.0,6) AS nw, round(bh/64.0,6) AS nh, round(bw*bh/4096.0,6) AS box_ratio, round(a/4096.0,6) AS mask_ratio, round(bw/CAST(bh AS DOUBLE),6) AS aspect, round(a/CAST(bw*bh AS DOUBLE),6) AS fill FROM b""")
 def geometry_features(spark, sf):
+    """Features of narrow boxes, some without width."""
     c, runs, _ = _inputs(spark, sf)
-    e = {"cx": "(x1+w/2)/64", "cy": "(y1+h/2)/64", "nw": "w/64", "nh": "h/64", "box_ratio": "w*h/4096", "mask_ratio": "a/4096", "aspect": "w/h", "fill": "a/(w*h)"}
-    return c.join(M.areas(runs, "cand_id", "a"), ["image_id", "cand_id"]).selectExpr("cand_id", *[f"round({v},6) AS {k}" for k, v in e.items()])
+    boxes = c.withColumns({"x2": F.expr("x1+w-16"), "y2": F.expr("y1+h-16"), "width": F.lit(S.SIDE), "height": F.lit(S.SIDE)})
+    d = G.geometry_features(boxes.join(M.areas(runs, "cand_id", "area"), ["image_id", "cand_id"]))
+    return d.select("cand_id", *[F.round(k, 6).alias(k) for k in ("cx", "cy", "nw", "nh", "box_ratio", "mask_ratio", "aspect", "fill")])
 
 
 @_add("mask_to_bbox", S.SQL + "z AS (SELECT 1) SELECT cand_id, min(xs) AS x1, min(y) AS y1, max(xe) AS x2, max(y)+1 AS y2 FROM cand_run GROUP BY 1")
@@ -153,6 +238,26 @@ def count_oracle_overall(spark, sf):
     return D.errors(count_oracle_rows(spark, sf), "gt", "pred_greedy")
 
 
-@_add("split_by_image", """WITH i AS (SELECT DISTINCT CAST(floor(vec_id/12.0) AS BIGINT) AS image_id FROM embeddings) SELECT image_id, CASE WHEN (image_id*7919)%10=0 THEN 'val' ELSE 'train' END AS part FROM i""")
+def _split_sql(keys: str, ratio: float) -> str:
+    """max(1, trunc(n * ratio)) keys by the seeded hash, from ``keys`` (k)."""
+    return f"""k0 AS ({keys}), kh AS (SELECT k, (((k%2147483647)*48271+69621)%2147483647)*16807%2147483647 AS h FROM k0),
+kv AS (SELECT k, row_number() OVER (ORDER BY h, k) <= greatest(1, CAST(trunc((SELECT count(*) FROM k0)*CAST({ratio} AS DOUBLE)) AS BIGINT)) AS val FROM kh)"""
+
+
+@_add("split_by_image", "WITH " + _split_sql("SELECT DISTINCT CAST(floor(vec_id/12.0) AS BIGINT) AS k FROM embeddings", 0.1) + "SELECT k AS image_id, CASE WHEN val THEN 'val' ELSE 'train' END AS part FROM kv")
 def split_by_image(spark, sf):
-    return S.candidates(spark, sf).select("image_id").distinct().withColumn("part", F.when(F.expr("(image_id*7919)%10=0"), "val").otherwise("train"))
+    train, val = P.split(S.candidates(spark, sf).select("image_id").distinct(), "image_id", 0.1)
+    return train.withColumn("part", F.lit("train")).union(val.withColumn("part", F.lit("val")))
+
+
+@_add("class_split", "WITH " + _split_sql("SELECT DISTINCT CAST(label AS BIGINT) AS k FROM embeddings", 0.3) + "SELECT CAST(vec_id AS BIGINT) AS cand_id, CASE WHEN val THEN 'held_out' ELSE 'train' END AS part FROM embeddings JOIN kv ON k=label")
+def class_split(spark, sf):
+    """All candidates of a held-out class stay together: semi and anti join."""
+    train, held = P.split(S.candidates(spark, sf).select("cand_id", "label"), "label", 0.3)
+    return train.select("cand_id", F.lit("train").alias("part")).union(held.select("cand_id", F.lit("held_out").alias("part")))
+
+
+@_add("held_out_classes", "WITH " + _split_sql("SELECT DISTINCT CAST(label AS BIGINT) AS k FROM embeddings", 0.3) + "SELECT k AS label FROM kv WHERE val")
+def held_out_classes(spark, sf):
+    """The held-out classes, in order."""
+    return P.validation_keys(S.candidates(spark, sf), "label", 0.3).orderBy("label")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dotloom.operators import geometry as G
 from dotloom.operators import masks as M
 from dotloom.operators import scoring as V
 from dotloom.plans.registry import MATCH, match_candidates
@@ -19,12 +20,14 @@ def _add(name, sql):
     return put
 
 
-#: Prototypes come from every fifth vector; the others are scored.
+#: Prototypes come from every fifth vector; the others are scored. The linear head knows the classes below 7.
 BASE = MATCH + """, e AS (SELECT vec_id AS cand_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
-mn AS (SELECT label AS class_idx, k, avg(v) AS v FROM (SELECT label, unnest(generate_series(1, 64)) AS k, unnest(z) AS v FROM e WHERE cand_id%5=0) GROUP BY 1,2),
+mn AS (SELECT label AS class_idx, k, avg(v/n) AS v FROM (SELECT label, sqrt(list_inner_product(z, z)) AS n, unnest(generate_series(1, 64)) AS k, unnest(z) AS v FROM e WHERE cand_id%5=0) GROUP BY 1,2),
 pr AS (SELECT class_idx, list(v ORDER BY k) AS mu, sqrt(sum(v*v)) AS nm FROM mn GROUP BY 1),
-sc AS (SELECT cand_id, label, class_idx, list_inner_product(z, mu)/(nm*sqrt(list_inner_product(z, z))) AS cs, CASE WHEN class_idx<7 THEN list_inner_product(z, mu)-nm*nm/2 ELSE 0 END AS cl FROM e, pr WHERE cand_id%5<>0),
+sc AS (SELECT cand_id, label, class_idx, list_inner_product(z, mu)/(nm*sqrt(list_inner_product(z, z))) AS cs, CASE WHEN class_idx<7 THEN 8*list_inner_product(z, mu)-0.1*(class_idx%3) ELSE 0 END AS cl FROM e, pr WHERE cand_id%5<>0),
 """
+#: Sigmoid of the hybrid head's raw 0.4.
+ALPHA = "(1/(1+exp(CAST(-0.4 AS DOUBLE))))"
 
 
 def _vectors(spark, sf):
@@ -35,8 +38,13 @@ def _means(spark, sf):
     return V.class_means(_vectors(spark, sf).where("cand_id % 5 = 0"))
 
 
+def _linear(means, below=7):
+    return means.where(F.col("class_idx") < below).select("class_idx", F.transform("mu", lambda x: x * 8).alias("w"), F.expr("-0.1D*(class_idx%3)").alias("b"))
+
+
 def _scored(spark, sf):
-    return V.head_scores(_vectors(spark, sf).where("cand_id % 5 <> 0"), _means(spark, sf), seen=7)
+    means = _means(spark, sf)
+    return V.head_scores(_vectors(spark, sf).where("cand_id % 5 <> 0"), means, _linear(means), raw_alpha=0.4)
 
 
 def _targets(spark, sf):
@@ -46,11 +54,11 @@ def _targets(spark, sf):
 
 @_add("class_prototypes", BASE + "y AS (SELECT 1) SELECT class_idx, CAST(k-1 AS BIGINT) AS pos, round(v/nm,6) AS v FROM mn JOIN pr USING (class_idx)")
 def class_prototypes(spark, sf):
-    p = _means(spark, sf).select("class_idx", F.posexplode(V.normalised(F.col("mu"))).alias("pos", "v"))
+    p = _means(spark, sf).select("class_idx", F.posexplode("unit").alias("pos", "v"))
     return p.select("class_idx", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 
 
-@_add("head_logits", BASE + "y AS (SELECT 1) SELECT cand_id, class_idx, round(cs/0.07,4) AS open, round(cl,4) AS closed, round(0.6*(cs/0.07)+0.4*cl,4) AS hybrid FROM sc")
+@_add("head_logits", BASE + "y AS (SELECT 1) SELECT cand_id, class_idx, round(cs/0.07,4) AS open, round(cl,4) AS closed, round({A}*(cs/0.07)+(1-{A})*cl,4) AS hybrid FROM sc".replace("{A}", ALPHA))
 def head_logits(spark, sf):
     s = _scored(spark, sf).select("cand_id", F.explode("scores").alias("s"))
     return s.select("cand_id", "s.class_idx", *[F.round(f"s.{c}", 4).alias(c) for c in ("open", "closed", "hybrid")])
@@ -61,10 +69,10 @@ def class_top5(spark, sf):
     return V.top_classes(_scored(spark, sf), "open")
 
 
-@_add("head_branches", BASE + """br AS (SELECT 'open' AS branch, cand_id, class_idx, cs/0.07 AS x FROM sc UNION ALL SELECT 'closed', cand_id, class_idx, cl FROM sc UNION ALL SELECT 'hybrid', cand_id, class_idx, 0.6*(cs/0.07)+0.4*cl FROM sc),
-ev AS (SELECT b.branch, b.cand_id, count(*) FILTER (WHERE b.x>g.x) AS rk, any_value(m.purity) AS w FROM br b JOIN m ON m.cand_id=b.cand_id AND m.valid=1 JOIN br g ON g.branch=b.branch AND g.cand_id=b.cand_id AND g.class_idx=m.matched_class GROUP BY 1,2)
+@_add("head_branches", BASE + f"""br AS (SELECT 'open' AS branch, cand_id, class_idx, cs/0.07 AS x FROM sc UNION ALL SELECT 'closed', cand_id, class_idx, cl FROM sc UNION ALL SELECT 'hybrid', cand_id, class_idx, {ALPHA}*(cs/0.07)+(1-{ALPHA})*cl FROM sc),
+ev AS (SELECT b.branch, b.cand_id, CASE WHEN any_value(g.x) IS NOT NULL THEN count(*) FILTER (WHERE b.x>g.x) END AS rk, any_value(m.purity) AS w FROM br b JOIN m ON m.cand_id=b.cand_id AND m.valid=1 LEFT JOIN br g ON g.branch=b.branch AND g.cand_id=b.cand_id AND g.class_idx=m.matched_class GROUP BY 1,2)
 SELECT branch, count(*) AS n, round(avg(CASE WHEN rk=0 THEN 1 ELSE 0 END),6) AS top1, round(avg(CASE WHEN rk<5 THEN 1 ELSE 0 END),6) AS top5, round(sum(CASE WHEN rk=0 THEN w ELSE 0 END)/greatest(sum(w),1e-9),4) AS weighted_top1,
- round(avg(CASE WHEN rk=0 THEN 1 ELSE 0 END) FILTER (WHERE w>0.7),6) AS high_purity_top1, round(avg(rk),6) AS mean_rank FROM ev GROUP BY 1""")
+ round(coalesce(avg(CASE WHEN rk=0 THEN 1 ELSE 0 END) FILTER (WHERE w>0.7), 0),6) AS high_purity_top1, round(avg(rk),6) AS mean_rank FROM ev GROUP BY 1""")
 def head_branches(spark, sf):
     return V.accuracy(_targets(spark, sf), "target", "w", "open", "closed", "hybrid")
 
@@ -77,16 +85,24 @@ def margin_logits(spark, sf):
     return s.select("cand_id", "s.class_idx", F.round(V.margin_logit(c, at, "arc", 0.5, 30.0), 4).alias("arc"), F.round(V.margin_logit(c, at, "cos", 0.35, 30.0), 4).alias("cosine"))
 
 
-@_add("training_losses", BASE + """y AS (SELECT s.cand_id, any_value(m.purity) AS w, any_value(m.matched_class) AS t, ln(sum(exp(cs/0.1)))-max(cs/0.1) FILTER (WHERE class_idx=m.matched_class) AS ce,
- ln(sum(exp(cs/0.07)))-max(cs/0.07) FILTER (WHERE class_idx=m.matched_class) AS al, max(cs) FILTER (WHERE class_idx=m.matched_class) AS x FROM sc s JOIN m ON m.cand_id=s.cand_id AND m.valid=1 GROUP BY 1),
-v AS (SELECT *, power(1-exp(-ce),2)*ce AS fo, greatest(x,0)-x*(CASE WHEN t<5 THEN 1 ELSE 0 END)+ln(1+exp(-abs(x))) AS bc FROM y WHERE x IS NOT NULL),
-g AS (SELECT sum(w*ce)/sum(w) AS ce, sum(w*fo)/sum(w) AS fo, sum(w*bc)/sum(w) AS bc, sum(w*al)/sum(w) AS al FROM v)
-SELECT round(ce,6) AS ce, round(fo,6) AS focal, round(bc,6) AS bce, round(al,6) AS align, round(ce+0.5*bc+0.1*al,6) AS total FROM g""")
+@_add("training_losses", BASE + """ct AS (SELECT count(*) AS nc FROM pr), y0 AS (SELECT s.cand_id, any_value(m.purity) AS w, any_value(m.matched_class) AS t, ln(sum(exp(cs/0.1))) AS l, sum(0.5+0.25*(class_idx%4)) AS ws, sum((0.5+0.25*(class_idx%4))*cs/0.1) AS wx,
+ max(cs) FILTER (WHERE class_idx=m.matched_class) AS x, ln(sum(exp(cs/0.07)))-max(cs/0.07) FILTER (WHERE class_idx=m.matched_class) AS al FROM sc s JOIN m ON m.cand_id=s.cand_id AND m.valid=1 GROUP BY 1),
+y AS (SELECT *, 0.5+0.25*(t%4) AS wt, l-x/0.1 AS ce FROM y0 WHERE x IS NOT NULL),
+v AS (SELECT *, 0.9*wt*ce+0.1*(ws*l-wx)/nc AS sm, wt*power(1-exp(-ce),2)*ce AS fo, greatest(x,0)-x*(CASE WHEN t<5 THEN 1 ELSE 0 END)+ln(1+exp(-abs(x))) AS bc FROM y, ct),
+g AS (SELECT sum(w*ce)/sum(w) AS ce, sum(w*sm)/sum(w) AS sm, sum(w*fo)/sum(w) AS fo, sum(w*bc)/sum(w) AS bc, sum(w*al)/sum(w) AS al FROM v)
+SELECT round(ce,6) AS ce, round(sm,6) AS smoothed, round(fo,6) AS focal, round(bc,6) AS bce, round(al,6) AS align, round(sm+0.5*bc+0.1*al,6) AS total FROM g""")
 def training_losses(spark, sf):
-    r = _targets(spark, sf).select("w", V.cross_entropy("cosine", "target", 0.1).alias("ce"), V.cross_entropy("cosine", "target", 0.07).alias("align"), V.at_class("cosine", "target").alias("x"), (F.col("target") < 5).cast("double").alias("y")).where("x IS NOT NULL")
-    r = r.withColumn("focal", V.focal(F.col("ce"))).withColumn("bce", V.bce(F.col("x"), F.col("y")))
-    g = r.agg(*[V.weighted_mean(c, "w").alias(c) for c in ("ce", "focal", "bce", "align")])
-    return g.withColumn("total", F.expr("ce + 0.5D * bce + 0.1D * align")).select(*[F.round(c, 6).alias(c) for c in ("ce", "focal", "bce", "align", "total")])
+    """Cross entropy plain and with smoothing and class weights, weighted focal loss, BCE, alignment and their total."""
+    weights = _means(spark, sf).agg(F.map_from_entries(F.collect_list(F.struct("class_idx", F.expr("0.5D+0.25D*(class_idx%4)").alias("x")))).alias("cw"))  # one row
+    r = _targets(spark, sf).crossJoin(F.broadcast(weights)).withColumn("x", V.at_class("cosine", "target")).where("x IS NOT NULL")
+    r = r.select(
+        "w", "x", V.cross_entropy("cosine", "target", 0.1).alias("ce"), V.cross_entropy("cosine", "target", 0.1, 0.1, "cw").alias("smoothed"), V.cross_entropy("cosine", "target", 0.07).alias("align"),
+        F.try_element_at("cw", F.col("target")).alias("wt"), (F.col("target") < 5).cast("double").alias("y"),
+    )
+    r = r.withColumn("focal", V.focal(F.col("ce"), weight=F.col("wt"))).withColumn("bce", V.bce(F.col("x"), F.col("y")))
+    parts = ("ce", "smoothed", "focal", "bce", "align")
+    g = r.agg(*[V.weighted_mean(c, "w").alias(c) for c in parts])
+    return g.withColumn("total", V.total_loss(F.col("smoothed"), F.col("bce"), F.col("align"), lambda_align=0.1)).select(*[F.round(c, 6).alias(c) for c in (*parts, "total")])
 
 
 @_add("learning_rates", "SELECT epoch, round(CASE WHEN epoch<5 THEN (epoch+1)/5.0 ELSE 0.5*(1+cos(pi()*(epoch-5)/35.0)) END,6) AS factor FROM (SELECT unnest(generate_series(0, 39)) AS epoch)")
@@ -149,33 +165,20 @@ def pair_features(spark, sf):
     )
 
 
-@_add("class_split", """SELECT CAST(vec_id AS BIGINT) AS cand_id, CASE WHEN (label*7)%10<3 THEN 'held_out' ELSE 'train' END AS part FROM embeddings""")
-def class_split(spark, sf):
-    """Split by class: all candidates of a held-out class stay together."""
-    v = _vectors(spark, sf).select("cand_id", "label")
-    held = v.select("label").distinct().where("(label*7)%10 < 3").withColumn("part", F.lit("held_out"))
-    return v.join(held, "label", "left").select("cand_id", F.coalesce("part", F.lit("train")).alias("part"))
-
-
-@_add("crop_boxes", S.SQL + """z AS (SELECT *, CAST(trunc(w*0.5) AS BIGINT) AS ex, CAST(trunc(h*0.5) AS BIGINT) AS ey FROM cand), b AS (SELECT cand_id, least(greatest(x1-ex,0),63) AS x1, least(greatest(y1-ey,0),63) AS y1, x1+w+ex AS x2, y1+h+ey AS y2 FROM z)
-SELECT cand_id, x1, y1, least(greatest(x2,x1+1),64) AS x2, least(greatest(y2,y1+1),64) AS y2 FROM b""")
-def crop_boxes(spark, sf):
-    """Boxes grown by half their size each way and clipped to the image, one pixel wide at least."""
-    b = S.candidates(spark, sf).selectExpr("cand_id", "x1", "y1", "w", "h", "CAST(w*0.5 AS BIGINT) AS ex", "CAST(h*0.5 AS BIGINT) AS ey")
-    b = b.selectExpr("cand_id", "least(greatest(x1-ex,0L),63L) AS x1", "least(greatest(y1-ey,0L),63L) AS y1", "x1+w+ex AS x2", "y1+h+ey AS y2")
-    return b.selectExpr("cand_id", "x1", "y1", "least(greatest(x2,x1+1),64L) AS x2", "least(greatest(y2,y1+1),64L) AS y2")
+#: The five prompt templates.
+TEMPLATES = ("a photo of a {}.", "a close-up photo of a {}.", "a photo of a single {}.", "an image of a {}.", "a cropped photo of a {}.")
 
 
-@_add("prompt_texts", """SELECT DISTINCT p_type AS name, replace(t, '{}', p_type) AS prompt FROM part, (VALUES ('{}'), ('a photo of {}'), ('many {}')) v(t)""")
+@_add("prompt_texts", "SELECT DISTINCT p_type AS name, CAST(i AS BIGINT) AS template, replace(t, '{}', p_type) AS prompt FROM part, (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TEMPLATES)) + ") v(i, t)")
 def prompt_texts(spark, sf):
-    """Every template with every class name."""
+    """Every template of a templates table with every class name."""
     names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_type").alias("name")).distinct()
-    return names.select("name", F.explode(F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("name")) for t in ("{}", "a photo of {}", "many {}")])).alias("prompt"))
+    table = spark.createDataFrame(list(enumerate(TEMPLATES)), "template long, text string")
+    return names.crossJoin(F.broadcast(table)).select("name", "template", F.replace(F.col("text"), F.lit("{}"), F.col("name")).alias("prompt"))
 
 
-@_add("seed_points", """WITH s AS (SELECT unnest(generate_series(0, 37)) AS k) SELECT a.k*38+b.k AS point_id, round((b.k+0.5)*10/384,6) AS x, round((a.k+0.5)*10/384,6) AS y FROM s a, s b""")
+@_add("seed_points", """WITH s AS (SELECT unnest(generate_series(0, 47)) AS k), l AS (SELECT unnest(generate_series(0, 1)) AS layer)
+SELECT layer, a.k*48+b.k AS point_id, round((b.k+0.5)*8/384,6) AS x, round((a.k+0.5)*8/384,6) AS y FROM s a, s b, l""")
 def seed_points(spark, sf):
-    """Cell centres of a square grid over the unit image, spacing 10 of 384 pixels."""
-    k = 38  # centres below 1
-    g = spark.range(k * k).selectExpr("id AS point_id", f"id%{k} AS c", f"CAST(floor(id/{k}) AS BIGINT) AS r")
-    return g.selectExpr("point_id", "round((c+0.5D)*10/384,6) AS x", "round((r+0.5D)*10/384,6) AS y")
+    """Cell centres at a spacing of 8 of 384 pixels, for the whole image and one crop layer."""
+    return G.seed_grid(spark, 8, 384, 1).select("layer", "point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

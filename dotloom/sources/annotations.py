@@ -8,26 +8,42 @@ annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array
 categories array<struct<id:bigint,name:string>>"""
 
 
+def _file(spark: SparkSession, path: str) -> DataFrame:
+    """The file as one row of arrays, with ``ids``, the category ids in order. A JSON document can't be split: one task parses it, once a scan."""
+    return spark.read.schema(INSTANCES).option("multiLine", True).json(path).withColumn("ids", F.array_sort(F.transform("categories", lambda x: x["id"])))
+
+
 def classes(spark: SparkSession, path: str) -> DataFrame:
     """(category_id, name, class_idx): class ids without gaps, in the order of the category ids."""
-    c = spark.read.schema(INSTANCES).option("multiLine", True).json(path).select(F.explode(F.array_sort("categories")).alias("c"))
-    ids = spark.read.schema(INSTANCES).option("multiLine", True).json(path).select(F.array_sort(F.transform("categories", lambda x: x["id"])).alias("ids"))
-    return c.crossJoin(F.broadcast(ids)).select(F.col("c.id").alias("category_id"), "c.name", (F.array_position("ids", F.col("c.id")) - 1).alias("class_idx"))
+    c = _file(spark, path).select("ids", F.explode("categories").alias("c"))
+    return c.select(F.col("c.id").alias("category_id"), "c.name", (F.array_position("ids", F.col("c.id")) - 1).alias("class_idx"))
 
 
 def images(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """Images with an annotation that is no crowd; the first ``limit`` by id, or all."""
-    t = spark.read.schema(INSTANCES).option("multiLine", True).json(path)
-    used = t.select(F.explode("annotations").alias("a")).where("coalesce(a.iscrowd, 0) = 0").select(F.col("a.image_id").alias("id"))
-    got = t.select(F.inline("images")).join(used, "id", "left_semi")
-    return got.orderBy("id").limit(limit) if limit > 0 else got
+    plain = F.filter("annotations", lambda a: F.coalesce(a["iscrowd"], F.lit(0)) == 0)
+    got = _file(spark, path).select("images", F.array_distinct(F.transform(plain, lambda a: a["image_id"])).alias("used"))
+    table = got.select(F.inline("images")).join(got.select(F.explode("used").alias("id")), "id", "left_semi")
+    return table.orderBy("id").limit(limit) if limit > 0 else table
 
 
 def instances(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes (image_id, instance_id, class_idx, x1, y1, x2, y2) that are no crowd and not empty."""
-    a = spark.read.schema(INSTANCES).option("multiLine", True).json(path).select(F.inline("annotations")).where("coalesce(iscrowd, 0) = 0 AND bbox[2] > 0 AND bbox[3] > 0")
-    c = classes(spark, path).select("category_id", "class_idx")
-    return a.join(c, "category_id").selectExpr("image_id", "id AS instance_id", "class_idx", "bbox[0] AS x1", "bbox[1] AS y1", "bbox[0]+bbox[2] AS x2", "bbox[1]+bbox[3] AS y2")
+    """Boxes (image_id, instance_id, class_idx, x1, y1, x2, y2) that are no crowd, not empty and of a known class."""
+    a = _file(spark, path).select("ids", F.explode("annotations").alias("a")).where("coalesce(a.iscrowd, 0) = 0 AND a.bbox[2] > 0 AND a.bbox[3] > 0")
+    a = a.select("a.*", (F.array_position("ids", F.col("a.category_id")) - 1).alias("class_idx")).where("class_idx >= 0")
+    return a.selectExpr("image_id", "id AS instance_id", "class_idx", "bbox[0] AS x1", "bbox[1] AS y1", "bbox[0]+bbox[2] AS x2", "bbox[1]+bbox[3] AS y2")
+
+
+def records(images: DataFrame, instances: DataFrame, runs: DataFrame, files: DataFrame) -> DataFrame:
+    """Instances that can be read: of images whose file is listed (``files``, file_name), with a mask that is not empty and fits the image.
+
+    ``runs`` (image_id, instance_id, height, width, y, xs, xe) holds each mask's own size. An image without such an
+    instance gives no row.
+    """
+    there = images.select(F.col("id").alias("image_id"), "file_name", F.col("height").alias("h"), F.col("width").alias("w")).join(files.select("file_name").distinct(), "file_name", "left_semi")
+    area = runs.groupBy("image_id", "instance_id", "height", "width").agg(F.sum(F.col("xe") - F.col("xs")).alias("area")).where("area > 0")
+    fit = area.join(there, "image_id").where("height = h AND width = w").select("image_id", "instance_id", "file_name", "area")
+    return instances.join(fit, ["image_id", "instance_id"])
 
 
 def dot_file(spark: SparkSession, path: str) -> DataFrame:
