@@ -13,9 +13,7 @@ from dotloom.llm.common import stored
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents with a toxicity score below one half."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -35,7 +33,7 @@ def redact_private(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """Token ids of each text, and the digest of what they decode to."""
-    return spiece.decode(spiece.encode(docs), digest=True)
+    return spiece.round_trip(docs)
 
 
 STAGES = [
@@ -51,7 +49,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """Applies STAGES to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}").df
+        now = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            last.drop()
+        docs, last = now.df, now
     return docs
