@@ -9,7 +9,8 @@ the id first); scoring covers every row.
 
 Defined results: null and empty texts have zero statistics and are scored like any text; without labelled rows every
 score is 0.5; a single class gives that class's smoothed share; repeated rows are scored each; labels of null doc_id
-or null value are not used; further columns are ignored.
+or null value are not used, of several labels of an id the highest is; empty tables give empty ones; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import chunks, held_out, inside, row_of, window_hashes, with_only, word_hashes, words_of
+from dotloom.llm.common import chunks, held_out, inside, least_hashed, row_of, window_hashes, with_only, word_hashes, words_of
 
 #: Labelled rows used for the fit, trees, their depth, least rows of a leaf, strength of the lasso.
 FIT_ROWS, TREES, DEPTH, LEAST_LEAF, LASSO = 20_000, 24, 3, 10, 0.002
@@ -176,8 +177,9 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 7) -> QualityModel:
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """The model of the labelled rows that are not held out; None without any."""
     lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    lab = lab.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)  # bounded rows: Spark may broadcast them
-    rows = with_statistics(with_only(docs, "doc_id", "text").join(lab, "doc_id"), "quality").toPandas()
+    lab = least_hashed(lab.where(~held_out()), FIT_ROWS, "doc_id")
+    # At most FIT_ROWS ids and labels go to every worker; texts stay where they are.
+    rows = with_statistics(with_only(docs, "doc_id", "text").join(F.broadcast(lab), "doc_id"), "quality").toPandas()
     rows = rows.sort_values("doc_id").drop_duplicates(STATS)  # equal texts have equal statistics
     return learn(rows[STATS].to_numpy(float), (rows["quality"] > 0).to_numpy().astype(float)) if len(rows) else None
 
