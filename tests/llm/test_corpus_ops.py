@@ -51,6 +51,17 @@ def test_substring_equals_brute(spark, docs):
     assert sorted(map(tuple, substring.remove_repeats(docs).collect()), key=str) == sorted(want, key=str)
 
 
+def test_substring_judges_each_row_of_a_shared_id(spark, monkeypatch):
+    monkeypatch.setattr(substring, "GROUP", 50)
+    z, own = [" ".join(f"{c}{k}" for k in range(40)) for c in "zo"]
+    loop = "a b " * 40
+    rows = [(1, z), (2, z), (2, own), (2, "x " + z), (3, z + " " + z), (3, z + " " + z), (4, loop), (5, "c " + loop), (None, z), (6, "w " * 60_000)]
+    got = sorted(map(tuple, substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=str)
+    want = [(1, 40, 0, z), (2, 40, 40, ""), (2, 40, 0, own), (2, 41, 40, "x"), (3, 80, 80, ""), (3, 80, 80, ""), (4, 80, 0, loop.strip()), (5, 81, 80, "c"), (None, 40, 0, z), (6, 60_000, 0, ("w " * 60_000).strip())]
+    # 3 keeps the windows across its two halves, but every word lies in a removed one as well.
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
@@ -149,6 +160,53 @@ def test_hub_and_spokes_are_one_class_with_all_links(spark, monkeypatch, block):
     assert all(got[i].n_links <= sum(x) for i, x in enumerate(linked)) and n >= 0.995 * all_links
 
 
+def test_rows_of_one_id_and_different_texts_are_classes_of_their_own(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    a, b, c = ([word() for _ in range(100)] for _ in range(3))
+    near = " ".join([*b[:-1], word()])
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (1, c, "x"), (2, near, "x"), (3, a, "x"), (4, None, "x"), (5, "", "x"), (None, a, "x"), (6, "w " * 50_000, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(d).collect()), key=str)
+    assert got == sorted([(1, 1, 0), (1, 1, 1), (1, 1, 1), (1, 1, 0), (2, 1, 1), (3, 1, 0), (4, 4, 0), (5, 4, 0), (None, None, 0), (6, 6, 0)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.first_of_each(d).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (1, c), (4, None), (6, "w " * 50_000), (None, a)], key=str)
+
+
+@pytest.mark.parametrize("name", ["variants", "chain"])
+def test_clusters_are_one_class(spark, name):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = []
+    if name == "variants":
+        for _ in range(120):
+            w = list(base)
+            for p in rng.sample(range(200), 3):
+                w[p] = word()
+            texts.append(" ".join(w))
+    else:
+        w = list(base)
+        for _ in range(60):
+            w = [*w[12:], *[word() for _ in range(12)]]
+            texts.append(" ".join(w))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in map(str.split, texts)]
+    link = [[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets]
+    want = list(range(len(texts)))
+    for _ in want:
+        want = [min(want[j] for j in range(len(texts)) if link[i][j]) for i in range(len(texts))]
+    got = {r.doc_id: r.class_id for r in jaccard.classes(spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()}
+    classes, parts = {}, {}
+    for i, c in enumerate(want):
+        classes.setdefault(c, set()).add(order[i])
+    for i, c in got.items():
+        parts.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, parts.values()))
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
