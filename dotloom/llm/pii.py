@@ -1,16 +1,19 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Base spans (email, ip, card, phone) are regular expressions with checks. Further candidate tokens are voted on by
-labelers: strict formats (regex), key words ahead (gazetteer), an assignment ahead (context), mixed characters and
-length. Expectation maximisation over the counts of vote patterns (at most 2**5 rows, whatever the corpus) estimates
-each labeler's reliability and each pattern's posterior; a logistic span classifier over votes and pairs of votes is
-trained on the posteriors and compiled into a column expression. Accepted spans are added as kind ``secret``; base spans stay.
+Base spans (email, ip, card, phone) are regular expressions with checks. Further candidates are tokens of eight
+characters or more that hold a digit or stand behind an assignment. Labelers vote on them: known formats (regex), words
+for credentials ahead (gazetteer), an assignment ahead and quotes on both sides (context), letters and digits in turn,
+and the absence of a run of letters that reads like a word. Expectation maximisation over the counts of vote patterns
+(at most 2 ** 6 rows, whatever the corpus) estimates each labeler's reliability and each pattern's posterior. A logistic
+span classifier over the votes, pairs of votes and features that no labeler sees (length, digits, cases) is trained on
+the posteriors over counts of (votes, features), at most 2 ** 11 rows, and compiled into a column expression. Accepted
+spans are added as kind ``secret``; base spans stay.
 
 The regular expressions are possessive and begin where a run of their characters begins, so that a long run costs
 linear time and no deep recursion; they find what the plain forms find.
 
 Defined results: null and empty texts have no spans; repeated rows give a row each; without candidates nothing is
-added; empty tables give empty ones; further columns are ignored.
+added; empty tables give empty ones; further columns of any name are kept by ``redact`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -26,19 +29,29 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9][A-Za-z0-9_-]{7,}+"
+#: A token with a digit, or behind a colon or an equals sign.
+TOKEN = r"(?:\G|(?<![A-Za-z0-9_-]))(?:(?=[A-Za-z_-]*+[0-9])|(?<=[:=]\s{0,2}[\"']?))[A-Za-z0-9][A-Za-z0-9_-]{7,}+"
 SMALL = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-FORMAT = r"^(?:[0-9a-f]{32,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|AKIA[0-9A-Z]{12,}|(?:sk|pk|ghp|xox[a-z])[-_][A-Za-z0-9_-]{12,})$"
-KEYS = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[ _-]?key|key|ssn|iban|passport|account|credential)(?![a-z0-9])"
+FORMAT = (
+    r"^(?:[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+    r"|(?:AKIA|ASIA)[0-9A-Z]{12,}|AIza[0-9A-Za-z_-]{30,}|eyJ[0-9A-Za-z_-]{10,}|(?:sk|pk|rk|ghp|gho|xox[a-z])[-_][A-Za-z0-9_-]{12,})$"
+)
+#: Words for credentials and numbers of persons, in English, German, French and Spanish.
+GAZETTEER = [
+    "token", "secret", "password", "passwd", "pwd", "passphrase", "pin", "api[ _-]?key", "access[ _-]?key", "key", "ssn", "iban", "passport", "account", "credential", "login", "bearer", "auth",
+    "passwort", "kennwort", "schl(?:ü|ue)ssel", "konto", "ausweis", "mot de passe", "clé", "jeton", "compte", "contraseña", "clave", "cuenta", "pasaporte",
+]
+KEYS = r"(?i)(?<![a-z0-9])(?:" + "|".join(GAZETTEER) + r")s?(?![a-z0-9])"
 KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = 24
 
 
 def spans(text: Column, pattern: str, hint: Column) -> Column:
-    """Matches as array<struct<s, e, m, before>>, code points; ``before`` is the text right ahead, earlier matches included. Only where ``hint`` holds."""
+    """Matches as array<struct<s, e, m, before, after>>, code points; ``before`` and ``after`` are the text next to it, earlier matches included. Only where ``hint`` holds."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    z = F.arrays_zip(m.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("q"))
-    none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,before:string>>)")
+    pieces = F.split(text, pattern, -1)
+    z = F.arrays_zip(m.alias("m"), F.slice(pieces, F.lit(1), F.size(m)).alias("q"), F.slice(pieces, F.lit(2), F.size(m)).alias("n"))
+    none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,before:string,after:string>>)")
 
     def tail(x):
         return F.substring(x, -CONTEXT, CONTEXT)
@@ -47,7 +60,7 @@ def spans(text: Column, pattern: str, hint: Column) -> Column:
         s = acc["at"] + F.length(z["q"])
         e = s + F.length(z["m"])
         before = tail(F.concat(acc["tail"], tail(z["q"])))
-        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"))))
+        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"), F.substring(z["n"], 1, 4).alias("after"))))
         return F.struct(e.alias("at"), tail(F.concat(before, tail(z["m"]))).alias("tail"), out.alias("out"))
 
     found = F.aggregate(z, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), step)["out"]
@@ -90,34 +103,33 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- weak supervision
-VOTES = ["format", "keyword", "assigned", "mixed", "long"]
+VOTES = ["format", "keyword", "assigned", "quoted", "mixed", "opaque"]
+FEATURES = ["long", "very_long", "digits", "upper", "lower"]
 
 
 def _votes(x) -> Column:
-    m, before = x["m"], x["before"]
-    return F.struct(
-        m.rlike(FORMAT).cast("int").alias("format"),
-        before.rlike(KEYS).cast("int").alias("keyword"),
-        before.rlike(r"[:=]\s*[\"']?$").cast("int").alias("assigned"),
-        (m.rlike("[A-Za-z]") & (F.length(_digits(m)) >= 4)).cast("int").alias("mixed"),
-        (F.length(m) >= 20).cast("int").alias("long"),
-    )
+    m, before, after = x["m"], x["before"], x["after"]
+    votes = [
+        m.rlike(FORMAT), before.rlike(KEYS), before.rlike(r"[:=]\s*[\"']?$"), before.rlike(r"[\"']$") & after.rlike(r"^[\"']"),
+        m.rlike(r"[0-9][A-Za-z]+[0-9]+[A-Za-z]|[A-Za-z][0-9]+[A-Za-z]+[0-9]"), ~m.rlike("[A-Za-z][a-z]{3}"),
+    ]
+    features = [F.length(m) >= 16, F.length(m) >= 32, F.length(_digits(m)) >= 4, m.rlike("[A-Z]"), m.rlike("[a-z]")]
+    return F.struct(*[c.cast("int").alias(k) for k, c in zip([*VOTES, *FEATURES], [*votes, *features], strict=True)])
 
 
 def with_candidates(base: DataFrame) -> DataFrame:
-    """``base`` with the tokens that hold four digits and lie outside the base spans, and their votes."""
+    """``base`` with the candidates outside the base spans, and their votes and features."""
     taken = F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])
     text = F.col("text")
-    # The hint: every candidate holds eight token characters, the last of four digits among them.
-    tok = F.filter(spans(text, TOKEN, text.rlike("[0-9][A-Za-z_-]*+[0-9][A-Za-z_-]*+[0-9][A-Za-z_-]*+[0-9]")), lambda x: F.length(_digits(x["m"])) >= 4)
-    d = base.withColumn("tokens", tok).withColumn("taken", taken)
+    # The hint: every candidate has a digit, or an assignment ahead.
+    d = base.withColumn("tokens", spans(text, TOKEN, text.rlike("[0-9:=]"))).withColumn("taken", taken)
     free = F.filter("tokens", lambda x: ~F.exists("taken", lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"])))
     return d.withColumn("cand", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _votes(x).alias("v")))).drop("tokens", "taken")
 
 
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, list[float], list[float], dict[tuple[int, ...], float]]:
     """EM over vote patterns: prior, each labeler's hit and false-alarm rates, and each pattern's posterior."""
-    n, k = sum(counts.values()), len(VOTES)
+    n, k = sum(counts.values()), len(next(iter(counts)))
     prior, hit, alarm = 0.3, [0.7] * k, [0.15] * k
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
@@ -135,13 +147,14 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple
     return prior, hit, alarm, post
 
 
-def _features(v) -> list:
-    return [*v, *[v[i] * v[j] for i in range(len(v)) for j in range(i)]]
+def _features(v, extra) -> list:
+    return [*v, *[v[i] * v[j] for i in range(len(v)) for j in range(i)], *extra]
 
 
 def train(counts: dict[tuple[int, ...], int], post: dict[tuple[int, ...], float], rounds: int = 2000) -> tuple[float, list[float]]:
-    """Logistic weights over votes and their pairs, fitted to the posteriors (gradient steps over the patterns)."""
-    rows = [(_features(v), post[v], c / sum(counts.values())) for v, c in counts.items()]
+    """Logistic weights over votes, their pairs and the features, fitted to the posteriors of the votes (gradient steps over the patterns)."""
+    k, n = len(next(iter(post))), sum(counts.values())
+    rows = [(_features(p[:k], p[k:]), post[p[:k]], c / n) for p, c in counts.items()]
     w, b = [0.0] * len(rows[0][0]), 0.0
     for _ in range(rounds):
         gw, gb = [0.001 * x for x in w], 0.0
@@ -153,18 +166,31 @@ def train(counts: dict[tuple[int, ...], int], post: dict[tuple[int, ...], float]
     return b, w
 
 
+def classifier(cand: DataFrame) -> tuple[float, list[float]] | None:
+    """The span classifier's weights, from the candidates of all texts; None without any."""
+    names = [*VOTES, *FEATURES]
+    rows = cand.select(F.explode("cand.v").alias("v")).groupBy(*[F.col(f"v.{k}").alias(k) for k in names]).agg(F.count("*").alias("n")).collect()
+    counts = dict(sorted((tuple(r[k] for k in names), r.n) for r in rows))
+    if not counts:
+        return None
+    votes: dict[tuple[int, ...], int] = {}
+    for p, n in counts.items():
+        votes[p[: len(VOTES)]] = votes.get(p[: len(VOTES)], 0) + n
+    return train(counts, reliabilities(votes)[3], 400)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, others) with arrays email, ip, card, phone and secret of struct<s, e, ...>."""
     cand = with_candidates(with_base(docs))
-    votes = cand.select(F.explode("cand.v").alias("v")).groupBy(*[F.col(f"v.{k}").alias(k) for k in VOTES]).agg(F.count("*").alias("n"))
-    counts = {tuple(r[k] for k in VOTES): r.n for r in votes.collect()}
-    if not counts:
+    # The fit needs the candidates alone.
+    model = classifier(with_candidates(with_base(with_only(docs, "text"))))
+    if model is None:
         return cand.withColumnRenamed("cand", "secret")
-    b, w = train(counts, reliabilities(counts)[3])
+    b, w = model
 
     def accepted(x):
         total = F.lit(b)
-        for weight, f in zip(w, _features([x["v"][k] for k in VOTES]), strict=True):
+        for weight, f in zip(w, _features([x["v"][k] for k in VOTES], [x["v"][k] for k in FEATURES]), strict=True):
             total = total + f * weight
         return total >= 0
 

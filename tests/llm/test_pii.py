@@ -70,3 +70,57 @@ def test_keywords_that_are_tokens_themselves_vote(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [x.v.keyword for x in r.cand] for r in pii.with_candidates(pii.with_base(df)).collect()}
     assert got == {0: [1], 1: [1], 2: [1], 3: [1], 4: [0], 5: [0, 0], 6: [0]}
+    quoted = {r.doc_id: [x.v.quoted for x in r.cand] for r in pii.with_candidates(pii.with_base(df)).collect()}
+    assert quoted[3] == [1] and quoted[2] == [0]
+
+
+def test_reliabilities_of_simulated_labelers():
+    rng = random.Random(12)
+    hit, alarm = [0.9, 0.7, 0.8, 0.6, 0.95, 0.75], [0.05, 0.2, 0.1, 0.3, 0.02, 0.15]
+    counts, truth = {}, {}
+    for _ in range(20_000):
+        y = rng.random() < 0.25
+        v = tuple(int(rng.random() < r) for r in (hit if y else alarm))
+        counts[v] = counts.get(v, 0) + 1
+        truth.setdefault(v, []).append(y)
+    prior, h, a, post = pii.reliabilities(counts)
+    assert abs(prior - 0.25) < 0.02
+    assert all(abs(x - y) < 0.04 for x, y in zip(h + a, hit + alarm, strict=True))
+    big = [v for v in counts if counts[v] > 300]
+    assert big and all(abs(post[v] - sum(truth[v]) / len(truth[v])) < 0.08 for v in big)
+
+
+def _planted():
+    rng = random.Random(4)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexa, upper, low = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: pick(low, rng.randrange(3, 9))
+    plain = ["version2024", "figure-12a-left", "conference2019", "section-4-overview", "highway101north", "chapter12notes", "windows10pro", "release: candidate", "summer2021edition", "note: something"]
+    texts, want = [], []
+    for k in range(600):
+        w = [word() for _ in range(30)]
+        secret = [None, f"AKIA{pick(upper, 16)}", pick(hexa, 18), pick(hexa, 40)][k % 4]
+        if secret:
+            w[10] = {1: "{}", 2: "password={}", 3: 'token = "{}"'}[k % 4].format(secret)
+        for p in rng.sample(range(12, 30), 3):
+            w[p] = rng.choice(plain)
+        texts.append(" ".join(w))
+        want.append(secret)
+    return texts, want
+
+
+def test_planted_secrets_are_told_from_ordinary_tokens(spark):
+    texts, want = _planted()
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    hits = {(r.doc_id, texts[r.doc_id][x.s : x.e]) for r in found.collect() for x in r.secret}
+    planted = {(i, x) for i, x in enumerate(want) if x}
+    assert len(hits & planted) >= 0.95 * len(planted) and len(hits & planted) >= 0.95 * len(hits)
+    counts = {tuple(r) for r in pii.with_candidates(pii.with_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).selectExpr("explode(cand.v) AS v").select(*[f"v.{k}" for k in pii.VOTES]).distinct().collect()}
+    assert len(counts) >= 5
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token = \"0641917ea4e9feb9cda83477b57ac2654884f485\"", 1, "c", "t", "x")], "doc_id long, text string, digit int, cand string, tokens string, row string")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(1, 'token = "[SECRET]"', 1, "c", "t", "x")]
