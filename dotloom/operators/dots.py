@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import ratio
 from dotloom.operators import masks as M
 
 #: Density bins in their order, with their highest count; counts beyond fall into the last.
@@ -61,7 +62,7 @@ def versus(new: DataFrame, old: DataFrame) -> DataFrame:
     """Recall rows of a new cache beside an old one's by image; an image that the old one lacks has no old recall."""
     o = old.select("image_id", F.col("dots").alias("old_dots"), F.col("cov").alias("old_cov"))
     both = new.join(o, "image_id", "left")
-    return both.withColumns({"new_recall": F.round(M.ratio("cov", "dots"), 4), "old_recall": F.round(F.try_divide(F.col("old_cov"), F.col("old_dots")), 4)})
+    return both.withColumns({"new_recall": F.round(ratio("cov", "dots"), 4), "old_recall": F.round(F.try_divide(F.col("old_cov"), F.col("old_dots")), 4)})
 
 
 def versus_total(rows: DataFrame) -> DataFrame:

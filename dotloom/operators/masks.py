@@ -3,10 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ratio(a, b) -> Column:
-    """a / b, and 0 where b is 0 or missing."""
-    return F.coalesce(F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b), F.lit(0.0))
+from dotloom.functions.scalars import ratio
 
 
 def areas(runs: DataFrame, key: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Pairs of candidates: symmetric scores, relation losses, sampling, affinity, and ranking measures."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import dot, sigmoid
 from dotloom.operators import scoring as V
 
 
@@ -50,7 +51,7 @@ def sample_pairs(pairs: DataFrame, ratio: int = 3, hard_share: float = 0.3, seed
 def affinity(pairs: DataFrame, probs: DataFrame, logit: str = "a_sem") -> DataFrame:
     """Adds ``affinity``: the inner product of both class distributions (cand_id, p) times the sigmoid of the semantic logit."""
     a, b = probs.select(F.col("cand_id").alias("i"), F.col("p").alias("pi")), probs.select(F.col("cand_id").alias("j"), F.col("p").alias("pj"))
-    return pairs.join(a, "i").join(b, "j").withColumn("affinity", V.dot(F.col("pi"), F.col("pj")) * V.sigmoid(F.col(logit))).drop("pi", "pj")
+    return pairs.join(a, "i").join(b, "j").withColumn("affinity", dot(F.col("pi"), F.col("pj")) * sigmoid(F.col(logit))).drop("pi", "pj")
 
 
 def ranking(scores: DataFrame, score: str, target: str, digits: int = 4) -> DataFrame:
@@ -63,9 +64,3 @@ def ranking(scores: DataFrame, score: str, target: str, digits: int = 4) -> Data
     run = steps.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
     t = run.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("above"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
     return t.select(F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("negatives", F.lit(0)).alias("negatives"), F.round(F.try_divide(F.col("above"), F.col("positives") * F.col("negatives")), 6).alias("auc"), F.round(F.try_divide(F.col("area"), F.col("positives")), 6).alias("ap"))
-
-
-def log_odds(p: Column, eps: float = 1e-6) -> Column:
-    """The logit of a probability, kept off 0 and 1."""
-    q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    return F.log(q / (1 - q))

@@ -11,30 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import bound, clamp, dot, norm, normalised
+
 #: Bytes of class vectors that one broadcast row may hold.
 MOST_BYTES = 32_000_000
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays of doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    """L2 norm of an array of doubles, at least 1e-12."""
-    return F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-
-
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, also where ``f`` uses it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def normalised(a: Column) -> Column:
-    """The array divided by its L2 norm."""
-    return _bound(norm(a), lambda n: F.transform(a, lambda x: x / n))
-
-
 def class_means(vectors: DataFrame, label: str = "label", z: str = "z") -> DataFrame:
     """(class_idx, mu, unit): the mean of each class's normalised vectors, and that mean normalised again; partial sums by (class, position) before the shuffle."""
     d = vectors.select(F.col(label).alias("class_idx"), F.posexplode(normalised(F.col(z))).alias("pos", "v")).groupBy("class_idx", "pos").agg(F.avg("v").alias("v"))
@@ -77,14 +59,14 @@ def head_scores(vectors: DataFrame, means: DataFrame, linear: DataFrame | None =
 
     wide = vectors.withColumn("scores", F.expr("CAST(array() AS array<struct<class_idx:bigint,cosine:double,open:double,closed:double>>)"))
     for row in class_rows(table):
-        got = _bound(norm(z), lambda n: F.transform("classes", lambda c: one(c, n)))
+        got = bound(norm(z), lambda n: F.transform("classes", lambda c: one(c, n)))
         wide = wide.crossJoin(F.broadcast(row)).withColumn("scores", F.concat("scores", got)).drop("classes")
     return wide.withColumn("scores", F.transform("scores", lambda s: s.withField("hybrid", s["open"] * a + s["closed"] * (1 - a))))
 
 
 def heads() -> dict[str, Callable[[Column], Column]]:
     """The score of each kind of head from an element of ``scores``; margin heads score by the scaled cosine where nothing is trained."""
-    return {"cosine": lambda s: s["open"], "linear": lambda s: s["closed"], "margin": lambda s: F.least(F.greatest(s["cosine"], F.lit(-1 + 1e-6)), F.lit(1 - 1e-6)) * 30.0, "hybrid": lambda s: s["hybrid"]}
+    return {"cosine": lambda s: s["open"], "linear": lambda s: s["closed"], "margin": lambda s: clamp(s["cosine"], -1 + 1e-6, 1 - 1e-6) * 30.0, "hybrid": lambda s: s["hybrid"]}
 
 
 def with_head(scored: DataFrame, kind: str) -> DataFrame:
@@ -133,7 +115,7 @@ def at_class(field: str, target: str) -> Column:
 
 def rank_of(field: str, target: str) -> Column:
     """How many classes score above the target class; 0 is best."""
-    rank = _bound(at_class(field, target), lambda own: F.when(own.isNotNull(), F.size(F.filter("scores", lambda s: s[field] > own)).cast("long")))
+    rank = bound(at_class(field, target), lambda own: F.when(own.isNotNull(), F.size(F.filter("scores", lambda s: s[field] > own)).cast("long")))
     return rank
 
 
@@ -190,7 +172,7 @@ def margin_logit(cos: Column, is_target: Column, kind: str, margin: float, scale
     """Angular ("arc") or cosine ("cos") margin at the target class, plain scaled cosine elsewhere."""
     if kind not in ("arc", "cos"):
         raise ValueError(f"unknown margin {kind!r}")
-    c = F.least(F.greatest(cos, F.lit(-1 + 1e-6)), F.lit(1 - 1e-6))
+    c = clamp(cos, -1 + 1e-6, 1 - 1e-6)
     moved = F.cos(F.acos(c) + margin) if kind == "arc" else c - margin
     return F.when(is_target, moved).otherwise(c) * scale
 
@@ -198,7 +180,7 @@ def margin_logit(cos: Column, is_target: Column, kind: str, margin: float, scale
 def log_sum(field: str, temperature: float = 1.0) -> Column:
     """Logarithm of the sum of exponentials of a score over the classes."""
     xs = F.transform("scores", lambda s: s[field] / temperature)
-    return _bound(xs, lambda x: _bound(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))))
+    return bound(xs, lambda x: bound(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))))
 
 
 def cross_entropy(field: str, target: str, temperature: float = 1.0, smoothing: float = 0.0, weights: str | None = None) -> Column:
@@ -210,9 +192,9 @@ def cross_entropy(field: str, target: str, temperature: float = 1.0, smoothing:
     own = lambda c: F.coalesce(F.try_element_at(F.col(weights), c), F.lit(1.0)) if weights else F.lit(1.0)
     hard = lambda lse: own(F.col(target)) * (lse - at_class(field, target) / temperature)
     if not smoothing:
-        return _bound(log_sum(field, temperature), hard)
+        return bound(log_sum(field, temperature), hard)
     soft = lambda lse: F.aggregate("scores", F.lit(0.0), lambda a, s: a + own(s["class_idx"]) * (lse - s[field] / temperature))
-    return _bound(log_sum(field, temperature), lambda lse: hard(lse) * (1 - smoothing) + soft(lse) * smoothing / F.size("scores"))
+    return bound(log_sum(field, temperature), lambda lse: hard(lse) * (1 - smoothing) + soft(lse) * smoothing / F.size("scores"))
 
 
 def focal(ce: Column, gamma: float = 2.0, weight: Column | None = None) -> Column:
@@ -223,11 +205,7 @@ def focal(ce: Column, gamma: float = 2.0, weight: Column | None = None) -> Colum
 
 def probabilities(field: str, temperature: float = 1.0) -> Column:
     """Softmax over ``scores`` as an array in the order of the classes."""
-    return _bound(log_sum(field, temperature), lambda lse: F.transform("scores", lambda s: F.exp(s[field] / temperature - lse)))
-
-
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+    return bound(log_sum(field, temperature), lambda lse: F.transform("scores", lambda s: F.exp(s[field] / temperature - lse)))
 
 
 def total_loss(cls: Column, count: Column | None = None, align: Column | None = None, lambda_count: float = 0.5, lambda_align: float = 0.0) -> Column:

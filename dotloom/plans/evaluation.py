@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import cache_name, stem
 from dotloom.operators import detection as E
 from dotloom.operators import dots as D
 from dotloom.operators import masks as M
@@ -144,7 +145,7 @@ def rle_roundtrip(spark, sf):
 def cache_entries(spark, sf):
     """One entry an image, its candidates' fields as arrays in the order of their ids."""
     m = match_candidates(spark, sf).withColumn("matched_class", F.greatest("matched_class", F.lit(0)))
-    e = C.entries(m, "cand_id", "matched_class", "valid", "purity").select("image_id", C.cache_name().alias("name"), F.size("cand_id").cast("long").alias("n"), "matched_class", "valid", "purity")
+    e = C.entries(m, "cand_id", "matched_class", "valid", "purity").select("image_id", cache_name().alias("name"), F.size("cand_id").cast("long").alias("n"), "matched_class", "valid", "purity")
     text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
     return e.select("image_id", "name", "n", text("matched_class").alias("matched_class"), text("valid").alias("valid"), F.round(F.aggregate("purity", F.lit(0.0), lambda a, x: a + x), 4).alias("purity"))
 
@@ -155,7 +156,7 @@ def limited_files(spark, sf):
     """The first five cache files of each directory by name, without the prototypes' file."""
     i = S.candidates(spark, sf).select("image_id").distinct()
     f = i.select(F.format_string("cache_%d", F.col("image_id") % 3).alias("directory"), F.when(F.col("image_id") % 11 == 0, "text_prototypes.pt").otherwise(F.format_string("im%d.pt", "image_id")).alias("file")).distinct()
-    return C.first_files(f, 5).select("directory", "file", C.stem("file").alias("stem"))
+    return C.first_files(f, 5).select("directory", "file", stem("file").alias("stem"))
 
 
 DETECT = MATCH.replace("WITH ", "WITH RECURSIVE ", 1) + """, tr AS (SELECT image_id, gt_id, label, x1, y1, w, h FROM gt),

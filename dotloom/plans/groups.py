@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import dot, normalised
 from dotloom.operators import groups as G
 from dotloom.operators import masks as M
 from dotloom.operators import relations as R
@@ -42,14 +43,14 @@ def _pairs(spark, sf):
     runs = S.candidate_runs(c)
     m = match_candidates(spark, sf).select("cand_id", "valid", "matched_class", "matched_instance_id", "coverage", "purity")
     row = M.areas(runs, "cand_id", "a").join(m, "cand_id").join(_vectors(spark, sf).select("cand_id", "z"), "cand_id")
-    row = row.select("image_id", "cand_id", F.struct("a", "valid", "matched_class", "matched_instance_id", "coverage", "purity", V.normalised(F.col("z")).alias("unit")).alias("s"))
+    row = row.select("image_id", "cand_id", F.struct("a", "valid", "matched_class", "matched_instance_id", "coverage", "purity", normalised(F.col("z")).alias("unit")).alias("s"))
     i, j = row.withColumnsRenamed({"cand_id": "i", "s": "u"}), row.withColumnsRenamed({"cand_id": "j", "s": "v"})
     n = M.intersections(runs.withColumnRenamed("cand_id", "i_id"), runs.withColumnRenamed("cand_id", "j_id")).where("i_id < j_id").select("image_id", F.col("i_id").alias("i"), F.col("j_id").alias("j"), F.col("inter").alias("n"))
     p = i.join(j, "image_id").where("i < j").join(n, ["image_id", "i", "j"], "left").fillna(0, ["n"])
     ok = F.expr("u.valid * v.valid = 1")
     inst = ok & F.expr("u.matched_instance_id = v.matched_instance_id")
     return p.select(
-        "image_id", "i", "j", V.dot(F.col("u.unit"), F.col("v.unit")).alias("cosine"), F.expr("n/(u.a+v.a-n) AS mask_iou"), F.expr("n/u.a AS inside_i"), F.expr("n/v.a AS inside_j"), F.expr("v.a > u.a AS j_larger"), F.expr("u.a > v.a AS i_larger"),
+        "image_id", "i", "j", dot(F.col("u.unit"), F.col("v.unit")).alias("cosine"), F.expr("n/(u.a+v.a-n) AS mask_iou"), F.expr("n/u.a AS inside_i"), F.expr("n/v.a AS inside_j"), F.expr("v.a > u.a AS j_larger"), F.expr("u.a > v.a AS i_larger"),
         ok.alias("ok"), (ok & F.expr("u.matched_class = v.matched_class")).alias("y_sem"), inst.alias("y_inst"), F.when(inst, F.expr("n/u.a*greatest(0,v.coverage-u.coverage)")).otherwise(0.0).alias("y_part"), F.expr("u.purity*u.valid AS wi"), F.expr("v.purity*v.valid AS wj"),
     )
 

@@ -4,19 +4,15 @@ import warnings
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dotloom.functions.scalars import round_half_even, stem
 from dotloom.operators import rle
 
 PROTOTYPES = "text_prototypes"
 
 
-def cache_name(image_id: str = "image_id"):
-    """File name of an image's cache entry: the id with twelve digits."""
-    return F.lpad(F.col(image_id).cast("string"), 12, "0")
-
-
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -62,16 +58,6 @@ def first_files(files: DataFrame, limit: int = 0) -> DataFrame:
     return some.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
 
 
-def stem(name: str) -> Column:
-    """A file name without its last extension; a leading dot is none."""
-    return F.regexp_replace(F.col(name), r"(?<=[^/.])\.[^./]*$", "")
-
-
-def image_file(file: str = "file_name", image_id: str = "image_id") -> Column:
-    """The file name, or the image id with .jpg where it is null or empty."""
-    return F.coalesce(F.nullif(F.col(file), F.lit("")), F.concat(F.col(image_id).cast("string"), F.lit(".jpg")))
-
-
 def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     """``rows`` with each of the columns; one that is missing or null takes its default."""
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v) for k, v in defaults.items()})
@@ -101,25 +87,6 @@ def mask_entries(runs: DataFrame, sizes: DataFrame, dots: DataFrame) -> DataFram
     return d.select(stem("file_name").alias("img_id"), "file_name", F.coalesce("gt_count", F.lit(0)).alias("gt_count"), masks.alias("masks_rle"), "height", "width")
 
 
-def round_half_even(x: Column, digits: int = 4) -> Column:
-    """The decimal of so many digits that is closest to the exact value of the double, the even one of two; as Python rounds.
-
-    The product with 2 * 10**digits is split into two exact parts, so that its place against a tie is known.
-    """
-    scale = float(10**digits)
-    k = F.floor(x * scale + 0.5).cast("double")
-    high = x * 134_217_729.0 - (x * 134_217_729.0 - x)
-    low = x - high
-
-    def beyond(tie):
-        return (high * (2 * scale) - tie) + low * (2 * scale)
-
-    below, above = beyond(2 * k - 1), beyond(2 * k + 1)
-    odd = k % 2 != 0
-    got = F.when((below < 0) | ((below == 0) & odd), k - 1).when((above > 0) | ((above == 0) & odd), k + 1).otherwise(k)
-    return got / scale
-
-
 def write_detail(rows: DataFrame, path: str, ratio: str = "recall") -> None:
     """One JSON line a row, the ratio rounded to four digits by its exact value, ties to even."""
     rows.withColumn(ratio, round_half_even(F.col(ratio))).write.mode("overwrite").json(path)

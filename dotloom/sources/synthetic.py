@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.operators import scoring as V
+from dotloom.functions.scalars import normalised
 
 
 def candidates(spark: SparkSession, n: int, dim: int, classes: int, seed: int = 0) -> DataFrame:
@@ -27,6 +27,6 @@ def candidates(spark: SparkSession, n: int, dim: int, classes: int, seed: int =
 def load_prototypes(spark: SparkSession, path: str | None, classes: int = 0, dim: int = 0, seed: int = 123) -> DataFrame:
     """(class_idx, unit): the normalised table at ``path`` (class_idx, v); without a path, seeded random directions."""
     if path:
-        return spark.read.parquet(path).select("class_idx", V.normalised(F.col("v").cast("array<double>")).alias("unit"))
+        return spark.read.parquet(path).select("class_idx", normalised(F.col("v").cast("array<double>")).alias("unit"))
     u = candidates(spark, classes, dim, max(classes, 1), seed).select(F.col("cand_id").alias("class_idx"), "z")
-    return u.select("class_idx", V.normalised(F.col("z")).alias("unit"))
+    return u.select("class_idx", normalised(F.col("z")).alias("unit"))

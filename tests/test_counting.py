@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from dotloom.functions import scalars as N
 from dotloom.operators import dots as D
 from dotloom.operators import geometry as G
 from dotloom.operators import groups as Q
@@ -209,3 +210,10 @@ def test_models_plug_in(spark):
     assert z[0] == z[2] == 6 * 6 * 3 and z[4] == 12 * 11 * 3
     t = models.text_prototypes(spark.createDataFrame([(0, "ab"), (0, "cd"), (1, "e")], "class_idx long, prompt string"), lambda x: np.array([[len(p), 1.0] for p in x]))
     assert {r.class_idx: round(r.unit[0] / r.unit[1], 6) for r in t.collect()} == {0: 2.0, 1: 1.0}
+
+
+def test_scalar_functions(spark):
+    d = spark.createDataFrame([(0.25, 4.0, 0.0), (1.0, -3.0, 2.0)], "p double, x double, y double")
+    got = d.select(N.sigmoid(F.col("x")).alias("s"), N.log_odds(F.col("p")).alias("l"), N.clamp(F.col("x"), -1, 1).alias("c"), N.ratio("x", "y").alias("r")).collect()
+    assert got[0].s == pytest.approx(1 / (1 + math.exp(-4))) and got[0].l == pytest.approx(math.log(1 / 3)) and got[1].l == pytest.approx(math.log((1 - 1e-6) / 1e-6))
+    assert [r.c for r in got] == [1, -1] and [r.r for r in got] == [0, -1.5]

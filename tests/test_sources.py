@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from dotloom.functions import scalars as N
 from dotloom.operators import rle
 from dotloom.sources import annotations as A
 from dotloom.sources import cache as C
@@ -47,7 +48,7 @@ def test_cache_keeps_what_is_there(spark, tmp_path):
     assert list(map(tuple, spark.read.parquet(p).collect())) == [(1, 5)]
     with pytest.raises(ValueError):
         C.read_caches(spark, str(tmp_path / "none"))
-    assert rows(1, 42).select(C.cache_name().alias("n")).first().n == "000000000042"
+    assert rows(1, 42).select(N.cache_name().alias("n")).first().n == "000000000042"
 
 
 def test_result_files(spark, tmp_path):
@@ -75,9 +76,9 @@ def test_files_names_and_defaults(spark, tmp_path):
     assert [r.file for r in C.first_files(f, 1).collect()] == ["a.pt"] and sorted(r.file for r in C.first_files(f).collect()) == ["a.pt", "b.pt"]
     names = ["a.b.jpg", "noext", ".hidden", "dir.x/file", "x."]
     d = spark.createDataFrame([(n,) for n in names], "file string")
-    assert [r.s for r in d.select(C.stem("file").alias("s")).collect()] == [os.path.splitext(n)[0] for n in names]
+    assert [r.s for r in d.select(N.stem("file").alias("s")).collect()] == [os.path.splitext(n)[0] for n in names]
     d = spark.createDataFrame([("", 1), (None, 2), ("q.png", 3)], "file_name string, image_id long")
-    assert [r.f for r in d.select(C.image_file().alias("f")).collect()] == ["1.jpg", "2.jpg", "q.png"]
+    assert [r.f for r in d.select(N.image_file().alias("f")).collect()] == ["1.jpg", "2.jpg", "q.png"]
     got = C.with_defaults(d, {"file_name": "none", "gt_count": 0}).collect()
     assert [(r.file_name, r.gt_count) for r in got] == [("", 0), ("none", 0), ("q.png", 0)]
 
