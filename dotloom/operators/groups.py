@@ -4,11 +4,11 @@ Pair tables have (image_id, i, j) once a pair, i < j, unless they are called dir
 design leaves open are parameters.
 """
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dotloom.sources.store import shared_folder
+
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Each pair in both directions, other columns kept."""
@@ -17,15 +17,10 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
+    """Cuts lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="dotloom-")
-        sc.setCheckpointDir(base)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -69,7 +64,7 @@ def costs(members: DataFrame, features: DataFrame, pairs: DataFrame, noise_below
     no valid match or whose best class is below ``noise_below``; ``complexity`` for each group.
     """
     key = ["image_id", "group_id"]
-    m = members.select(*key, "cand_id").join(features, "cand_id")
+    m = cut(members.select(*key, "cand_id").join(features.select("cand_id", "p", "z", "valid"), "cand_id"))
 
     def means(column):
         return m.select(*key, F.posexplode(column).alias("k", "v")).groupBy(*key, "k").agg(F.avg("v").alias("v"))

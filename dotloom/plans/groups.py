@@ -61,8 +61,14 @@ def _probs(spark, sf):
     return s.select("cand_id", "z", "p", "top_class", F.array_max("p").alias("confidence"))
 
 
-def _affine(spark, sf):
-    return R.affinity(_pairs(spark, sf).withColumn("a_sem", F.col("cosine") * 4), _probs(spark, sf))
+def _affine(spark, sf, probs=None):
+    return R.affinity(_pairs(spark, sf).withColumn("a_sem", F.col("cosine") * 4), probs if probs is not None else _probs(spark, sf))
+
+
+def _inputs(spark, sf):
+    """Pairs with their affinity, and the candidates' features: many steps read them, so they are written once."""
+    features = G.cut(_probs(spark, sf).join(match_candidates(spark, sf).select("cand_id", "valid"), "cand_id"))
+    return G.cut(_affine(spark, sf, features)), features
 
 
 @_add("symmetric_scores", PAIRS + "y AS (SELECT 1) SELECT i, j, round((0.6*inside_i+0.4*cosine + 0.6*inside_j+0.4*cosine)/2,6) AS score FROM pp")
@@ -116,27 +122,27 @@ dr AS (SELECT image_id, i, j, affinity FROM bk UNION ALL SELECT image_id, j, i,
 fn AS (SELECT DISTINCT image_id, least(i,j) AS i, greatest(i,j) AS j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY affinity DESC, j) AS r FROM dr) WHERE r=1 AND affinity>={AFFINE})"""
 
 
-def _edges(spark, sf, affine):
-    return G.first_neighbours(G.bucketed(affine, _probs(spark, sf)).select("image_id", "i", "j", "affinity"), "affinity", AFFINE)
+def _edges(affine, features):
+    return G.first_neighbours(G.bucketed(affine, features).select("image_id", "i", "j", "affinity"), "affinity", AFFINE)
 
 
 @_add("first_neighbours", EDGES + "SELECT image_id, i, j FROM fn")
 def first_neighbours(spark, sf):
-    return _edges(spark, sf, _affine(spark, sf))
+    return _edges(*_inputs(spark, sf))
 
 
 MEMBERS = EDGES + """, nd AS (SELECT image_id, cand_id FROM cand WHERE cand_id%5<>0), ed AS (SELECT i, j FROM fn UNION SELECT j, i FROM fn),
 rc AS (SELECT cand_id AS src, cand_id AS dst FROM nd UNION SELECT rc.src, ed.j FROM rc JOIN ed ON ed.i=rc.dst), gm AS (SELECT nd.image_id, min(dst) AS group_id, src AS cand_id FROM rc JOIN nd ON nd.cand_id=src GROUP BY nd.image_id, src)"""
 
 
-def _members(spark, sf, affine):
+def _members(spark, sf, affine, features):
     nodes = S.candidates(spark, sf).where("cand_id % 5 <> 0").select("image_id", "cand_id")
-    return G.components(nodes, _edges(spark, sf, affine))
+    return G.components(nodes, _edges(affine, features))
 
 
 @_add("candidate_groups", MEMBERS + "SELECT image_id, cand_id, group_id FROM gm")
 def candidate_groups(spark, sf):
-    return _members(spark, sf, _affine(spark, sf)).select("image_id", "cand_id", "group_id")
+    return _members(spark, sf, *_inputs(spark, sf)).select("image_id", "cand_id", "group_id")
 
 
 def _cost_sql(members: str, out: str) -> str:
@@ -149,14 +155,10 @@ def _cost_sql(members: str, out: str) -> str:
 {out} AS (SELECT image_id, group_id, n, entropy, coalesce(inconsistency,0) AS inconsistency, dispersion, noise, entropy+coalesce(inconsistency,0)+dispersion+noise+0.1 AS cost FROM {out}n JOIN {out}e USING (image_id, group_id) JOIN {out}d USING (image_id, group_id) LEFT JOIN {out}i USING (image_id, group_id))"""
 
 
-def _features(spark, sf):
-    return _probs(spark, sf).join(match_candidates(spark, sf).select("cand_id", "valid"), "cand_id")
-
-
 @_add("group_costs", MEMBERS + "," + _cost_sql("gm", "co") + "SELECT image_id, group_id, n, round(entropy,5) AS entropy, round(inconsistency,5) AS inconsistency, round(dispersion,5) AS dispersion, round(CAST(noise AS DOUBLE),5) AS noise, round(cost,5) AS cost FROM co")
 def group_costs(spark, sf):
-    a = _affine(spark, sf)
-    c = G.costs(_members(spark, sf, a), _features(spark, sf), a, noise_below=SURE)
+    a, features = _inputs(spark, sf)
+    c = G.costs(_members(spark, sf, a, features), features, a, noise_below=SURE)
     return c.select("image_id", "group_id", "n", *[F.round(k, 5).alias(k) for k in ("entropy", "inconsistency", "dispersion", "noise", "cost")])
 
 
@@ -166,15 +168,15 @@ gn AS (SELECT tw.image_id, a, b, ca_.cost+cb_.cost-cu.cost AS gain FROM tw JOIN
 
 
 def _gains(spark, sf):
-    a = _affine(spark, sf)
-    members, features = _members(spark, sf, a), _features(spark, sf)
-    return members, features, a, G.merge_gains(members, features, a, noise_below=SURE)
+    a, features = _inputs(spark, sf)
+    members = _members(spark, sf, a, features)
+    return members, features, G.merge_gains(members, features, a, noise_below=SURE)
 
 
 @_add("group_merges", MERGES + "SELECT image_id, a, b, round(gain,5) AS gain FROM gn")
 def group_merges(spark, sf):
     """What merging two groups of an image saves."""
-    return _gains(spark, sf)[3].select("image_id", "a", "b", F.round("gain", 5).alias("gain"))
+    return _gains(spark, sf)[2].select("image_id", "a", "b", F.round("gain", 5).alias("gain"))
 
 
 @_add("merged_groups", MERGES + f""", en AS (SELECT image_id, a AS g, b AS o, gain FROM gn WHERE gain>1e-9 UNION ALL SELECT image_id, b, a, gain FROM gn WHERE gain>1e-9), be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, g ORDER BY gain DESC, o) AS r FROM en) WHERE r=1),
@@ -182,8 +184,8 @@ mu AS (SELECT x.image_id, x.g, x.o FROM be x JOIN be y ON x.image_id=y.image_id
 SELECT image_id, cand_id, group_id, count(*) OVER (PARTITION BY image_id, group_id)=1 AND best<{SURE} AS noise FROM mg JOIN tc USING (cand_id)""")
 def merged_groups(spark, sf):
     """One round of merging by mutual best gain; unsure single candidates are noise."""
-    members, features, _, gains = _gains(spark, sf)
-    return G.isolated(G.merged(members, gains), features, SURE)
+    members, features, gains = _gains(spark, sf)
+    return G.isolated(G.merged(members, G.cut(gains)), features, SURE)
 
 
 COMPS = MEMBERS + """, dj AS (SELECT i, j, inside_i AS ap, mask_iou AS iou, b>a AS larger FROM pp UNION ALL SELECT j, i, inside_j, mask_iou, a>b FROM pp), ie AS (SELECT dj.i, dj.j FROM dj JOIN gm x ON x.cand_id=dj.i JOIN gm y ON y.cand_id=dj.j AND y.group_id=x.group_id WHERE iou>=0.3),
@@ -194,25 +196,25 @@ ou AS (SELECT i AS cand_id, sum(ap) AS so, max(iou) FILTER (WHERE cj>ci OR (cj=c
 rs AS (SELECT cp.*, confidence+completeness+CASE WHEN others>0 THEN (coalesce(si,0)-coalesce(so,0))/others ELSE 0 END-coalesce(pen,0) AS rep_score FROM cp JOIN sz USING (comp_id) JOIN ft USING (cand_id) LEFT JOIN ou USING (cand_id) LEFT JOIN ic USING (cand_id))"""
 
 
-def _directed(spark, sf):
-    p = _pairs(spark, sf)
+def _directed(p):
     return p.select("i", "j", F.col("inside_i").alias("a_part"), F.col("mask_iou").alias("iou"), F.col("j_larger").alias("larger")).union(p.select("j", "i", "inside_j", "mask_iou", "i_larger"))
 
 
 def _rep_scores(spark, sf):
-    members, directed = _members(spark, sf, _affine(spark, sf)), _directed(spark, sf)
+    a, probs = _inputs(spark, sf)
+    members, directed = _members(spark, sf, a, probs), _directed(a)
     g = lambda c: members.select(F.col("cand_id").alias(c), F.col("group_id").alias(f"g{c}"))
-    same = _pairs(spark, sf).where("mask_iou >= 0.3").join(g("i"), "i").join(g("j"), "j").where("gi = gj").select("image_id", "i", "j")
+    same = a.where("mask_iou >= 0.3").join(g("i"), "i").join(g("j"), "j").where("gi = gj").select("image_id", "i", "j")
     comp = G.components(members.select("image_id", "cand_id"), same).select("cand_id", F.col("group_id").alias("comp_id"))
     c = S.candidates(spark, sf)
     fill = c.join(M.areas(S.candidate_runs(c), "cand_id", "a"), ["image_id", "cand_id"]).select("cand_id", F.expr("a/(w*h) AS completeness"))
-    features = _probs(spark, sf).select("cand_id", "confidence").join(fill, "cand_id")
-    return members, directed, G.representative_scores(members.join(comp, "cand_id").select("image_id", "group_id", "comp_id", "cand_id"), features, directed)
+    features = probs.select("cand_id", "confidence").join(fill, "cand_id")
+    return members, directed, probs, G.representative_scores(members.join(comp, "cand_id").select("image_id", "group_id", "comp_id", "cand_id"), features, directed)
 
 
 @_add("rep_scores", COMPS + "SELECT image_id, group_id, comp_id, cand_id, round(rep_score,5) AS rep_score FROM rs")
 def rep_scores(spark, sf):
-    return _rep_scores(spark, sf)[2].withColumn("rep_score", F.round("rep_score", 5))
+    return _rep_scores(spark, sf)[3].withColumn("rep_score", F.round("rep_score", 5))
 
 
 COUNTS = COMPS + f""", rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY round(rep_score,6) DESC, cand_id) AS r FROM rs) WHERE r=1),
@@ -223,9 +225,9 @@ gl AS (SELECT gc.*, coalesce(class_idx,-1) AS class_idx, coalesce(v,0) AS confid
 
 
 def _labels(spark, sf):
-    members, directed, scored = _rep_scores(spark, sf)
-    reps = G.without_parts(G.representatives(scored), directed, PART)
-    return G.group_labels(reps, _probs(spark, sf), G.group_counts(members, reps), SURE, [9])
+    members, directed, probs, scored = _rep_scores(spark, sf)
+    reps = G.cut(G.without_parts(G.representatives(scored), directed, PART))
+    return G.group_labels(reps, probs, G.group_counts(members, reps), SURE, [9])
 
 
 @_add("count_groups", COUNTS + "SELECT image_id, group_id, n_candidates, count, class_idx, round(confidence,5) AS confidence, kind FROM gl")
