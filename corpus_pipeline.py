@@ -2,7 +2,8 @@
 
 Toxic documents go, one document of each near-duplicate class stays, documents that hold a benchmark item go, personal
 data is replaced by its kind, and the texts are encoded. All stages but the last keep the columns of ``documents``.
-Rows of a null doc_id pass the filters, which decide by id.
+Rows are judged by their own texts, also where they share a doc_id; near copies of rows without one stay. Empty tables
+give empty ones, null texts stay null up to the last stage, where they have no ids.
 """
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document, that with the least id, of each near-duplicate class."""
+    """One row, that with the least id, of each near-duplicate class."""
     return jaccard.first_of_each(docs)
 
 
