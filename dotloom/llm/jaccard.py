@@ -5,17 +5,17 @@ values are computed for the target recall at the threshold; texts that share a b
 pair that meets is verified once on full shingle sets. A bucket of at most ``BUCKET`` texts lists its pairs. A larger
 one is split into blocks of about ``BLOCK`` texts, and each block is compared with each: a task holds two blocks, and
 gives out numbers of links and a spanning forest of them instead of pairs. A pair that meets in several such buckets is
-counted in the one with the least key. Equal texts are one node. Classes are the connected components of the links.
+counted in the one with the least key. Equal texts are one node: its number is the least doc_id, or, where several
+texts have that same one, a hash of the text. Classes are the connected components of the links.
 
-Defined results: one row for each row with an id, (doc_id, class_id, n_links): class_id is the least doc_id of the
-class, n_links the verified links of its text to other texts (all that share a band). Null and empty
-texts are equal texts; a text without words links to equal texts alone; rows of a null doc_id have a null class and
-no links; rows that share a doc_id share links; empty tables give empty ones; further columns are ignored.
+Defined results: one row for each row, (doc_id, class_id, n_links): class_id is the least doc_id of the class, n_links
+the verified links of its text to other texts (all that share a band). Null and empty texts are equal texts; a text
+without words links to equal texts alone; rows of a null doc_id have a null class and no links; rows that share a doc_id
+are judged by their own texts; empty tables give empty ones; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -31,6 +31,7 @@ BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST**ROWS))
 #: Most texts of a bucket that lists its pairs, texts of a block of a larger one, shingles compared at once.
 BUCKET, BLOCK, COLUMNS = 16, 512, 4096
 SIGNATURE = "doc_id long, h0 long, h1 long, bands array<long>"
+KEY = ["h0", "h1"]
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,24 +60,35 @@ def band_keys(h: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int = RO
     return keys
 
 
+def _md5(text, first: int):
+    """Half of a text's MD5 as a long; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), first, 16), 16, -10).cast("long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h0, h1) of the rows with an id."""
+    d = with_only(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.withColumns({"h0": _md5(F.col("text"), 1), "h1": _md5(F.col("text"), 17)})
+
+
 def signatures(docs: DataFrame) -> DataFrame:
+    """Rows of SIGNATURE of ``keyed`` documents."""
+
     def run(batches):
         for part, data, off in chunks(batches):
-            raw, cut = data.tobytes(), off.tolist()
-            digest = np.frombuffer(b"".join(hashlib.md5(raw[x:y]).digest() for x, y in zip(cut, cut[1:], strict=False)), np.int64).reshape(-1, 2)
             h, s_off = shingles(data, off)
             has = s_off[1:] > s_off[:-1]
             keys = band_keys(h, s_off).T.ravel().view(np.int64) if has.any() else np.zeros(0, np.int64)
             list_off = np.concatenate([[0], np.cumsum(has * BANDS)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(pa.array(list_off, pa.int32()), pa.array(keys))], ["doc_id", "h0", "h1", "bands"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", *KEY)], pa.ListArray.from_arrays(pa.array(list_off, pa.int32()), pa.array(keys))], ["doc_id", *KEY, "bands"])
 
-    return with_only(docs, "doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.mapInArrow(run, SIGNATURE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have a Jaccard similarity of at least ``least``."""
-    a = docs.select(docs["doc_id"].alias("u"), docs["text"].alias("a"))
-    b = docs.select(docs["doc_id"].alias("v"), docs["text"].alias("b"))
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (u, v) of nodes whose full shingle sets have a Jaccard similarity of at least ``least``."""
+    a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
+    b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def sets(batch, column, at, n):
         h, off = shingles(*text_buffers(batch.column(column).slice(at, n)))
@@ -92,7 +104,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFra
                     ok.append(both > 0 and both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _shared(row: np.ndarray, value: np.ndarray, n: int, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +144,8 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 def compared(t: pa.Table) -> pa.Table:
     """The links of two blocks of a bucket (one block against itself where ``side`` is 0 alone), as in ``links``."""
-    t = t.sort_by([("side", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    ids, side, n = t.column("doc_id").to_numpy(), t.column("side").to_numpy(), t.num_rows
+    t = t.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
+    ids, side, n = t.column("node").to_numpy(), t.column("side").to_numpy(), t.num_rows
     first = int((side == 0).sum())
     second = first if first < n else 0
     h, off = shingles(*text_buffers(t.column("text")))
@@ -143,16 +155,9 @@ def compared(t: pa.Table) -> pa.Table:
     before = [[k for k in x if k < key] for x in keys]
     earlier = _shared(np.repeat(np.arange(n), [len(x) for x in before]), np.array([k for x in before for k in x], np.int64), n, first, second)[0]
     link &= earlier == 0
-    # Rows that share a doc_id are one node.
-    u, a = np.unique(ids[:first], return_inverse=True)
-    v, b = np.unique(ids[second:], return_inverse=True)
-    if len(u) < first or len(v) < n - second:
-        one = np.zeros((len(u), len(v)), bool)
-        x, y = np.nonzero(link)
-        one[a[x], b[y]] = True
-        link = one
     if not second:
         np.fill_diagonal(link, False)
+    u, v = ids[:first], ids[second:]
     at = [(u, link.sum(axis=1))] + ([(v, link.sum(axis=0))] if second else [])
     if not second:
         np.fill_diagonal(link, link.any(axis=1))
@@ -162,52 +167,74 @@ def compared(t: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
 
-def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> Stored:
-    """Verified links between the least rows of different texts: rows (u, v, n), n to add to the links of u, and u linked to v unless null."""
-    one = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    every = stored(one.select(F.explode("bands").alias("key"), "doc_id").distinct(), "bands")
+def nodes(sig: DataFrame) -> Stored:
+    """(h0, h1, least, node) of each text: its least doc_id, and its node."""
+    texts = stored(sig.groupBy(*KEY).agg(F.min("doc_id").alias("least")), "texts")
+    shared = texts.df.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least", F.lit(True).alias("shared"))
+    out = stored(texts.df.join(shared, "least", "left").select(*KEY, "least", F.when(F.col("shared"), F.xxhash64(*KEY)).otherwise(F.col("least")).alias("node")), "nodes")
+    texts.drop()
+    return out
+
+
+def links(docs: DataFrame, sig: DataFrame, node: DataFrame) -> Stored:
+    """Verified links between texts: rows (u, v, n) of nodes, n to add to the links of u, and u linked to v unless null."""
+    every = stored(sig.join(node.withColumnRenamed("least", "doc_id"), ["doc_id", *KEY]).select(F.explode("bands").alias("key"), "node").distinct(), "bands")
     sizes = every.df.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = stored(every.df.join(sizes, "key"), "met")
     every.drop()
+    # A row a node that meets another: rows that repeat an id and a text count once.
+    some = node.join(met.df.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
+    texts = stored(docs.join(some, ["doc_id", *KEY]).groupBy("node").agg(F.first("text").alias("text")), "node-texts")
     large = met.df.where(F.col("size") > BUCKET)
-    big = stored(large.groupBy("doc_id").agg(F.collect_set("key").alias("big")), "large")
+    big = stored(large.groupBy("node").agg(F.collect_set("key").alias("big")), "large")
     few = met.df.where(F.col("size") <= BUCKET)
-    pairs = few.select("key", F.col("doc_id").alias("u")).join(few.select("key", F.col("doc_id").alias("v")), "key").where("u < v").select("u", "v").distinct()
+    pairs = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v").distinct()
     # Pairs that meet in a large bucket too are counted there.
     for x in ("u", "v"):
-        pairs = pairs.join(big.df.select(F.col("doc_id").alias(x), F.col("big").alias(f"big_{x}")), x, "left")
+        pairs = pairs.join(big.df.select(F.col("node").alias(x), F.col("big").alias(f"big_{x}")), x, "left")
     pairs = stored(pairs.where("NOT coalesce(arrays_overlap(big_u, big_v), false)").select("u", "v"), "pairs")
-    found = stored(verified(pairs.df, docs), "links")
-    dealt = large.select("key", "doc_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(big.df, "doc_id").join(docs, "doc_id").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), (F.col("mine") > F.col("their")).cast("int").alias("side"), "doc_id", "text", "big")
+    found = stored(verified(pairs.df, texts.df), "links")
+    dealt = large.select("key", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(big.df, "node").join(texts.df, "node").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), (F.col("mine") > F.col("their")).cast("int").alias("side"), "node", "text", "big")
     blocked = dealt.groupBy("key", "i", "j").applyInArrow(compared, "u long, v long, n long")
     out = stored(found.df.selectExpr("u", "v", "1L AS n").union(found.df.selectExpr("v", "u", "1L")).union(blocked), "links")
-    for t in (met, big, pairs, found):
+    for t in (met, texts, big, pairs, found):
         t.drop()
     return out
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, h0, h1, class_id, n_links, kept) of every row with an id; ``kept``: its text and id are the least of its class."""
+    d = keyed(docs)
+    sig = stored(signatures(d), "signatures")
+    node = nodes(sig.df)
+    found = links(d, sig.df, node.df)
+    label = components(found.df.where("v IS NOT NULL").select("u", "v"), "jaccard")
+    # The least id of each component, and the least text of that id.
+    first = node.df.join(label.df, "node").groupBy("label").agg(F.min(F.struct("least", *KEY)).alias("first"))
+    first = label.df.join(first, "label").select("node", "first")
+    degree = found.df.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    texts = node.df.join(first, "node", "left").join(degree, "node", "left")
+    own = F.coalesce((F.col("first.h0") == F.col("h0")) & (F.col("first.h1") == F.col("h1")), F.lit(True))
+    texts = stored(texts.select(*KEY, F.coalesce("first.least", "least").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("own")), "classes")
+    for t in (node, found, label):
+        t.drop()
+    return sig.df.select("doc_id", *KEY).join(texts.df, KEY).select("doc_id", *KEY, "class_id", "n_links", (F.col("own") & (F.col("doc_id") == F.col("class_id"))).alias("kept"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) of every row."""
-    d = with_only(docs, "doc_id", "text")
-    ids = d.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stored(signatures(ids), "signatures")
-    reps = stored(sig.df.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")), "texts")
-    found = links(ids, sig.df, reps.df)
-    edges = found.df.where("v IS NOT NULL").select("u", "v")
-    label = components(edges, "jaccard").df
-    degree = found.df.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    texts = reps.df.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    texts = texts.select("h0", "h1", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
-    known = sig.df.select("doc_id", "h0", "h1").join(texts, ["h0", "h1"]).select("doc_id", "class_id", "n_links")
-    return known.union(d.where("doc_id IS NULL").selectExpr("CAST(NULL AS long)", "CAST(NULL AS long)", "0L"))
+    none = with_only(docs, "doc_id").where("doc_id IS NULL").selectExpr("CAST(NULL AS long)", "CAST(NULL AS long)", "0L")
+    return judged(docs).select("doc_id", "class_id", "n_links").union(none)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) with the least doc_id of each class, one row each; rows of a null doc_id are kept."""
-    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"]).union(docs.where(docs["doc_id"].isNull()))
+    """One row (all columns) of each class, that of the least doc_id (and the least text of that id); rows of a null doc_id are kept."""
+    kept = judged(docs).where("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *KEY)]).distinct()
+    d = docs.where(docs["doc_id"].isNotNull()).withColumns({"__doc_id": docs["doc_id"].cast("long"), "__h0": _md5(docs["text"], 1), "__h1": _md5(docs["text"], 17)})
+    one = d.join(kept, ["__doc_id", "__h0", "__h1"], "left_semi").dropDuplicates(["__doc_id", "__h0", "__h1"])
+    return one.select(*docs.columns).union(docs.where(docs["doc_id"].isNull()))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
