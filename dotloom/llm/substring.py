@@ -53,7 +53,7 @@ def windows(data: np.ndarray, off: np.ndarray, n: int):
 
 def _gaps(sorted_low: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending 16-bit numbers as the bytes of their gaps (255: more to come), from anew where ``new``; and each one's first byte."""
-    gap = sorted_low.astype(np.int64)
+    gap = sorted_low.astype(np.int32)
     gap[1:] -= np.where(new[1:], 0, gap[:-1]) if len(gap) > 1 else 0
     more = gap // 255
     end = np.cumsum(more + 1)
@@ -67,10 +67,11 @@ def _ungap(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
-def _sketch_rows(cells: list[np.ndarray], bits: int):
+def _sketch_rows(cells: list, bits: int):
     """Cells of both rows as (block, cells seen once, cells seen more often), as gaps."""
-    edges = np.arange((1 << (bits - BLOCK_BITS)) + 1, dtype=np.int64) << BLOCK_BITS
-    for k, c in enumerate(cells):
+    edges = np.arange((1 << (bits - BLOCK_BITS)) + 1, dtype=np.int32) << BLOCK_BITS
+    for k in (0, 1):
+        c, cells[k] = cells[k], None
         u, count = np.unique(c, return_counts=True)
         cols = []
         for part in (u[count == 1], u[count > 1]):
@@ -94,7 +95,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
             # A window that repeats in one document alone removes nothing: it counts once a document.
             once = np.unique(mix(h0 ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
             h0, h1 = h0[once], h1[once]
-            kept.append([(h >> np.uint64(64 - bits)).astype(np.int64) for h in (h0, h1)])
+            kept.append([(h >> np.uint64(64 - bits)).astype(np.int32) for h in (h0, h1)])
             total += len(h0)
             if total >= FLUSH:
                 yield from _sketch_rows([np.concatenate([x[k] for x in kept]) for k in (0, 1)], bits)
