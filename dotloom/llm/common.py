@@ -59,7 +59,8 @@ class Stored:
     def __init__(self, spark: SparkSession, df: DataFrame, name: str, by: str | None = None):
         self.spark, self.path = spark, f"{shared_dir(spark)}/dotloom-{name}-{uuid.uuid4().hex}"
         schema = df.schema
-        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
+        write = df.write.option("compression", "zstd")
+        (write.partitionBy(by) if by else write).parquet(self.path)
         self.df = spark.read.schema(schema).parquet(self.path)
         atexit.register(_remove_at_exit, spark, self.path)
 

@@ -1,19 +1,22 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept where a word k-gram has the least hash of ``W`` consecutive ones (minimisers): equal passages of at
-least W + K - 1 words keep equal positions. A suffix carries the words ahead of it and from it on, ``REACH`` each way,
-as 16-bit hashes. Suffixes are sorted over the cluster by (k-gram, words ahead, words behind, document), in ranges. In a
-group of one k-gram of at most ``NEAR`` + 1 rows that lies within a range, all are compared with each other and extended
-left and right. In other groups a suffix is compared with its two neighbours, and the stretches of ``LEAST`` words around
-the k-gram that those can't settle are keyed by content and by the k-gram's place in them: equal keys are repeats,
-whatever lies between. A stretch is left out where it equals the row's before (a run is keyed once, by its first row),
-or where it reaches further ahead than both neighbours agree (then no other row agrees either). The keys are sorted in
-ranges too, so that even a passage of very many copies is dealt over tasks, and each is compared with its two
-neighbours; range borders of the keys are compared in a pass over two rows a range. Matches are joined into passages.
-
-Defined results: null and empty texts have no passages; repeats inside one document and between rows that share a
-doc_id count too; a null doc_id takes part and is reported as null; a document without passages gives no row; empty
-tables give empty ones; further columns are ignored.
+least W + K - 1 words keep equal positions. A suffix carries the words ahead of its k-gram and behind it, ``REACH`` each
+way, as 24-bit hashes: more is never needed, as a longer passage has further minimisers whose stretches overlap.
+Suffixes are sorted over the cluster by (k-gram, words ahead, words behind, document), in ranges. In a group of one
+k-gram of at most ``NEAR`` + 1 rows that lies within a range, all are compared with each other and extended left and
+right. In other groups a suffix is compared with its two neighbours, and the stretches of ``LEAST`` words around the
+k-gram that those can't settle are keyed by content and by the k-gram's place in them: equal keys are repeats, whatever
+lies between. A stretch is left out where it equals the row's before (a run is keyed once, by its first row), or where
+it reaches further ahead than both neighbours agree (then no other row agrees either). The keys are sorted in ranges
+too, so that even a passage of very many copies is dealt over tasks, and each is compared with its two neighbours;
+range borders of the keys are compared in a pass over two rows a range. Matches are joined into passages, which don't
+depend on how the rows were dealt. A border runs a word too far where two words share 24 bits: one in 16 million.
+
+Defined results: null and empty texts have no passages; repeats inside one text and between rows that share a doc_id
+count too; a null doc_id takes part and is reported as null; rows of equal doc_id and text are reported once, rows of
+one doc_id (or of none) and different texts each; a text without passages gives no row; empty tables give empty ones;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import _splitmix, chunks, inside, mix, row_of, span_hashes, with_only, window_hashes, word_hashes, words_of
+from dotloom.llm.common import _splitmix, chunks, free_shuffles, mix, row_of, span_hashes, stored, window_hashes, with_only, word_hashes, words_of
 
-#: Words of a k-gram, k-grams a minimiser is chosen from, words carried each way, least words of a repeat.
-K, W, REACH, LEAST = 10, 40, 50, 50
+#: Words of a k-gram, k-grams a minimiser is chosen from, least words of a repeat, words carried each way of the k-gram.
+K, W, LEAST = 10, 40, 50
+REACH = LEAST - K
 #: Most other suffixes of a k-gram that all are compared with each other; in a larger group stretches are keyed.
 NEAR = 16
-SUFFIX = "gram long, ahead binary, behind binary, doc_id long, at int"
+SUFFIX = "gram long, ahead binary, behind binary, doc_id long, text_key long, at int"
 
 
 def minimisers(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
@@ -50,7 +54,16 @@ def minimisers(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def _packed(words: np.ndarray) -> pa.Array:
+    """Rows of 24-bit hashes as binary: their low 16 bits, then their high 8, so that rows sort by the former first."""
+    data = np.concatenate([words.astype(np.uint16).view(np.uint8), (words >> np.uint32(16)).astype(np.uint8)], axis=1)
+    size = np.arange(len(words) + 1, dtype=np.int32) * (3 * REACH)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
+    """Rows of SUFFIX of (doc_id, text, text_key)."""
+
     def run(batches):
         for part, data, off in chunks(batches):
             s, e, word_off = words_of(data, off)
@@ -59,28 +72,34 @@ def suffixes(docs: DataFrame) -> DataFrame:
             if not len(at):
                 continue
             row = row_of(word_off)[at]
-            short = (words >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+            grams = window_hashes(words, K)
+            short = np.maximum((words >> np.uint64(40)).astype(np.uint32), 1)
             step = np.arange(REACH)
-            for i in range(0, len(at), 20_000):
-                p, r = at[i : i + 20_000], row[i : i + 20_000]
-                right, left = p[:, None] + step, p[:, None] - 1 - step
+            for i in range(0, len(at), 10_000):
+                p, r = at[i : i + 10_000], row[i : i + 10_000]
+                right, left = p[:, None] + K + step, p[:, None] - 1 - step
                 # 0 behind the ends: no word has it.
-                behind = np.where(right < word_off[r + 1][:, None], short[np.minimum(right, len(short) - 1)], 0).astype(np.uint16)
-                ahead = np.where(left >= word_off[r][:, None], short[np.maximum(left, 0)], 0).astype(np.uint16)
-                size = pa.py_buffer(np.arange(len(p) + 1, dtype=np.int32) * (2 * REACH))
-                gram = window_hashes(words, K)[p].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), *[pa.Array.from_buffers(pa.binary(), len(p), [None, size, pa.py_buffer(np.ascontiguousarray(x))]) for x in (ahead, behind)], part.column("doc_id").take(pa.array(r)).cast(pa.int64()), pa.array((p - word_off[r]).astype(np.int32))],
-                    ["gram", "ahead", "behind", "doc_id", "at"],
-                )
+                behind = np.where(right < word_off[r + 1][:, None], short[np.minimum(right, len(short) - 1)], 0).astype(np.uint32)
+                ahead = np.where(left >= word_off[r][:, None], short[np.maximum(left, 0)], 0).astype(np.uint32)
+                who = [part.column(c).take(pa.array(r)).cast(pa.int64()) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[p].view(np.int64)), _packed(ahead), _packed(behind), *who, pa.array((p - word_off[r]).astype(np.int32))], ["gram", "ahead", "behind", "doc_id", "text_key", "at"])
 
-    return with_only(docs, "doc_id", "text").mapInArrow(run, SUFFIX)
+    return docs.mapInArrow(run, SUFFIX)
 
 
-def _matrix(col) -> np.ndarray:
+def _rows(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    data = np.frombuffer(col.buffers()[2], np.uint16)
-    return data[col.offset * REACH : (col.offset + len(col)) * REACH].reshape(-1, REACH)
+    width = 3 * REACH
+    return np.frombuffer(col.buffers()[2], np.uint8)[col.offset * width : (col.offset + len(col)) * width].reshape(-1, width)
+
+
+def _low(col) -> np.ndarray:
+    """The low 16 bits, which rows are sorted by."""
+    return np.ascontiguousarray(_rows(col)[:, : 2 * REACH]).view(np.uint16)
+
+
+def _matrix(col) -> np.ndarray:
+    return _low(col) | (_rows(col)[:, 2 * REACH :].astype(np.uint32) << np.uint32(16))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,31 +108,40 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-OUT = "doc_id long, s int, e int, other long, key long"
-EDGE = "doc_id long, s int, e int, other long, border int, key long"
+WHO = ["doc_id", "text_key"]
+#: kind 0: matches, 1: keyed stretches; and with borders, 0: matches, 1: first and last rows of ranges.
+OUT = "doc_id long, text_key long, s int, e int, key long, kind int"
+EDGE = "doc_id long, text_key long, s int, e int, key long, kind int, border int"
+
+
+def _give(t: pa.Table, pick: np.ndarray, s: np.ndarray, e: np.ndarray | None, key=None, **more: int):
+    """Rows of OUT, with further int columns; ``e`` may be none."""
+    n = len(pick)
+    cols = [*[t.column(c).take(pa.array(pick)) for c in WHO], pa.array(s.astype(np.int32)), pa.nulls(n, pa.int32()) if e is None else pa.array(e.astype(np.int32)), pa.nulls(n, pa.int64()) if key is None else pa.array(key)]
+    names = [*WHO, "s", "e", "key", *more]
+    yield from pa.table([*cols, *[pa.array(np.full(n, v, np.int32)) for v in more.values()]], names=names).combine_chunks().to_batches()
 
 
 def _compared(t: pa.Table, near: int = NEAR):
     """Matches of rows of one k-gram, up to ``near`` rows apart in a sorted table, reported for both."""
-    gram, at, ids = t.column("gram").to_numpy(), t.column("at").to_numpy(), t.column("doc_id")
+    gram, at = t.column("gram").to_numpy(), t.column("at").to_numpy()
+    if len(gram) < 2:
+        return
     ahead, behind = _matrix(t.column("ahead")), _matrix(t.column("behind"))
     parts = []
     for d in range(1, min(near, len(gram) - 1) + 1):
         same = np.flatnonzero(gram[d:] == gram[:-d])
         if not len(same):
             break
-        left, right = _common(ahead[same], ahead[same + d]), _common(behind[same], behind[same + d])
+        left, right = _common(ahead[same], ahead[same + d]), K + _common(behind[same], behind[same + d])
         long = left + right >= LEAST
         parts.append((same[long], same[long] + d, left[long], right[long]))
     if not sum(len(p[0]) for p in parts):
-        return None
+        return
     i, j, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-    pick, left, right = np.concatenate([i, j]), np.concatenate([left, left]), np.concatenate([right, right])
-    who, other = ids.take(pa.array(pick)), ids.take(pa.array(np.concatenate([j, i])))
     # One row for each place and reach is enough.
-    once = np.unique(np.stack([pick, left, right]), axis=1, return_index=True)[1]
-    s, e = (at[pick] - left)[once], (at[pick] + right)[once]
-    return pa.table({"doc_id": who.take(pa.array(once)), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "other": other.take(pa.array(once))})
+    pick, left, right = np.unique(np.stack([np.concatenate([i, j]), np.concatenate([left, left]), np.concatenate([right, right])]), axis=1)
+    yield from _give(t, pick, at[pick] - left, at[pick] + right, kind=0)
 
 
 def _stretches(t: pa.Table, done: int, wait: int, first: bool, last: bool):
@@ -124,54 +152,64 @@ def _stretches(t: pa.Table, done: int, wait: int, first: bool, last: bool):
     """
     if t.num_rows <= done + wait:
         return
-    gram, splits = t.column("gram").to_numpy(), np.arange(LEAST - K + 1)
-    ahead, behind = _matrix(t.column("ahead")), _matrix(t.column("behind"))
+    gram, splits = t.column("gram").to_numpy(), np.arange(REACH + 1)
+    ahead, behind, low = _matrix(t.column("ahead")), _matrix(t.column("behind")), _low(t.column("ahead"))
     same = gram[1:] == gram[:-1]
-    left, right = np.where(same, _common(ahead[1:], ahead[:-1]), -1), np.where(same, _common(behind[1:], behind[:-1]), -1)
-    reach = np.maximum(np.append(-1, left), np.append(left, -1))
+    left, right = np.where(same, _common(ahead[1:], ahead[:-1]), -1), np.where(same, K + _common(behind[1:], behind[:-1]), -1)
+    # What the sort order tells is of the low bits alone: at least as far as the words agree.
+    differ = low[1:] != low[:-1]
+    order = np.where(same, np.where(differ.any(axis=1), differ.argmax(axis=1), REACH), -1)
+    reach = np.maximum(np.append(-1, order), np.append(order, -1))
     if first:
         reach[0] = REACH
     if last:
         reach[-1] = REACH
-    before, after = np.append(-1, left), np.append(-1, right)
-    at, ids = t.column("at").to_numpy(), t.column("doc_id")
-    for i in range(done, t.num_rows - wait, 20_000):
-        k = np.arange(i, min(i + 20_000, t.num_rows - wait))
+    before, after, at = np.append(-1, left), np.append(-1, right), t.column("at").to_numpy()
+    for i in range(done, t.num_rows - wait, 10_000):
+        k = np.arange(i, min(i + 10_000, t.num_rows - wait))
         line = np.hstack([ahead[k][:, ::-1], behind[k]])
         start = REACH - splits
-        want = (line[:, start] != 0) & (line[:, start + LEAST - 1] != 0) & (splits <= reach[k, None])
+        want = (line[:, start] != 0) & (line[:, start + REACH - 1] != 0) & (splits <= reach[k, None])
         want &= (splits > before[k, None]) | (LEAST - splits > after[k, None])
         row, split = np.nonzero(want)
         if not len(row):
             continue
         start = row * (2 * REACH) + start[split]
-        key = mix(span_hashes(mix(line.ravel().astype(np.uint64)), start, start + LEAST) ^ _splitmix(len(splits), 55)[split])
+        key = mix(span_hashes(mix(line.ravel().astype(np.uint64)), start, start + REACH) ^ _splitmix(len(splits), 55)[split]) ^ gram[k[row]].view(np.uint64)
         s = at[k[row]] - split
-        yield from pa.table({"doc_id": ids.take(pa.array(k[row])), "s": pa.array(s.astype(np.int32)), "e": pa.array((s + LEAST).astype(np.int32)), "other": pa.nulls(len(row), pa.int64()), "key": pa.array(key.view(np.int64))}).combine_chunks().to_batches()
+        yield from _give(t, k[row], s, None, mix(key).view(np.int64), kind=1)  # e is s + LEAST
 
 
-def _alike(t: pa.Table):
-    """Rows (doc_id, s, e, other) of a table sorted by key that have a neighbour of their key; ``other`` is the least neighbour's."""
-    key, ids, n = t.column("key").to_numpy(), t.column("doc_id").combine_chunks(), t.num_rows
+def _alike(t: pa.Table, **more: int):
+    """Rows of a table sorted by key that have a neighbour of their key."""
+    key = t.column("key").to_numpy()
     i = np.flatnonzero(key[1:] == key[:-1])
-    if not len(i):
-        return None
-    pick, mate = np.concatenate([i, i + 1]), np.concatenate([i + 1, i])
-    return pa.table({"doc_id": ids.take(pa.array(pick)), "s": t.column("s").take(pa.array(pick)), "e": t.column("e").take(pa.array(pick)), "other": ids.take(pa.array(mate))}).combine_chunks()
+    pick = np.unique(np.concatenate([i, i + 1]))
+    if len(pick):
+        s = t.column("s").to_numpy()[pick]
+        yield from _give(t, pick, s, s + LEAST, **more)
+
+
+def _merged(batches):
+    for batch in batches:
+        out = []
+        for who, m in zip(batch.column("doc_id").to_pylist(), batch.column("m").to_pylist(), strict=True):
+            now = None
+            for x in m:
+                if now and x["s"] <= now[2]:
+                    now[2] = max(now[2], x["e"])
+                else:
+                    now = [who, x["s"], x["e"]]
+                    out.append(now)
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["doc_id", "start_word", "end_word"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, other_doc) of each passage that repeats; ``other_doc`` is the least neighbour's."""
-    from dotloom.llm.common import stored
-
-    # A value behind the keys deals equal suffixes of one document over ranges too.
+    """(doc_id, start_word, end_word) of each passage that repeats."""
+    keyed = with_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    # Values behind the k-gram deal equal suffixes of many documents over ranges too.
     order = ["gram", "ahead", "behind", "doc_id", "at"]
-    spread = suffixes(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def found(t, near):
-        got = _compared(t, near)
-        if got is not None:
-            yield from got.append_column("key", pa.nulls(got.num_rows, pa.int64())).combine_chunks().to_batches()
+    spread = suffixes(keyed).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches):
         # The last group may go on in the next batch, the first and the last of a range in another range. Of an open
@@ -192,24 +230,21 @@ def repeats(docs: DataFrame) -> DataFrame:
             mark, some = np.repeat(keyed, size), np.repeat(~keyed, size)
             now, large, some[head[-1] :] = gram[-1], bool(keyed[-1]), False
             many = t.filter(pa.array(mark)).combine_chunks()
-            yield from found(many, 1)
+            yield from _compared(many, 1)
             yield from _stretches(many, done, int(large), first, False)
             first = first and many.num_rows <= done + int(large)
-            yield from found(t.filter(pa.array(some)).combine_chunks(), NEAR)
+            yield from _compared(t.filter(pa.array(some)).combine_chunks(), NEAR)
             done = int(large and size[-1] > 1)
             held = t.slice(t.num_rows - 1 - done if large else head[-1])
         if held is not None:
             held = held.combine_chunks()
-            yield from found(held, 1)
+            yield from _compared(held, 1)
             yield from _stretches(held, done, 0, first, True)
 
-    both = stored(spread.mapInArrow(compare, OUT), "suffixes")
-    keys = ["key", "doc_id", "s"]
-    dealt = both.df.where("key IS NOT NULL").select("doc_id", "s", "e", "key").repartitionByRange(*keys).sortWithinPartitions("key")
-
-    def _edge(t, number):
-        none = pa.nulls(1, pa.int64())
-        yield from pa.table({"doc_id": t.column("doc_id"), "s": t.column("s"), "e": t.column("e"), "other": none, "border": pa.array([number], pa.int32()), "key": t.column("key")}).combine_chunks().to_batches()
+    both = stored(spread.mapInArrow(compare, OUT), "suffixes", "kind")
+    del spread
+    free_shuffles(docs.sparkSession)
+    dealt = both.df.where("kind = 1").select(*WHO, "s", "key").repartitionByRange("key", *WHO, "s").sortWithinPartitions("key")
 
     def pair(batches):
         number, last = TaskContext.get().partitionId(), None
@@ -217,52 +252,32 @@ def repeats(docs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
+            t = (t if last is None else pa.concat_tables([last, t])).combine_chunks()
             if last is None:
-                yield from _edge(t.slice(0, 1), 2 * number)
-            else:
-                t = pa.concat_tables([last, t])
-            t = t.combine_chunks()
-            got = _alike(t)
-            if got is not None:
-                n = got.num_rows
-                yield from got.append_column("border", pa.nulls(n, pa.int32())).append_column("key", pa.nulls(n, pa.int64())).combine_chunks().to_batches()
+                yield from _border(t.slice(0, 1), 2 * number)
+            yield from _alike(t, kind=0, border=0)
             last = t.slice(t.num_rows - 1)
         if last is not None:
-            yield from _edge(last, 2 * number + 1)
+            yield from _border(last, 2 * number + 1)
 
-    near = stored(dealt.mapInArrow(pair, EDGE), "stretches")
+    def _border(t, number):
+        yield from _give(t, np.zeros(1, np.int64), t.column("s").to_numpy(), None, t.column("key").to_numpy(), kind=1, border=number)
+
+    near = stored(dealt.mapInArrow(pair, EDGE), "stretches", "kind")
 
     def meet(batches):
         rows = [b for b in batches if b.num_rows]
         if rows:
             t = pa.Table.from_batches(rows).combine_chunks()
-            number = t.column("border").to_numpy()
-            t = t.select(["doc_id", "s", "e", "key"])
-            for k in np.flatnonzero(number[:-1] % 2 == 1).tolist():
-                got = _alike(t.slice(k, 2).combine_chunks())
-                if got is not None:
-                    yield from got.to_batches()
-
-    # Two rows a range: as many as there are ranges, not as there are documents.
-    edges = near.df.where("border IS NOT NULL").coalesce(1).sortWithinPartitions("border").mapInArrow(meet, "doc_id long, s int, e int, other long")
-    every = both.df.where("key IS NULL").union(near.df.where("border IS NULL").select(*both.df.columns)).select("doc_id", "s", "e", "other").union(edges)
-    per = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "other"))).alias("m"))
-
-    def merge(batches):
-        for batch in batches:
-            out = []
-            for who, m in zip(batch.column("doc_id").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                now = None
-                for x in m:
-                    if now and x["s"] <= now[2]:
-                        now[2] = max(now[2], x["e"])
-                        now[3] = x["other"] if now[3] is None else now[3] if x["other"] is None else min(now[3], x["other"])
-                    else:
-                        now = [who, x["s"], x["e"], x["other"]]
-                        out.append(now)
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], ["doc_id", "start_word", "end_word", "other_doc"])
-
-    return per.mapInArrow(merge, "doc_id long, start_word long, end_word long, other_doc long")
+            for k in np.flatnonzero(t.column("border").to_numpy()[:-1] % 2 == 1).tolist():
+                yield from _alike(t.slice(k, 2).combine_chunks(), kind=0)
+
+    # Two rows a range, in files of their own: as many as there are ranges, not as there are documents.
+    edges = near.df.where("kind = 1").coalesce(1).sortWithinPartitions("border").mapInArrow(meet, OUT)
+    every = both.df.where("kind = 0").select(*WHO, "s", "e").union(near.df.where("kind = 0").select(*WHO, "s", "e")).union(edges.select(*WHO, "s", "e"))
+    # A set: rows that repeat add nothing, so a group is as large as its text.
+    per = every.groupBy(*WHO).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("m"))
+    return per.select("doc_id", "m").mapInArrow(_merged, "doc_id long, start_word long, end_word long")
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
