@@ -125,21 +125,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_TABLE = (_splitmix(256, 11), _splitmix(256, 23))
-_BASE = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+_GOLD = _M(0x9E3779B97F4A7C15)
+_ODD = (_M(0xD6E8FEB86659FD93), _M(0xA0761D6478BD642F))
+_SEED = (11, 23)
+#: What is left of eight bytes of which k belong to a span, read as a little-endian number.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _M)
+_PLACES: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int, inverse: bool) -> np.ndarray:
-    have = _POWERS.get((base, inverse))
+def _places(which: int, n: int) -> np.ndarray:
+    """Random numbers of the first n places in a span."""
+    have = _PLACES.get(which)
     if have is None or len(have) < n:
-        b = pow(base, -1, 1 << 64) if inverse else base
-        p = np.full(max(n, 1 << 16), b, _M)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.cumprod(p, dtype=_M)
-        if n <= 4_000_000:
-            _POWERS[(base, inverse)] = have
+        have = _PLACES[which] = _splitmix(max(n, 1 << 12), _SEED[which])
     return have[:n]
 
 
@@ -165,28 +163,52 @@ def words_of(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of values[starts:ends] for 64-bit values: a polynomial modulo 2**64 from prefix sums, then mixed."""
-    n = len(values)
-    base = _BASE[which]
+def _summed(values: np.ndarray, place: np.ndarray, off: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of spans values[off[i]:off[i + 1]] of ``size`` units each: values mixed with their place, summed, mixed with the size."""
     with np.errstate(over="ignore"):
-        c = np.zeros(n + 1, _M)
-        np.cumsum(values * _powers(base, n, False), out=c[1:])
-        h = (c[ends] - c[starts]) * _powers(base, n + 1, True)[starts]
-        return mix(h + (ends - starts).astype(_M) * _M(0x9E3779B97F4A7C15))
+        c = np.zeros(len(values) + 1, _M)
+        np.cumsum(mix(values ^ _places(which, int(place.max()) + 1 if len(place) else 0)[place]), out=c[1:])
+        return mix(c[off[1:]] - c[off[:-1]] + size.astype(_M) * _GOLD)
+
+
+def _spread(starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For spans of ``count`` units each: the n+1 offsets of their units, and each unit's span and place in it."""
+    off = np.concatenate([[0], np.cumsum(count)])
+    span = np.repeat(np.arange(len(starts)), count)
+    return off, span, np.arange(off[-1]) - off[span]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of values[starts:ends] for 64-bit values; for spans that overlap little."""
+    off, span, place = _spread(starts, ends - starts)
+    return _summed(values[starts[span] + place], place, off, ends - starts, which)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of words given by byte spans; ``which`` picks one of two independent hashes."""
-    return span_hashes(_TABLE[which][data], starts, ends, which)
+    """64-bit hashes of bytes data[starts:ends], eight at a time; ``which`` picks one of two independent hashes."""
+    size = ends - starts
+    off, span, place = _spread(starts, (size + 7) // 8)
+    at = starts[span] + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    return _summed(eight & _MASK[np.minimum(ends[span] - at, 8)], place, off, size, which)
 
 
 def window_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hashes of every n consecutive word hashes; rows are not kept apart (see ``inside``)."""
+    """Hashes of every n consecutive word hashes, joined from halves; rows are not kept apart (see ``inside``)."""
     if len(words) < n:
         return np.zeros(0, _M)
-    starts = np.arange(len(words) - n + 1)
-    return span_hashes(words, starts, starts + n, which)
+    total = len(words) - n + 1
+    with np.errstate(over="ignore"):
+        part, size, at, out = mix(words ^ _GOLD), 1, 0, None  # part: hashes of ``size`` words from each word on
+        while True:
+            if n & size:
+                mine = part[at : at + total]
+                out = mine if out is None else mix(out * _ODD[which] + mine)
+                at += size
+            if 2 * size > n:
+                return out
+            part, size = mix(part[:-size] * _ODD[which] + part[size:]), 2 * size
 
 
 def inside(word_off: np.ndarray, n: int, total: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from dotloom.llm.common import _splitmix, chunks, mix, span_hashes, with_only
+from dotloom.llm.common import chunks, mix, with_only, word_hashes
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -153,7 +153,6 @@ class Encoder:
             for c in range(n, 4 * m.words):
                 mask[k, c // 4] |= full << np.uint64(48 - 16 * (c % 4))
         self.high = m.piece_keys | mask
-        self.codes = _splitmix(4096, 5)
 
     # -- which pieces stay apart
     def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -339,15 +338,9 @@ class Encoder:
         before = np.concatenate([[0], ends[:-1]])
         new_row = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
         marks = np.where(new_row, starts - row_off[row] + 1, starts - before)
-        with np.errstate(over="ignore"):
-            values = self.codes[cps & 4095] + mix(cps.astype(np.uint64))
-        h = span_hashes(values, starts, ends, 0)
-        _, first_at, back = np.unique(h, return_index=True, return_inverse=True)
-        other_hash = span_hashes(values, starts, ends, 1)
-        if (other_hash[first_at][back] != other_hash).any():  # two words share a hash: both tell them apart
-            _, first_at, back = np.unique(np.stack([h, other_hash], 1), axis=0, return_index=True, return_inverse=True)
+        first_at, back = _distinct(cps, starts, ends)
         ids, off = self._encode_words(cps, starts[first_at], ends[first_at]) if len(starts) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        return self._spread(cps, starts, row, marks, back.ravel(), ids, off, row_off, ends, lens)
+        return self._spread(cps, starts, row, marks, back, ids, off, row_off, ends, lens)
 
     def _run_split(self, r: int) -> tuple[int, int]:
         """Longest pieces ahead, and marks of the run that are left."""
@@ -405,6 +398,23 @@ class Encoder:
         return wide, new_end[out_off]
 
 
+def _distinct(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different word, and the number of each word among these: found by hash, then compared character by character."""
+    _, first_at, back = np.unique(word_hashes(cps.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+    like, size = first_at[back], ends - starts
+    same = (size[like] == size).all()
+    if same:
+        mine, _ = _gather(cps, starts, size)
+        theirs, _ = _gather(cps, starts[like], size)
+        same = (mine == theirs).all()
+    if not same:
+        words = [cps[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        back = np.array([number[w] for w in words], np.int64)
+        first_at = np.unique(back, return_index=True)[1]
+    return first_at, back
+
+
 def _gather(pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces pool[begin : begin + count] behind each other, and their offsets."""
     off = np.concatenate([[0], np.cumsum(count)])

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import _splitmix, chunks, free_shuffles, mix, row_of, span_hashes, stored, window_hashes, with_only, word_hashes, words_of
+from dotloom.llm.common import _splitmix, chunks, free_shuffles, mix, row_of, stored, window_hashes, with_only, word_hashes, words_of
 
 #: Words of a k-gram, k-grams a minimiser is chosen from, least words of a repeat, words carried each way of the k-gram.
 K, W, LEAST = 10, 40, 50
@@ -175,7 +175,7 @@ def _stretches(t: pa.Table, done: int, wait: int, first: bool, last: bool):
         if not len(row):
             continue
         start = row * (2 * REACH) + start[split]
-        key = mix(span_hashes(mix(line.ravel().astype(np.uint64)), start, start + REACH) ^ _splitmix(len(splits), 55)[split]) ^ gram[k[row]].view(np.uint64)
+        key = mix(window_hashes(mix(line.ravel().astype(np.uint64)), REACH)[start] ^ _splitmix(len(splits), 55)[split]) ^ gram[k[row]].view(np.uint64)
         s = at[k[row]] - split
         yield from _give(t, k[row], s, None, mix(key).view(np.int64), kind=1)  # e is s + LEAST
 
