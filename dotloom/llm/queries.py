@@ -6,6 +6,7 @@ from dotloom.llm.media import op5_media
 from dotloom.llm.pii import op6_pii
 from dotloom.llm.quality import op1_quality
 from dotloom.llm.spiece import op9_sentencepiece
+from dotloom.llm.snapshots import OP13_SQL, op13_snapshots
 from dotloom.llm.substring import OP8_SQL, op8_substring
 from dotloom.llm.suffixes import op3_suffixes
 from dotloom.llm.toxicity import op7_toxicity
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
+    "op13_snapshots": op13_snapshots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op8_substring": OP8_SQL,
+    "op13_snapshots": OP13_SQL,
 }
