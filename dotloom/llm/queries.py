@@ -2,6 +2,7 @@
 
 from dotloom.llm.decontam import op10_decontaminate
 from dotloom.llm.jaccard import op4_jaccard
+from dotloom.llm.lines import OP11_SQL, op11_lines
 from dotloom.llm.media import op5_media
 from dotloom.llm.pii import op6_pii
 from dotloom.llm.quality import op1_quality
@@ -23,11 +24,13 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
+    "op11_lines": op11_lines,
     "op13_snapshots": op13_snapshots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op8_substring": OP8_SQL,
+    "op11_lines": OP11_SQL,
     "op13_snapshots": OP13_SQL,
 }
