@@ -11,6 +11,7 @@ from dotloom.llm.snapshots import OP13_SQL, op13_snapshots
 from dotloom.llm.substring import OP8_SQL, op8_substring
 from dotloom.llm.suffixes import op3_suffixes
 from dotloom.llm.toxicity import op7_toxicity
+from dotloom.llm.whitening import op12_whitening
 from dotloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
     "op11_lines": op11_lines,
+    "op12_whitening": op12_whitening,
     "op13_snapshots": op13_snapshots,
 }
 
