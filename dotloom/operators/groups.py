@@ -4,10 +4,12 @@ Pair tables have (image_id, i, j) once a pair, i < j, unless they are called dir
 design leaves open are parameters.
 """
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotloom.sources.store import shared_folder
+from dotloom.sources.store import Kept, kept
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -17,11 +19,8 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Cuts lineage: ``df`` is written to the shared folder, where it stays until exit."""
+    return kept(df, "cut").df
 
 
 def bucketed(pairs: DataFrame, top: DataFrame) -> DataFrame:
@@ -42,71 +41,222 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Least labels spread along the edges, and labels follow their own label, until none falls; a round is a join on the
     node, so a large image or group is dealt over tasks.
     """
-    both = cut(both_ways(edges.select("i", "j").where("i <> j").distinct()))
-    label = cut(nodes.select("image_id", "cand_id", F.col("cand_id").alias("group_id")))
+    both = kept(both_ways(edges.select("i", "j").where("i <> j").distinct()), "edges")
+    label = kept(nodes.select("image_id", "cand_id", F.col("cand_id").alias("group_id")), "labels")
     while True:
-        at = label.select(F.col("cand_id").alias("j"), F.col("group_id").alias("theirs"))
-        near = both.join(at, "j").groupBy(F.col("i").alias("cand_id")).agg(F.min("theirs").alias("near"))
-        hooked = label.join(near, "cand_id", "left").select("image_id", "cand_id", F.col("group_id").alias("old"), F.least("group_id", F.coalesce("near", "group_id")).alias("group_id"))
+        at = label.df.select(F.col("cand_id").alias("j"), F.col("group_id").alias("theirs"))
+        near = both.df.join(at, "j").groupBy(F.col("i").alias("cand_id")).agg(F.min("theirs").alias("near"))
+        hooked = label.df.join(near, "cand_id", "left").select("image_id", "cand_id", F.col("group_id").alias("old"), F.least("group_id", F.coalesce("near", "group_id")).alias("group_id"))
         up = hooked.select(F.col("cand_id").alias("group_id"), F.col("group_id").alias("upper"))
-        new = cut(hooked.join(up, "group_id", "left").select("image_id", "cand_id", "old", F.least("group_id", F.coalesce("upper", "group_id")).alias("group_id")))
-        label = new.select("image_id", "cand_id", "group_id")
-        if new.where("group_id <> old").isEmpty():
-            return label
+        new = kept(hooked.join(up, "group_id", "left").select("image_id", "cand_id", "old", F.least("group_id", F.coalesce("upper", "group_id")).alias("group_id")), "labels")
+        label.drop()
+        label = new
+        if new.df.where("group_id <> old").isEmpty():
+            both.drop()
+            return new.df.select("image_id", "cand_id", "group_id")
+
+
+# ---------------------------------------------------------------- group states
+KEY = ["image_id", "group_id"]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What the design leaves open: the best class's share below which a candidate is noise, the cost of a group, the floor of an affinity."""
+
+    noise_below: float = 0.5
+    complexity: float = 0.1
+    eps: float = 1e-6
+
+
+@dataclass
+class Groups:
+    """Groups and what their costs add up from.
+
+    ``members`` (image_id, cand_id, group_id); ``states`` (image_id, group_id, n, noisy, classes, sums, loose, pairs, away):
+    candidates, noisy ones, number of classes, sums of p and z behind each other, sum of -log(affinity + eps) and number of
+    the pairs inside, and sum of the distances of z from its mean; ``between`` (image_id, a, b, loose, pairs) for groups
+    a < b that some pair joins. The state of two groups as one is the sum of theirs and of what is between them, but for
+    ``away``, which needs the members.
+    """
+
+    members: Kept
+    states: Kept
+    between: Kept
+    pairs: Kept | None = None
+
+    def joined(self, w: Weights) -> Kept:
+        """``_joined``, written once."""
+        if self.pairs is None:
+            self.pairs = kept(_joined(self, w), "pairs")
+        return self.pairs
+
+    def drop(self) -> None:
+        for t in (self.members, self.states, self.between, self.pairs):
+            if t:
+                t.drop()
+
+
+def _distance(x: Column, y: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
+
+
+def _centre(s: Column) -> Column:
+    """The mean z of a state."""
+    return F.transform(F.slice(s["sums"], s["classes"] + 1, F.size(s["sums"])), lambda v: v / s["n"])
+
 
+def _terms(s: Column, w: Weights) -> dict[str, Column]:
+    """The cost terms of a state but its dispersion."""
+    share = F.transform(F.slice(s["sums"], F.lit(1), s["classes"]), lambda v: v / s["n"])
+    entropy = -F.aggregate(share, F.lit(0.0), lambda acc, v: acc + F.when(v > 0, v * F.log(v)).otherwise(0.0))
+    total = s["n"] * (s["n"] - 1) / 2
+    # Pairs without affinity count eps.
+    loose = F.coalesce(F.try_divide(s["loose"] - (total - s["pairs"]) * F.log(F.lit(w.eps)), total), F.lit(0.0))
+    return {"entropy": entropy, "inconsistency": loose, "noise": s["noisy"] / s["n"]}
 
-def costs(members: DataFrame, features: DataFrame, pairs: DataFrame, noise_below: float = 0.5, complexity: float = 0.1, eps: float = 1e-6) -> DataFrame:
+
+def _plain_cost(s: Column, w: Weights) -> Column:
+    t = _terms(s, w)
+    return t["entropy"] + t["inconsistency"] + t["noise"] + w.complexity
+
+
+def grouped(members: DataFrame, features: DataFrame, pairs: DataFrame, weights: Weights) -> Groups:
+    """Groups of ``members`` (image_id, group_id, cand_id), ``features`` (cand_id, p, z, valid) and ``pairs`` (i, j, affinity)."""
+    own = kept(members.select("image_id", "cand_id", "group_id"), "members")
+    unsure = (F.coalesce(F.col("valid"), F.lit(0)) <= 0) | (F.array_max("p") < weights.noise_below)
+    m = own.df.join(features.select("cand_id", "z", F.concat("p", "z").alias("v"), F.size("p").alias("classes"), unsure.cast("long").alias("noisy")), "cand_id")
+    m = kept(m, "features")
+    sums = m.df.select(*KEY, F.posexplode("v").alias("k", "v")).groupBy(*KEY, "k").agg(F.sum("v").alias("v"))
+    sums = sums.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("sums"))
+    n = m.df.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("noisy").alias("noisy"), F.max("classes").alias("classes")).join(sums, KEY)
+    centre = n.select(*KEY, _centre(F.struct("n", "sums", "classes")).alias("c"))
+    away = m.df.join(centre, KEY).groupBy(*KEY).agg(F.sum(_distance(F.col("z"), F.col("c"))).alias("away"))
+    g = lambda c, x: own.df.select(F.col("cand_id").alias(c), F.col("group_id").alias(x), *(["image_id"] if c == "i" else []))
+    met = pairs.select("i", "j", "affinity").join(g("i", "gi"), "i").join(g("j", "gj"), "j")
+    met = met.groupBy("image_id", F.least("gi", "gj").alias("a"), F.greatest("gi", "gj").alias("b")).agg(F.sum(-F.log(F.col("affinity") + weights.eps)).alias("loose"), F.count("*").alias("pairs"))
+    met = kept(met, "met")
+    inside = met.df.where("a = b").select("image_id", F.col("a").alias("group_id"), "loose", "pairs")
+    states = n.join(away, KEY).join(inside, KEY, "left").select(*KEY, "n", "noisy", "classes", "sums", F.coalesce("loose", F.lit(0.0)).alias("loose"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "away")
+    out = Groups(own, kept(states, "states"), kept(met.df.where("a < b"), "between"))
+    for t in (m, met):
+        t.drop()
+    return out
+
+
+STATE = ("n", "noisy", "classes", "sums", "loose", "pairs", "away")
+
+
+def state_costs(states: DataFrame, weights: Weights) -> DataFrame:
+    """The cost terms of each group and their sum."""
+    s = F.struct(*STATE)
+    t = _terms(s, weights)
+    d = states.select(*KEY, "n", *[v.alias(k) for k, v in t.items()], (F.col("away") / F.col("n")).alias("dispersion"))
+    cost = F.col("entropy") + F.col("inconsistency") + F.col("dispersion") + F.col("noise") + weights.complexity
+    return d.select(*KEY, "n", "entropy", "inconsistency", "dispersion", "noise", cost.alias("cost"))
+
+
+def costs(members: DataFrame, features: DataFrame, pairs: DataFrame, **weights: float) -> DataFrame:
     """The cost terms of each group and their sum.
 
-    ``members`` (image_id, group_id, cand_id) may name a candidate in several groups; ``features`` (cand_id, p, z, valid);
-    ``pairs`` (i, j, affinity). A pair without affinity counts eps. Terms: entropy of the mean distribution; mean of
-    -log(affinity + eps) over pairs, 0 for a single; mean distance of z from its mean; the share of candidates that are
-    no valid match or whose best class is below ``noise_below``; ``complexity`` for each group.
+    A pair without affinity counts eps. Terms: entropy of the mean distribution; mean of -log(affinity + eps) over pairs,
+    0 for a single; mean distance of z from its mean; the share of candidates that are no valid match or whose best class
+    is below ``noise_below``; ``complexity`` for each group.
     """
-    key = ["image_id", "group_id"]
-    m = cut(members.select(*key, "cand_id").join(features.select("cand_id", "p", "z", "valid"), "cand_id"))
-
-    def means(column):
-        return m.select(*key, F.posexplode(column).alias("k", "v")).groupBy(*key, "k").agg(F.avg("v").alias("v"))
-
-    entropy = means("p").groupBy(*key).agg((-F.sum(F.when(F.col("v") > 0, F.col("v") * F.log("v")).otherwise(0.0))).alias("entropy"))
-    centre = means("z").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
-    centre = centre.select(*key, F.transform("c", lambda x: x["v"]).alias("c"))
-    away = F.sqrt(F.aggregate(F.zip_with("z", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    best = F.array_max("p")
-    spread = m.join(centre, key).groupBy(*key).agg(F.count("*").alias("n"), F.avg(away).alias("dispersion"), F.avg(F.when((F.col("valid") > 0) & (best >= noise_below), 0.0).otherwise(1.0)).alias("noise"))
-    a, b = members.select(*key, F.col("cand_id").alias("i")), members.select(*key, F.col("cand_id").alias("j"))
-    loose = a.join(pairs.select("i", "j", "affinity"), "i").join(b, [*key, "j"]).groupBy(*key).agg(F.sum(-F.log(F.col("affinity") + eps)).alias("s"), F.count("*").alias("k"))
-    total = F.col("n") * (F.col("n") - 1) / 2
-    gap = F.coalesce("s", F.lit(0.0)) - (total - F.coalesce("k", F.lit(0))) * F.log(F.lit(eps))
-    got = spread.join(entropy, key).join(loose, key, "left").withColumn("inconsistency", F.coalesce(F.try_divide(gap, total), F.lit(0.0)))
-    cost = F.col("entropy") + F.col("inconsistency") + F.col("dispersion") + F.col("noise") + complexity
-    return got.select(*key, "n", "entropy", "inconsistency", "dispersion", "noise", cost.alias("cost"))
+    w = Weights(**weights)
+    return state_costs(grouped(members, features, pairs, w).states.df, w)
+
+
+def _joined(groups: Groups, w: Weights) -> DataFrame:
+    """Pairs of groups that could become one: (image_id, a, b, n, centre, plain, before, low, high).
+
+    ``plain`` is the cost of both as one without dispersion, ``before`` that of both apart, ``low`` and ``high`` bound the
+    distances' sum ``away`` of both as one: a member's distance from the common mean differs from that from its own by the
+    distance of both means at most, and a group's mean distance is no less than that of the means.
+    """
+    s = groups.states.df.select("image_id", "group_id", F.struct(*STATE).alias("s"))
+    side = lambda x: s.select("image_id", F.col("group_id").alias(x), F.col("s").alias(f"s{x}"))
+    d = groups.between.df.join(side("a"), ["image_id", "a"]).join(side("b"), ["image_id", "b"])
+    x, y = F.col("sa"), F.col("sb")
+    both = F.struct(
+        (x["n"] + y["n"]).alias("n"), (x["noisy"] + y["noisy"]).alias("noisy"), x["classes"].alias("classes"), F.zip_with(x["sums"], y["sums"], lambda u, v: u + v).alias("sums"),
+        (x["loose"] + y["loose"] + F.col("loose")).alias("loose"), (x["pairs"] + y["pairs"] + F.col("pairs")).alias("pairs"),
+    )
+    d = d.withColumn("s", both).withColumn("centre", _centre(F.col("s")))
+    move = lambda t: _distance(_centre(t), F.col("centre"))
+    d = d.withColumns({"ma": move(x), "mb": move(y)})
+    low = lambda t, m: F.greatest(t["away"] - t["n"] * m, t["n"] * m)
+    high = lambda t, m: t["away"] + t["n"] * m
+    apart = _plain_cost(x, w) + x["away"] / x["n"] + _plain_cost(y, w) + y["away"] / y["n"]
+    return d.select(
+        "image_id", "a", "b", F.col("s.n").alias("n"), "centre", _plain_cost(F.col("s"), w).alias("plain"), apart.alias("before"),
+        (low(x, F.col("ma")) + low(y, F.col("mb"))).alias("low"), (high(x, F.col("ma")) + high(y, F.col("mb"))).alias("high"),
+    )
+
+
+def _ends(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Each pair of groups once for either: (image_id, g, o, columns)."""
+    return pairs.select("image_id", F.inline(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o")), F.struct(F.col("b").alias("g"), F.col("a").alias("o")))), *columns)
+
+
+def _gains(groups: Groups, features: DataFrame, w: Weights, least: float | None) -> DataFrame:
+    """(image_id, a, b, away, gain) of pairs of groups; with ``least`` only of those that can be the best of either and gain more.
+
+    Members meet the means of the pairs that their group is in, in one row each; distances are added up before the exchange.
+    """
+    some = groups.joined(w).df
+    if least is not None:
+        gain = lambda away: F.col("before") - F.col("plain") - F.col(away) / F.col("n")
+        bounds = some.select("image_id", "a", "b", gain("low").alias("most"), gain("high").alias("sure")).where(F.col("most") > least - 1e-9)
+        floor = _ends(bounds, "sure").groupBy("image_id", "g").agg(F.max("sure").alias("floor"))
+        best = _ends(bounds, "most").join(floor, ["image_id", "g"]).where(F.col("most") >= F.col("floor") - 1e-9)
+        chosen = best.select("image_id", F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b")).distinct()
+        some = some.join(chosen, ["image_id", "a", "b"])
+    centres = some.select("image_id", F.explode(F.array("a", "b")).alias("group_id"), F.struct("a", "b", "centre").alias("c")).groupBy(*KEY).agg(F.collect_list("c").alias("centres"))
+    m = groups.members.df.join(features.select("cand_id", "z"), "cand_id").join(centres, KEY)
+    far = F.transform("centres", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), _distance(F.col("z"), c["centre"]).alias("d")))
+    away = m.select("image_id", F.inline(far)).groupBy("image_id", "a", "b").agg(F.sum("d").alias("away"))
+    out = some.join(away, ["image_id", "a", "b"]).select("image_id", "a", "b", "away", (F.col("before") - F.col("plain") - F.col("away") / F.col("n")).alias("gain"))
+    return out
 
 
 def merge_gains(members: DataFrame, features: DataFrame, pairs: DataFrame, **weights: float) -> DataFrame:
     """(image_id, a, b, gain) of the pairs of groups that some pair of candidates joins: Cost(a) + Cost(b) - Cost(both)."""
-    g = lambda c, n: members.select(F.col("cand_id").alias(c), F.col("group_id").alias(n))
-    joined = pairs.select("image_id", "i", "j").join(g("i", "gi"), "i").join(g("j", "gj"), "j").where("gi <> gj")
-    two = joined.select("image_id", F.least("gi", "gj").alias("a"), F.greatest("gi", "gj").alias("b")).distinct()
-    one = costs(members, features, pairs, **weights).select("image_id", "group_id", "cost")
-    # The union of a and b as a group of its own.
-    ab = F.struct("a", "b")
-    pick = members.withColumnRenamed("group_id", "g")
-    union = two.withColumn("g", F.explode(F.array("a", "b"))).join(pick, ["image_id", "g"]).select("image_id", ab.alias("group_id"), "cand_id")
-    whole = costs(union, features, pairs, **weights).select("image_id", "group_id.a", "group_id.b", F.col("cost").alias("whole"))
-    for x in ("a", "b"):
-        whole = whole.join(one.select("image_id", F.col("group_id").alias(x), F.col("cost").alias(f"cost_{x}")), ["image_id", x])
-    return whole.select("image_id", "a", "b", (F.col("cost_a") + F.col("cost_b") - F.col("whole")).alias("gain"))
+    w = Weights(**weights)
+    return _gains(grouped(members, features, pairs, w), features, w, None).drop("away")
+
+
+def _mutual(gains: DataFrame, least: float) -> DataFrame:
+    """(image_id, a, b, and what else ``gains`` has) of the pairs that are each other's best gain above ``least``, the lower id among equals; a < b."""
+    rest = [c for c in gains.columns if c not in ("image_id", "a", "b")]
+    best = _ends(gains.where(F.col("gain") > least), *rest).groupBy("image_id", "g").agg(F.max_by(F.struct("o", *rest), F.struct("gain", -F.col("o"))).alias("s"))
+    pairs = best.groupBy("image_id", F.least("g", "s.o").alias("a"), F.greatest("g", "s.o").alias("b")).agg(F.count("*").alias("ends"), F.first("s").alias("s"))
+    return pairs.where("ends = 2").select("image_id", "a", "b", *[f"s.{c}" for c in rest])
+
+
+def _after(groups: Groups, chosen: DataFrame) -> Groups:
+    """The groups after the chosen pairs (image_id, a, b, away) became one each, under the lower id."""
+    gone = chosen.select("image_id", F.col("b").alias("group_id"), F.col("a").alias("into"))
+    new = lambda d, key: d.join(gone.withColumnRenamed("group_id", key), ["image_id", key], "left").withColumn(key, F.coalesce("into", key)).drop("into")
+    between = new(new(groups.between.df, "a"), "b")
+    between = between.groupBy("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("loose").alias("loose"), F.sum("pairs").alias("pairs"))
+    inner = chosen.select("image_id", "a", "b", F.col("away").alias("common")).join(groups.between.df, ["image_id", "a", "b"]).select("image_id", F.col("a").alias("group_id"), "common", F.col("loose").alias("more"), F.col("pairs").alias("met"))
+    states = new(groups.states.df, "group_id").groupBy(*KEY).agg(
+        F.sum("n").alias("n"), F.sum("noisy").alias("noisy"), F.max("classes").alias("classes"), F.collect_list("sums").alias("all"), F.sum("loose").alias("loose"), F.sum("pairs").alias("pairs"), F.sum("away").alias("away"),
+    )
+    sums = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.zip_with(F.col("all")[0], F.try_element_at("all", F.lit(2)), lambda u, v: u + v))
+    states = states.join(inner, KEY, "left").select(
+        *KEY, "n", "noisy", "classes", sums.alias("sums"), (F.col("loose") + F.coalesce("more", F.lit(0.0))).alias("loose"), (F.col("pairs") + F.coalesce("met", F.lit(0))).alias("pairs"), F.coalesce("common", "away").alias("away"),
+    )
+    members = new(groups.members.df, "group_id").select("image_id", "cand_id", "group_id")
+    out = Groups(kept(members, "members"), kept(states, "states"), kept(between.where("a < b"), "between"))
+    groups.drop()
+    return out
 
 
 def merged(members: DataFrame, gains: DataFrame, least: float = 1e-9) -> DataFrame:
     """One round of merging: pairs of groups that are each other's best gain above ``least`` become one (the lower id)."""
-    good = gains.where(F.col("gain") > least)
-    ends = good.select("image_id", F.col("a").alias("g"), F.col("b").alias("o"), "gain").union(good.select("image_id", "b", "a", "gain"))
-    best = ends.groupBy("image_id", "g").agg(F.max_by("o", F.struct("gain", -F.col("o"))).alias("o"))
-    back = best.select("image_id", F.col("g").alias("o"), F.col("o").alias("g2"))
-    mutual = best.join(back, ["image_id", "o"]).where("g = g2 AND o < g").select("image_id", F.col("g").alias("group_id"), "o")
+    mutual = _mutual(gains, least).select("image_id", F.col("b").alias("group_id"), F.col("a").alias("o"))
     return members.join(mutual, ["image_id", "group_id"], "left").select("image_id", "cand_id", F.coalesce("o", "group_id").alias("group_id"))
 
 
@@ -133,16 +283,22 @@ def isolated(members: DataFrame, features: DataFrame, confidence: float = 0.5) -
     return members.join(n, ["image_id", "group_id"]).join(p, "cand_id").select("image_id", "cand_id", "group_id", ((F.col("n") == 1) & (F.col("best") < confidence)).alias("noise"))
 
 
-def refined(members: DataFrame, features: DataFrame, pairs: DataFrame, split_least: float, rounds: int = 10, confidence: float = 0.5, **weights: float) -> DataFrame:
-    """Splits, then merges in rounds until none gains (or ``rounds``, a parameter of the refinement), then marks noise."""
-    now = cut(split(members, features, pairs, split_least, **weights))
-    for _ in range(rounds):
-        new = cut(merged(now, merge_gains(now, features, pairs, **weights)))
-        same = new.join(now, ["image_id", "cand_id", "group_id"], "left_anti").isEmpty()
-        now = new
-        if same:
-            break
-    return isolated(now, features, confidence)
+def refined(members: DataFrame, features: DataFrame, pairs: DataFrame, split_least: float, confidence: float = 0.5, least: float = 1e-9, limits: dict | None = None, **weights: float) -> DataFrame:
+    """Splits groups (by the ``limits`` of ``split``), merges pairs of groups until none gains, then marks noise.
+
+    A round merges all pairs that are each other's best; each merge lowers an image's number of groups, so the rounds end.
+    A round's tables replace those of the one before.
+    """
+    w = Weights(**weights)
+    groups = grouped(split(members, features, pairs, split_least, **(limits or {}), **weights), features, pairs, w)
+    while True:
+        chosen = kept(_mutual(_gains(groups, features, w, least), least), "chosen")
+        done = chosen.df.isEmpty()
+        if not done:
+            groups = _after(groups, chosen.df)
+        chosen.drop()
+        if done:
+            return isolated(groups.members.df, features, confidence)
 
 
 # ---------------------------------------------------------------- counting

@@ -188,6 +188,37 @@ def merged_groups(spark, sf):
     return G.isolated(G.merged(members, G.cut(gains)), features, SURE)
 
 
+#: Affinity, entropy and inconsistency of a split.
+SPLIT, MIXED, LOOSE = 0.14, 1.5, 1.0
+
+
+def _round_sql(old: str, new: str, k: int) -> str:
+    """One round of merging the groups of table ``old``."""
+    return _cost_sql(old, f"ca{k}") + f""", tw{k} AS (SELECT DISTINCT af.image_id, least(x.group_id,y.group_id) AS a, greatest(x.group_id,y.group_id) AS b FROM af JOIN {old} x ON x.cand_id=af.i JOIN {old} y ON y.cand_id=af.j WHERE x.group_id<>y.group_id),
+gu{k} AS (SELECT t.image_id, a || '_' || b AS group_id, g.cand_id FROM tw{k} t JOIN {old} g ON g.image_id=t.image_id AND g.group_id IN (a, b)),""" + _cost_sql(f"gu{k}", f"cu{k}") + f""",
+gn{k} AS MATERIALIZED (SELECT t.image_id, a, b, u.cost+v.cost-w.cost AS gain FROM tw{k} t JOIN cu{k} w ON w.image_id=t.image_id AND w.group_id=a || '_' || b JOIN ca{k} u ON u.image_id=t.image_id AND u.group_id=a JOIN ca{k} v ON v.image_id=t.image_id AND v.group_id=b),
+en{k} AS (SELECT image_id, a AS g, b AS o, gain FROM gn{k} WHERE gain>1e-9 UNION ALL SELECT image_id, b, a, gain FROM gn{k} WHERE gain>1e-9), be{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, g ORDER BY gain DESC, o) AS r FROM en{k}) WHERE r=1),
+mu{k} AS (SELECT x.image_id, x.g, x.o FROM be{k} x JOIN be{k} y ON x.image_id=y.image_id AND x.o=y.g AND y.o=x.g WHERE x.o<x.g), {new} AS MATERIALIZED (SELECT q.image_id, cand_id, coalesce(m_.o, group_id) AS group_id FROM {old} q LEFT JOIN mu{k} m_ ON m_.image_id=q.image_id AND m_.g=q.group_id)"""
+
+
+#: An image has at most ten scored candidates, so nine rounds are enough.
+REFINED = (MEMBERS + "," + _cost_sql("gm", "co") + f""", bd AS (SELECT * FROM co WHERE entropy>{MIXED} OR inconsistency>{LOOSE}),
+ow AS (SELECT af.i, af.j, affinity FROM af JOIN gm x ON x.cand_id=i JOIN gm y ON y.cand_id=j AND y.group_id=x.group_id JOIN bd ON bd.group_id=x.group_id), od AS (SELECT * FROM ow UNION ALL SELECT j, i, affinity FROM ow),
+fs AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY affinity DESC, j) AS r FROM od) WHERE r=1 AND affinity>={SPLIT}), es AS (SELECT i, j FROM fs UNION SELECT j, i FROM fs),
+rs2 AS (SELECT cand_id AS src, cand_id AS dst FROM gm JOIN bd USING (group_id) UNION SELECT rs2.src, es.j FROM rs2 JOIN es ON es.i=rs2.dst), sp AS MATERIALIZED (SELECT gm.image_id, min(dst) AS group_id, src AS cand_id FROM rs2 JOIN gm ON gm.cand_id=src GROUP BY gm.image_id, src),
+""" + _cost_sql("sp", "cs") + """, tt AS (SELECT g.group_id, sum(cost) AS after FROM (SELECT DISTINCT gm.group_id, sp.group_id AS part FROM gm JOIN sp USING (cand_id)) g JOIN cs ON cs.group_id=g.part GROUP BY 1), bt AS (SELECT bd.group_id FROM bd JOIN tt USING (group_id) WHERE after<cost),
+g0 AS MATERIALIZED (SELECT gm.image_id, gm.cand_id, CASE WHEN gm.group_id IN (SELECT group_id FROM bt) THEN sp.group_id ELSE gm.group_id END AS group_id FROM gm LEFT JOIN sp USING (cand_id)),
+""" + ", ".join(_round_sql(f"g{k}", f"g{k + 1}", k) for k in range(9)) + f"""
+SELECT image_id, cand_id, group_id, count(*) OVER (PARTITION BY image_id, group_id)=1 AND best<{SURE} AS noise FROM g9 JOIN tc USING (cand_id)""").replace("), pb AS (", "), pb AS MATERIALIZED (").replace("\npb AS (", "\npb AS MATERIALIZED (").replace("tc AS (", "tc AS MATERIALIZED (").replace("\naf AS (", "\naf AS MATERIALIZED (").replace("gm AS (", "gm AS MATERIALIZED (").replace("\npp AS (", "\npp AS MATERIALIZED (")
+
+
+@_add("refined_groups", REFINED)
+def refined_groups(spark, sf):
+    """Groups split, then merged until no pair of groups gains."""
+    a, features = _inputs(spark, sf)
+    return G.refined(_members(spark, sf, a, features), features, a, SPLIT, SURE, limits={"most_entropy": MIXED, "most_inconsistency": LOOSE}, noise_below=SURE)
+
+
 COMPS = MEMBERS + """, dj AS (SELECT i, j, inside_i AS ap, mask_iou AS iou, b>a AS larger FROM pp UNION ALL SELECT j, i, inside_j, mask_iou, a>b FROM pp), ie AS (SELECT dj.i, dj.j FROM dj JOIN gm x ON x.cand_id=dj.i JOIN gm y ON y.cand_id=dj.j AND y.group_id=x.group_id WHERE iou>=0.3),
 rd AS (SELECT cand_id AS src, cand_id AS dst FROM gm UNION SELECT rd.src, ie.j FROM rd JOIN ie ON ie.i=rd.dst), cp AS (SELECT gm.image_id, gm.group_id, min(dst) AS comp_id, gm.cand_id FROM rd JOIN gm ON gm.cand_id=src GROUP BY 1,2,4),
 ft AS (SELECT cand_id, best AS confidence, a/CAST(w*h AS DOUBLE) AS completeness FROM tc JOIN cand USING (cand_id) JOIN ca USING (cand_id)),

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +29,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Kept:
+    """A table written once: ``df`` reads it, ``drop()`` deletes it; it goes at exit at the latest."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def kept(df: DataFrame, name: str = "table") -> Kept:
+    """Cuts lineage: the table is written to the shared folder, so that a lost executor loses nothing, and none of it is computed again."""
+    return Kept(df, name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder; a missing one is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, path)
     except Exception:  # noqa: BLE001  the session may be gone already
         pass
