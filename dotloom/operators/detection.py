@@ -1,8 +1,10 @@
 """Detection measures: greedy matching by score, average precision, recall, duplicate and error rates."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dotloom.operators.prefix import running_sums
+
 
 def matched(preds: DataFrame, overlaps: DataFrame, least: float = 0.5) -> DataFrame:
     """Adds ``gt_id`` (null: none) and ``duplicate`` to predictions (image_id, class_idx, cand_id, score).
@@ -22,18 +24,18 @@ def matched(preds: DataFrame, overlaps: DataFrame, least: float = 0.5) -> DataFr
     return arr.select("image_id", "class_idx", F.inline(F.expr(fold)))
 
 
-def precision_recall(rows: DataFrame, truths: DataFrame, digits: int = 4) -> DataFrame:
+def precision_recall(rows: DataFrame, truths: DataFrame, digits: int = 10) -> DataFrame:
     """(class_idx, truths, ap, recall) of ``matched`` rows: the area under the precision-recall steps of each class.
 
-    Scores are taken to ``digits`` places, so what a task sorts for a class is one row a step.
+    Equal scores are one step; a class of very many steps is summed up over ranges of the score. ``digits`` rounds the
+    result alone.
     """
-    steps = rows.groupBy("class_idx", F.round("score", digits).alias("s")).agg(F.count("gt_id").alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy("class_idx").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumns({"t": F.sum("tp").over(w), "m": F.sum("n").over(w)})
-    area = run.groupBy("class_idx").agg(F.sum(F.col("tp") * F.col("t") / F.col("m")).alias("area"), F.sum("tp").alias("hits"))
+    steps = rows.groupBy("class_idx", F.col("score").alias("s")).agg(F.count("gt_id").alias("tp"), F.count("*").alias("n"))
+    run = running_sums(steps, ["class_idx"], -F.col("s"), "tp", "n")
+    area = run.groupBy("class_idx").agg(F.sum(F.col("tp") * F.col("tp_to") / F.col("n_to")).alias("area"), F.sum("tp").alias("hits"))
     g = truths.groupBy("class_idx").agg(F.count("*").alias("truths"))
     d = g.join(area, "class_idx", "left")
-    return d.select("class_idx", "truths", F.round(F.coalesce("area", F.lit(0.0)) / F.col("truths"), 6).alias("ap"), F.round(F.coalesce("hits", F.lit(0)) / F.col("truths"), 6).alias("recall"))
+    return d.select("class_idx", "truths", F.round(F.coalesce("area", F.lit(0.0)) / F.col("truths"), digits).alias("ap"), F.round(F.coalesce("hits", F.lit(0)) / F.col("truths"), digits).alias("recall"))
 
 
 def error_rates(rows: DataFrame, truths: DataFrame, parts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dotloom.functions.scalars import dot, sigmoid
 from dotloom.operators import scoring as V
+from dotloom.operators.prefix import running_sums
 
 
 def symmetric(pairs: DataFrame, score: str) -> DataFrame:
@@ -54,13 +55,31 @@ def affinity(pairs: DataFrame, probs: DataFrame, logit: str = "a_sem") -> DataFr
     return pairs.join(a, "i").join(b, "j").withColumn("affinity", dot(F.col("pi"), F.col("pj")) * sigmoid(F.col(logit))).drop("pi", "pj")
 
 
-def ranking(scores: DataFrame, score: str, target: str, digits: int = 4) -> DataFrame:
+def ranking(scores: DataFrame, score: str, target: str, digits: int = 10) -> DataFrame:
     """One row (positives, negatives, auc, ap) of a score against a boolean target; null without both kinds.
 
-    Equal scores count half; scores are taken to ``digits`` places, so what is sorted in one task is one row a step.
+    Equal scores are one step and count half; rows without score or target don't count. Steps are summed up over ranges
+    of the score (``running_sums``). ``digits`` rounds the result alone.
     """
-    steps = scores.select(F.round(F.col(score), digits).alias("s"), F.col(target).alias("t")).groupBy("s").agg(F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    t = run.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("above"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
-    return t.select(F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("negatives", F.lit(0)).alias("negatives"), F.round(F.try_divide(F.col("above"), F.col("positives") * F.col("negatives")), 6).alias("auc"), F.round(F.try_divide(F.col("area"), F.col("positives")), 6).alias("ap"))
+    t = F.col(target)
+    steps = scores.where(F.col(score).isNotNull() & t.isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(t).alias("p"), F.count_if(~t).alias("n"))
+    run = running_sums(steps, [], -F.col("s"), "p", "n")
+    whole = "decimal(38,0)"
+    # Twice the pairs that are in order, ties half: whole numbers.
+    above = F.sum(F.col("n").cast(whole) * (2 * F.col("p_to") - F.col("p")).cast("decimal(20,0)"))
+    a = run.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), above.alias("above"), F.sum(F.col("p") * F.col("p_to") / (F.col("p_to") + F.col("n_to"))).alias("area"))
+    both = 2 * F.col("positives").cast("double") * F.col("negatives")
+    return a.select(
+        F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("negatives", F.lit(0)).alias("negatives"),
+        F.round(F.try_divide(F.col("above").cast("double"), both), digits).alias("auc"), F.round(F.try_divide(F.col("area"), F.col("positives")), digits).alias("ap"),
+    )
+
+
+def direction_accuracy(directed: DataFrame) -> DataFrame:
+    """One row (pairs, accuracy) over pairs whose part-whole target differs between both directions of (i, j, a_part, y_part): the share with the larger score where the target is larger; equal scores count half."""
+    lo, hi, up = F.least("i", "j"), F.greatest("i", "j"), F.col("i") < F.col("j")
+    one = lambda c, k: F.max(F.when(k, F.col(c)))
+    d = directed.where("i <> j").groupBy(lo.alias("i"), hi.alias("j")).agg(one("a_part", up).alias("a"), one("a_part", ~up).alias("b"), one("y_part", up).alias("y"), one("y_part", ~up).alias("z"))
+    d = d.where("a IS NOT NULL AND b IS NOT NULL AND y <> z")
+    hit = F.when(F.col("a") == F.col("b"), 0.5).otherwise(((F.col("a") > F.col("b")) == (F.col("y") > F.col("z"))).cast("double"))
+    return d.agg(F.count("*").alias("pairs"), F.avg(hit).alias("accuracy"))

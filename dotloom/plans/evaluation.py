@@ -169,9 +169,9 @@ wl AS (SELECT image_id, class_idx, n, cand_id, score, options, options[1] AS gt_
 """
 BOXES = "SELECT image_id, cand_id, gt_id, i/CAST(s-i AS DOUBLE) AS iou FROM bi WHERE i>0"
 MASKS = "SELECT it.image_id, it.cand_id, it.gt_id, it.i/CAST(ca.a+ga.g-it.i AS DOUBLE) AS iou FROM it JOIN ca USING (cand_id) JOIN ga USING (gt_id) JOIN cand c ON c.cand_id=it.cand_id JOIN tr ON tr.gt_id=it.gt_id AND tr.label%3=c.label%3"
-AP = """st AS (SELECT class_idx, round(score,4) AS s, count(gt_id) AS tp, count(*) AS n FROM wl GROUP BY 1,2), ru AS (SELECT *, sum(tp) OVER w AS t, sum(n) OVER w AS k FROM st WINDOW w AS (PARTITION BY class_idx ORDER BY s DESC)),
+AP = """st AS (SELECT class_idx, score AS s, count(gt_id) AS tp, count(*) AS n FROM wl GROUP BY 1,2), ru AS (SELECT *, sum(tp) OVER w AS t, sum(n) OVER w AS k FROM st WINDOW w AS (PARTITION BY class_idx ORDER BY s DESC)),
 gg AS (SELECT label%3 AS class_idx, count(*) AS truths FROM tr GROUP BY 1)
-SELECT gg.class_idx, truths, round(coalesce(sum(tp*t/CAST(k AS DOUBLE)),0)/truths,6) AS ap, round(coalesce(sum(tp),0)/CAST(truths AS DOUBLE),6) AS recall FROM gg LEFT JOIN ru USING (class_idx) GROUP BY 1,2"""
+SELECT gg.class_idx, truths, round(coalesce(sum(tp*t/CAST(k AS DOUBLE)),0)/truths,10) AS ap, round(coalesce(sum(tp),0)/CAST(truths AS DOUBLE),10) AS recall FROM gg LEFT JOIN ru USING (class_idx) GROUP BY 1,2"""
 
 
 def _detections(spark, sf, masks):

@@ -51,7 +51,7 @@ def _pairs(spark, sf):
     inst = ok & F.expr("u.matched_instance_id = v.matched_instance_id")
     return p.select(
         "image_id", "i", "j", dot(F.col("u.unit"), F.col("v.unit")).alias("cosine"), F.expr("n/(u.a+v.a-n) AS mask_iou"), F.expr("n/u.a AS inside_i"), F.expr("n/v.a AS inside_j"), F.expr("v.a > u.a AS j_larger"), F.expr("u.a > v.a AS i_larger"),
-        ok.alias("ok"), (ok & F.expr("u.matched_class = v.matched_class")).alias("y_sem"), inst.alias("y_inst"), F.when(inst, F.expr("n/u.a*greatest(0,v.coverage-u.coverage)")).otherwise(0.0).alias("y_part"), F.expr("u.purity*u.valid AS wi"), F.expr("v.purity*v.valid AS wj"),
+        ok.alias("ok"), (ok & F.expr("u.matched_class = v.matched_class")).alias("y_sem"), inst.alias("y_inst"), F.when(inst, F.expr("n/u.a*greatest(0,v.coverage-u.coverage)")).otherwise(0.0).alias("y_part"), F.expr("u.purity*u.valid AS wi"), F.expr("v.purity*v.valid AS wj"), F.expr("u.coverage AS ci"), F.expr("v.coverage AS cj"),
     )
 
 
@@ -98,20 +98,40 @@ def pair_sampling(spark, sf):
     return R.sample_pairs(R.strata(_pairs(spark, sf)))
 
 
-RANK = """st AS (SELECT round({s},4) AS s, count(*) FILTER (WHERE {t}) AS p, count(*) FILTER (WHERE NOT {t}) AS n FROM pp GROUP BY 1), ru AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM st WINDOW w AS (ORDER BY s DESC))
-SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(sum(n*(tp-p/2.0))/CAST(sum(p)*sum(n) AS DOUBLE),6) AS auc, round(sum(p*tp/CAST(tp+fp AS DOUBLE))/sum(p),6) AS ap FROM ru"""
+RANK = """st AS (SELECT {s} AS s, count(*) FILTER (WHERE {t}) AS p, count(*) FILTER (WHERE NOT {t}) AS n FROM {f} GROUP BY 1), ru AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM st WINDOW w AS (ORDER BY s DESC))
+SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(CAST(sum(n*(2*tp-p)) AS DOUBLE)/(2*CAST(sum(p)*sum(n) AS DOUBLE)),10) AS auc, round(sum(p*tp/CAST(tp+fp AS DOUBLE))/sum(p),10) AS ap FROM ru"""
+#: Inner products added up from left to right, so that both engines' doubles are the same.
+FOLD = "list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(generate_series(1, 64), lambda k : {a}[k]*{b}[k])), lambda s, x : s+x)"
+UNITS = f"""eu AS MATERIALIZED (SELECT cand_id, list_transform(z, lambda x : x/nz) AS u FROM (SELECT cand_id, z, greatest(sqrt({FOLD.format(a="z", b="z")}), 1e-12) AS nz FROM e)),
+px AS MATERIALIZED (SELECT pp.*, {FOLD.format(a="x.u", b="y.u")} AS cosine_x FROM pp JOIN eu x ON x.cand_id=i JOIN eu y ON y.cand_id=j),"""
 
 
-@_add("instance_ranking", PAIRS + RANK.format(s="mask_iou", t="y_inst"))
+@_add("instance_ranking", PAIRS + RANK.format(s="mask_iou", t="y_inst", f="pp"))
 def instance_ranking(spark, sf):
     return R.ranking(_pairs(spark, sf), "mask_iou", "y_inst")
 
 
-@_add("semantic_ranking", PAIRS + RANK.format(s="cosine", t="y_sem"))
+@_add("semantic_ranking", PAIRS + UNITS + RANK.format(s="cosine_x", t="y_sem", f="px"))
 def semantic_ranking(spark, sf):
     return R.ranking(_pairs(spark, sf), "cosine", "y_sem")
 
 
+@_add("part_direction", PAIRS + "y AS (SELECT CASE WHEN inside_i=inside_j THEN 0.5 WHEN (inside_i>inside_j)=(yi>yj) THEN 1 ELSE 0 END AS hit FROM (SELECT *, CASE WHEN y_inst THEN n/a*greatest(0,cj-ci) ELSE 0 END AS yi, CASE WHEN y_inst THEN n/b*greatest(0,ci-cj) ELSE 0 END AS yj FROM pp) WHERE yi<>yj) SELECT count(*) AS pairs, round(avg(hit),10) AS accuracy FROM y")
+def part_direction(spark, sf):
+    """How often the part score names the part and the whole of a pair the right way round."""
+    p = _pairs(spark, sf)
+    other = F.when(F.col("y_inst"), F.expr("inside_j*greatest(0,ci-cj)")).otherwise(0.0)
+    both = p.select("i", "j", F.col("inside_i").alias("a_part"), "y_part").union(p.select("j", "i", "inside_j", other))
+    return R.direction_accuracy(both).withColumn("accuracy", F.round("accuracy", 10))
+
+
+@_add("part_ranking", PAIRS + "pd AS (SELECT inside_i AS s, y_part>0 AS t FROM pp UNION ALL SELECT inside_j, y_inst AND n/b*greatest(0,ci-cj)>0 FROM pp)," + RANK.format(s="s", t="t", f="pd"))
+def part_ranking(spark, sf):
+    """The directed part score against the part-whole target."""
+    p = _pairs(spark, sf)
+    return R.ranking(p.select(F.col("inside_i").alias("s"), F.expr("y_part > 0 AS t")).union(p.select("inside_j", F.expr("y_inst AND inside_j*greatest(0,ci-cj) > 0"))), "s", "t")
+
+
 @_add("group_affinity", PAIRS + "y AS (SELECT 1) SELECT i, j, round(affinity,6) AS affinity FROM af")
 def group_affinity(spark, sf):
     return _affine(spark, sf).select("i", "j", F.round("affinity", 6).alias("affinity"))
