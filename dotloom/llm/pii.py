@@ -46,12 +46,25 @@ KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = 24
 
 
+def _blocks(items: Column) -> Column:
+    """An array in slices of about the root of its size (64 at least), so that a fold over each and one over the slices stay far from quadratic; none for an empty one."""
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    cut = bound(size, lambda b: F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / b).cast("int")), lambda i: F.slice(items, i * b + 1, b)))
+    return F.when(F.size(items) > 0, cut)
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def spans(text: Column, pattern: str, hint: Column) -> Column:
     """Matches as array<struct<s, e, m, before, after>>, code points; ``before`` and ``after`` are the text next to it, earlier matches included. Only where ``hint`` holds."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     z = F.arrays_zip(m.alias("m"), F.slice(pieces, F.lit(1), F.size(m)).alias("q"), F.slice(pieces, F.lit(2), F.size(m)).alias("n"))
-    none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,before:string,after:string>>)")
+    kind = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+    none = F.expr(f"CAST(array() AS {kind})")
 
     def tail(x):
         return F.substring(x, -CONTEXT, CONTEXT)
@@ -63,8 +76,13 @@ def spans(text: Column, pattern: str, hint: Column) -> Column:
         out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"), F.substring(z["n"], 1, 4).alias("after"))))
         return F.struct(e.alias("at"), tail(F.concat(before, tail(z["m"]))).alias("tail"), out.alias("out"))
 
-    found = F.aggregate(z, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), step)["out"]
-    return F.when(hint, found).otherwise(none)
+    def block(acc, part):
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("out")), step)
+        return bound(got, lambda r: F.struct(r["at"].alias("at"), r["tail"].alias("tail"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"CAST(array() AS array<{kind}>)").alias("outs"))
+    found = bound(z, lambda z: F.aggregate(_blocks(z), start, block, lambda a: F.flatten(a["outs"])))
+    return F.when(hint, F.coalesce(found, none)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -123,7 +141,11 @@ def with_candidates(base: DataFrame) -> DataFrame:
     text = F.col("text")
     # The hint: every candidate has a digit, or an assignment ahead.
     d = base.withColumn("tokens", spans(text, TOKEN, text.rlike("[0-9:=]"))).withColumn("taken", taken)
-    free = F.filter("tokens", lambda x: ~F.exists("taken", lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"])))
+    over = lambda s, e, t: (t["s"] < e) & (s < t["e"])
+    # A block of tokens meets the base spans within its own stretch alone.
+    near = lambda part: F.filter("taken", lambda t: over(part[0]["s"], F.element_at(part, -1)["e"], t))
+    apart = lambda part: bound(near(part), lambda taken: F.filter(part, lambda x: ~F.exists(taken, lambda t: over(x["s"], x["e"], t))))
+    free = F.when(F.size("taken") == 0, F.col("tokens")).otherwise(F.coalesce(F.flatten(F.transform(_blocks(F.col("tokens")), apart)), F.col("tokens")))
     return d.withColumn("cand", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _votes(x).alias("v")))).drop("tokens", "taken")
 
 
@@ -169,7 +191,8 @@ def train(counts: dict[tuple[int, ...], int], post: dict[tuple[int, ...], float]
 def classifier(cand: DataFrame) -> tuple[float, list[float]] | None:
     """The span classifier's weights, from the candidates of all texts; None without any."""
     names = [*VOTES, *FEATURES]
-    rows = cand.select(F.explode("cand.v").alias("v")).groupBy(*[F.col(f"v.{k}").alias(k) for k in names]).agg(F.count("*").alias("n")).collect()
+    # The outer form: for the inner one Spark puts a filter below, which searches all texts a second time.
+    rows = cand.select(F.explode_outer("cand.v").alias("v")).where("v IS NOT NULL").groupBy(*[F.col(f"v.{k}").alias(k) for k in names]).agg(F.count("*").alias("n")).collect()
     counts = dict(sorted((tuple(r[k] for k in names), r.n) for r in rows))
     if not counts:
         return None
@@ -216,12 +239,24 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].alias("text")))
     every = F.concat(*map(_marked, (*KINDS, "secret")))
 
-    def step(acc, x):
-        at = F.greatest(x["s"], acc["at"])
-        new = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, at - acc["at"]), x["k"])
-        return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), new.alias("out")))
+    def block(acc, part):
+        """The text from the last block's end to this one's, cut out once, and its pieces within that."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(part, lambda x: x["e"])))
+
+        def step(chunk):
+            def one(a, x):
+                at = F.greatest(x["s"], a["at"])
+                new = F.concat(a["out"], F.array(F.substring(chunk, a["at"] - acc["at"] + 1, at - a["at"]), x["k"]))
+                return F.when(x["e"] <= a["at"], a).otherwise(F.struct(x["e"].alias("at"), new.alias("out")))
+
+            return F.aggregate(part, F.struct(acc["at"].alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")), one)
+
+        got = bound(F.substring(F.col("text"), acc["at"] + 1, end - acc["at"]), step)
+        return bound(got, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
 
-    done = F.aggregate(F.array_sort(every), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    done = bound(F.array_sort(every), lambda x: F.aggregate(_blocks(x), start, block, rest))
     text = F.when(F.col("row.text").isNotNull(), F.when(F.size(every) == 0, F.col("text")).otherwise(done))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep])
 

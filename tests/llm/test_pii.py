@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -124,3 +125,32 @@ def test_planted_secrets_are_told_from_ordinary_tokens(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "token = \"0641917ea4e9feb9cda83477b57ac2654884f485\"", 1, "c", "t", "x")], "doc_id long, text string, digit int, cand string, tokens string, row string")
     assert [tuple(r) for r in pii.redact(df).collect()] == [(1, 'token = "[SECRET]"', 1, "c", "t", "x")]
+
+
+def test_many_spans_in_one_text_take_far_less_than_quadratic_time(spark):
+    n, took = 13_000, []
+    for k in (n // 10, n):
+        text = " ".join(f"a{i}@b.co tok{i}Xx9kq2204 10.0.0.{i % 300}" for i in range(k))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        row = pii.with_candidates(pii.with_base(docs)).selectExpr("size(email) AS e", "size(ip) AS i", "size(cand) AS c").first()
+        took.append(time.time() - start)
+        assert row.e == k and row.c == k and row.i == sum(i % 300 < 256 for i in range(k))
+    assert took[1] < 20 * max(took[0], 1)
+    redacted = pii.redact(docs).first().text
+    assert redacted.count("[EMAIL]") == n and "@" not in redacted
+
+
+def test_redaction_equals_plain_replacement_over_many_blocks(spark):
+    rng = random.Random(8)
+    parts = ["x@y.zz", "+49 30 1234567", "4111 1111 1111 1111", "10.1.2.3", "plain", "é🙂", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (1, 63, 64, 65, 700)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    redacted = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    for row in pii.find(d).collect():
+        text = texts[row.doc_id]
+        every, at, out = sorted((x.s, x.e, f"[{k.upper()}]") for k in [*pii.KINDS, "secret"] for x in row[k]), 0, ""
+        for s, e, k in every:
+            if e > at:
+                out, at = out + text[at : max(s, at)] + k, e
+        assert redacted[row.doc_id] == out + text[at:]
