@@ -283,8 +283,9 @@ def drop_lines(docs: DataFrame, index: LineIndex, digest: bool = False) -> DataF
     d = with_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
     hits = candidates(d.select("tid", "text"), index).join(index.frequent(), ["h0", "h1"])
     # Written first: as both sides then come from an exchange alone, the rows of a text of very many copies can be split.
+    # The same kind of join at every size.
     gone = stored(hits.groupBy("tid").agg(F.collect_set("h0").alias("gone")), "line-hits")
-    marked = d.join(gone.df, "tid", "left").select("doc_id", "text", "gone")
+    marked = d.join(gone.df.hint("merge"), "tid", "left").select("doc_id", "text", "gone")
 
     def run(batches):
         for part, data, off in chunks(batches):
