@@ -10,10 +10,17 @@ from dotloom.operators import masks as M
 BINS = (("0-10", 10), ("11-20", 20), ("21-50", 50), ("51-100", 100), ("100+", None))
 
 
-def in_bounds(dots: DataFrame, side: int) -> DataFrame:
-    """Dots at pixels, rounded half to even; those outside the image go."""
+def in_bounds(dots: DataFrame, sizes: DataFrame | int) -> DataFrame:
+    """Dots at pixels, rounded half to even; those outside their image go.
+
+    ``sizes`` is a table (image_id, height, width), or one side for all images. An image without size or pixels keeps no dot.
+    """
     d = dots.select("image_id", "dot_id", F.rint("x").cast("long").alias("xi"), F.rint("y").cast("long").alias("yi"))
-    return d.where(f"xi >= 0 AND xi < {side} AND yi >= 0 AND yi < {side}")
+    if isinstance(sizes, int):
+        d = d.withColumns({"height": F.lit(sizes), "width": F.lit(sizes)})
+    else:
+        d = d.join(sizes.select("image_id", "height", "width"), "image_id")
+    return d.where("xi >= 0 AND xi < width AND yi >= 0 AND yi < height").select("image_id", "dot_id", "xi", "yi")
 
 
 def density_bin(n: str) -> Column:

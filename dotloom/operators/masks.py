@@ -75,16 +75,18 @@ def suppress(cand: DataFrame, runs: DataFrame, cap: int = 0) -> DataFrame:
     return kept.select("image_id", F.explode("kept").alias("cand_id"))
 
 
-def sized(cand: DataFrame, runs: DataFrame, height: int, width: int, lo: float = 1e-4, hi: float = 0.95, least: int = 4, min_score: float = 0.0) -> DataFrame:
-    """Candidates with a mask, its share of the image in [lo, hi], a box of at least ``least`` pixels each way and enough score; none of an image without pixels."""
-    if height * width <= 0:
-        return cand.limit(0)
-    c = cand.join(areas(runs, "cand_id", "mask_area"), ["image_id", "cand_id"]).where(F.col("mask_area") > 0)
-    c = c.where((F.col("mask_area") / float(height * width)).between(lo, hi) & (F.col("w") >= least) & (F.col("h") >= least) & (F.col("score") >= min_score))
-    return c.drop("mask_area")
+def sized(cand: DataFrame, runs: DataFrame, height: int | str, width: int | str, lo: float = 1e-4, hi: float = 0.95, least: int = 4, min_score: float = 0.0) -> DataFrame:
+    """Candidates with a mask, its share of the image in [lo, hi], a box of at least ``least`` pixels each way and enough score; none of an image without pixels.
+
+    ``height`` and ``width`` name columns of ``cand``, so that each image has its own, or are numbers for all images.
+    """
+    h, w = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (height, width))
+    pixels = (h.cast("double") * w).alias("pixels")
+    c = cand.where((h > 0) & (w > 0)).join(areas(runs, "cand_id", "mask_area"), ["image_id", "cand_id"]).where(F.col("mask_area") > 0)
+    return c.where((F.col("mask_area") / pixels).between(lo, hi) & (F.col("w") >= least) & (F.col("h") >= least) & (F.col("score") >= min_score)).drop("mask_area")
 
 
-def filter_candidates(cand: DataFrame, runs: DataFrame, height: int, width: int, cap: int = 0, **bounds: float) -> DataFrame:
+def filter_candidates(cand: DataFrame, runs: DataFrame, height: int | str, width: int | str, cap: int = 0, **bounds: float) -> DataFrame:
     """(image_id, cand_id): ``sized`` candidates without near duplicates, at most ``cap`` an image, the best scores first."""
     some = sized(cand, runs, height, width, **bounds)
     return suppress(some, runs.join(some.select("image_id", "cand_id"), ["image_id", "cand_id"], "left_semi"), cap)

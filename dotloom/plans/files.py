@@ -21,18 +21,24 @@ def _add(name, sql):
     return put
 
 
+#: Images of a document of the fixtures: their number grows with the tables, their size doesn't.
+IMAGES = 20
+
+
 def _annotation_file(spark, sf):
-    """The truths as an instance file: category ids with gaps, some crowds, some boxes without width."""
+    """The truths as instance documents: category ids with gaps, some crowds, some boxes without width."""
     c = S.candidates(spark, sf)
-    a = S.truths(c).select(
+    doc = F.floor(F.col("image_id") / IMAGES).alias("doc")
+    a = S.truths(c).select(doc, F.struct(
         F.col("gt_id").alias("id"), "image_id", (F.col("label") * 3 + 5).alias("category_id"),
         F.array(*[F.expr(e).cast("double") for e in ("x1", "y1", "CASE WHEN gt_id%4=0 THEN 0 ELSE w END", "h")]).alias("bbox"), (F.col("gt_id") % 5 == 0).cast("int").alias("iscrowd"),
-    )
-    i = c.select("image_id").distinct().select(F.col("image_id").alias("id"), F.format_string("im%d.jpg", "image_id").alias("file_name"), F.lit(S.SIDE).alias("height"), F.lit(S.SIDE).alias("width"))
-    k = c.select((F.col("label") * 3 + 5).alias("id"), F.format_string("class_%d", "label").alias("name")).distinct()
-    every = lambda d, name: d.agg(F.collect_list(F.struct(*d.columns)).alias(name))  # noqa: E731  one document, as the format has it
+    ).alias("a"))
+    i = c.select("image_id").distinct().select(doc, F.struct(F.col("image_id").alias("id"), F.format_string("im%d.jpg", "image_id").alias("file_name"), F.lit(S.SIDE).alias("height"), F.lit(S.SIDE).alias("width")).alias("i"))
+    k = c.select(doc, F.struct((F.col("label") * 3 + 5).alias("id"), F.format_string("class_%d", "label").alias("name")).alias("k")).distinct()
+    every = lambda d, x, name: d.groupBy("doc").agg(F.collect_list(x).alias(name))
     path = scratch(spark, "annotations")
-    every(i, "images").crossJoin(every(a, "annotations")).crossJoin(every(k, "categories")).coalesce(1).write.json(path)
+    docs = every(i, "i", "images").join(every(a, "a", "annotations"), "doc", "left").join(every(k, "k", "categories"), "doc")
+    docs.repartition(8, "doc").drop("doc").write.json(path)
     return path
 
 
@@ -41,7 +47,7 @@ PLAIN = S.SQL + "pl AS (SELECT * FROM gt WHERE gt_id%5<>0), ck AS (SELECT label,
 
 @_add("annotation_instances", PLAIN + "SELECT image_id, gt_id AS instance_id, class_idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x1+w AS DOUBLE) AS x2, CAST(y1+h AS DOUBLE) AS y2 FROM pl JOIN ck USING (label) WHERE gt_id%4<>0")
 def annotation_instances(spark, sf):
-    """Instances of an annotation file: no crowds, no empty boxes, classes without gaps."""
+    """Instances of annotation documents: no crowds, no empty boxes, classes without gaps."""
     return A.instances(spark, _annotation_file(spark, sf)).withColumn("class_idx", F.col("class_idx").cast("long"))
 
 
@@ -59,11 +65,12 @@ def contiguous_classes(spark, sf):
 @_add("allowed_dots", """WITH d AS (SELECT CAST(floor(sqrt(event_id/CAST(2 AS DOUBLE))) AS BIGINT) AS image_id, event_id, value*0.5 AS x, (event_id%131)*0.5 AS y FROM events)
 SELECT 'im' || image_id || '.jpg' AS file_name, row_number() OVER (PARTITION BY image_id ORDER BY event_id)-1 AS dot_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM d WHERE image_id%2=0""")
 def allowed_dots(spark, sf):
-    """Dots of a JSON file keyed by file name, of the files that a list allows."""
+    """Dots of JSON documents keyed by file name, of the files that a list allows."""
     d = S.dots(spark, sf).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("dot_id", "x", "y"))).alias("p"))
     d = d.select(F.format_string("im%d.jpg", "image_id").alias("name"), "image_id", F.struct(F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("points")).alias("v"))
     path = scratch(spark, "dots")
-    d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "v")))).alias("value")).coalesce(1).write.text(path)
+    docs = d.groupBy(F.floor(F.col("image_id") / IMAGES).alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "v")))).alias("value"))
+    docs.repartition(8, "doc").select("value").write.text(path)
     names = d.where("image_id % 2 = 0").select(F.col("name").alias("file_name"))
     return A.allowed(A.dot_file(spark, path), names)
 

@@ -261,3 +261,29 @@ def class_split(spark, sf):
 def held_out_classes(spark, sf):
     """The held-out classes, in order."""
     return P.validation_keys(S.candidates(spark, sf), "label", 0.3).orderBy("label")
+
+
+#: Sizes of their own: no two sides alike, some images without pixels.
+SIZES = "sz AS (SELECT image_id, CASE WHEN image_id%17=16 THEN 0 ELSE 24+(image_id*7)%50 END AS height, 20+(image_id*13)%90 AS width FROM (SELECT DISTINCT image_id FROM cand)),"
+
+
+def _sizes(spark, sf):
+    i = S.candidates(spark, sf).select("image_id").distinct()
+    return i.selectExpr("image_id", "CASE WHEN image_id%17=16 THEN 0 ELSE 24+(image_id*7)%50 END AS height", "20+(image_id*13)%90 AS width")
+
+
+RAW = "rd AS (SELECT CAST(floor(sqrt(event_id/CAST(2 AS DOUBLE))) AS BIGINT) AS image_id, event_id AS dot_id, CAST(round_even(value*0.5,0) AS BIGINT) AS xi, CAST(round_even((event_id%131)*0.5,0) AS BIGINT) AS yi FROM events), ds AS (SELECT rd.* FROM rd JOIN sz USING (image_id) WHERE xi>=0 AND xi<width AND yi>=0 AND yi<height)"
+
+
+@_add("image_dot_recall", S.SQL + SIZES + RAW + "SELECT d.image_id, count(*) AS dots, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand_run c WHERE c.image_id=d.image_id AND c.y=d.yi AND d.xi>=c.xs AND d.xi<c.xe)) AS cov FROM ds d GROUP BY 1")
+def image_dot_recall(spark, sf):
+    """Dots and covered dots of images of unequal, oblong sizes."""
+    c = S.candidates(spark, sf)
+    return D.recall_rows(D.in_bounds(S.dots(spark, sf), _sizes(spark, sf)), S.candidate_runs(c))
+
+
+@_add("image_candidates", S.SQL + SIZES + AREAS + "z AS (SELECT 1) SELECT c.image_id, cand_id, height, width FROM cand c JOIN ca USING (cand_id) JOIN sz ON sz.image_id=c.image_id WHERE height>0 AND a/CAST(height*width AS DOUBLE) BETWEEN 0.05 AND 0.3 AND w>=15 AND h>=15 AND score>=0.1")
+def image_candidates(spark, sf):
+    """Candidates whose mask has a fitting share of their own image."""
+    c = S.candidates(spark, sf)
+    return M.sized(c.join(_sizes(spark, sf), "image_id"), S.candidate_runs(c), "height", "width", 0.05, 0.3, 15, 0.1).select("image_id", "cand_id", "height", "width")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dotloom.operators import masks as M
 from dotloom.operators import scoring as V
+from dotloom.sources.store import kept
 
 
 @dataclass
@@ -38,6 +39,8 @@ def generated(images: DataFrame, generate: Callable[[np.ndarray, dict], list[tup
     """Candidates (image_id, cand_id, x1, y1, w, h, score) and runs of ``generate(image, options)``: masks and scores of an image.
 
     ``images`` has (image_id, height, width, rgb); candidate ids are image_id * 100000 and the mask's place, empty masks go.
+    What the model gives is written to the shared folder at once and read from there: it runs once an image, however often
+    candidates and runs are used, and both are of one run also where the model isn't deterministic.
     """
 
     def run(batches):
@@ -53,16 +56,17 @@ def generated(images: DataFrame, generate: Callable[[np.ndarray, dict], list[tup
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["image_id", "cand_id", "score", "y", "xs", "xe"])
 
-    rows = images.select("image_id", "height", "width", "rgb").mapInArrow(run, "image_id long, cand_id long, score double, y long, xs long, xe long")
+    rows = kept(images.select("image_id", "height", "width", "rgb").mapInArrow(run, "image_id long, cand_id long, score double, y long, xs long, xe long"), "generated").df
     box = rows.groupBy("image_id", "cand_id", "score").agg(F.min("xs").alias("x1"), F.min("y").alias("y1"), (F.max("xe") - F.min("xs")).alias("w"), (F.max("y") + 1 - F.min("y")).alias("h"))
     return box, rows.drop("score")
 
 
-def proposals(images: DataFrame, generate, config: MaskGenerator, height: int, width: int, cap: int = 0, **bounds: float) -> tuple[DataFrame, DataFrame]:
-    """``generated`` candidates that pass the filters and the suppression of near duplicates, and their runs."""
+def proposals(images: DataFrame, generate, config: MaskGenerator, cap: int = 0, **bounds: float) -> tuple[DataFrame, DataFrame]:
+    """``generated`` candidates that pass the filters, each by its own image's size, and the suppression of near duplicates; and their runs."""
     cand, runs = generated(images, generate, config)
-    kept = M.filter_candidates(cand, runs, height, width, cap, **bounds)
-    return cand.join(kept, ["image_id", "cand_id"], "left_semi"), runs.join(kept, ["image_id", "cand_id"], "left_semi")
+    own = cand.join(images.select("image_id", "height", "width"), "image_id")
+    some = kept(M.filter_candidates(own, runs, "height", "width", cap, **bounds), "proposals").df
+    return cand.join(some, ["image_id", "cand_id"], "left_semi"), runs.join(some, ["image_id", "cand_id"], "left_semi")
 
 
 def region_features(crops: DataFrame, encode: Callable[[list[np.ndarray]], np.ndarray], dim: int, batch: int = 32) -> DataFrame:

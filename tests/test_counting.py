@@ -202,7 +202,7 @@ def test_models_plug_in(spark):
         mask[2:8, 3:9] = True
         return [(mask, 0.9), (mask, 0.8), (np.zeros_like(mask), 0.7)]
 
-    cand, runs = models.proposals(images, generate, models.MaskGenerator(), side, side)
+    cand, runs = models.proposals(images, generate, models.MaskGenerator())
     assert [tuple(r) for r in cand.select("cand_id", "x1", "y1", "w", "h").collect()] == [(300_000, 3, 2, 6, 6)] and runs.count() == 6
     boxes = cand.selectExpr("image_id", "cand_id", "x1", "y1", "x1+w AS x2", "y1+h AS y2", f"{side} AS width", f"{side} AS height")
     crops = G.pixel_crops(images, G.context_boxes(boxes).join(runs.groupBy("image_id", "cand_id").agg(F.collect_list(F.struct("y", "xs", "xe")).alias("runs")), ["image_id", "cand_id"]))
