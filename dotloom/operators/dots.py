@@ -1,5 +1,9 @@
 """Dot operators: rounding, cover by masks, recall by density bin, count oracles."""
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +36,17 @@ def density_bin(n: str) -> Column:
 
 
 def hits(dots: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
-    """Distinct (image_id, dot_id, cand_id) with the dot in the mask, dilated by a square of ``radius``."""
+    """Distinct (image_id, dot_id, cand_id) with the dot in the mask, dilated by a square of ``radius``; dots meet runs by row and tile of columns."""
     d = dots if not radius else dots.withColumn("yi", F.explode(F.expr(f"sequence(yi-{radius}, yi+{radius})")))
-    r = runs.withColumnRenamed("y", "yi")
-    return d.join(r, ["image_id", "yi"]).where(f"xs-{radius} <= xi AND xi < xe+{radius}").select("image_id", "dot_id", "cand_id").distinct()
+    d = d.withColumn("tile", F.floor(F.col("xi") / M.TILE))
+    r = M.tiled(runs.withColumnRenamed("y", "yi"), more=radius)
+    return d.join(r, ["image_id", "yi", "tile"]).where(f"xs-{radius} <= xi AND xi < xe+{radius}").select("image_id", "dot_id", "cand_id").distinct()
 
 
 def recall_rows(dots: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
     """Per image: dots, and dots that the union of the masks (dilated by a square of ``radius``) covers."""
-    union = M.union_runs(M.dilated(runs, radius)).withColumnsRenamed({"image_id": "ri", "y": "ry"})
-    hit = (F.col("image_id") == F.col("ri")) & (F.col("yi") == F.col("ry")) & (F.col("xs") <= F.col("xi")) & (F.col("xi") < F.col("xe"))
+    union = M.tiled(M.union_runs(M.dilated(runs, radius))).withColumnsRenamed({"image_id": "ri", "y": "ry"})
+    hit = (F.col("image_id") == F.col("ri")) & (F.col("yi") == F.col("ry")) & (F.floor(F.col("xi") / M.TILE) == F.col("tile")) & (F.col("xs") <= F.col("xi")) & (F.col("xi") < F.col("xe"))
     covered = dots.join(union, hit, "left_semi").groupBy("image_id").agg(F.count("*").alias("cov"))
     return dots.groupBy("image_id").agg(F.count("*").alias("dots")).join(covered, "image_id", "left").fillna(0, ["cov"])
 
@@ -85,13 +90,43 @@ def scan_outcome(caches: DataFrame, annotated: DataFrame, inside: DataFrame) ->
     return both.select("image_id", F.when(F.col("ann").isNull(), "no_annotation").when(F.col("dot").isNull(), "no_dot_in_image").otherwise("done").alias("outcome"))
 
 
+def greedy_cover(cand: np.ndarray, dot: np.ndarray) -> int:
+    """How many sets a greedy cover takes: the set of the most dots that are left, the lower id among equals, until none is left.
+
+    Sets are rows of bits over the dots. Gains only fall, so an old gain bounds the new one: a set is counted again only
+    when it comes first by its bound.
+    """
+    _, place = np.unique(dot, return_inverse=True)
+    ids, row = np.unique(cand, return_inverse=True)
+    n_dots = int(place.max(initial=-1)) + 1
+    bits = np.zeros((len(ids), -(-n_dots // 64) or 1), np.uint64)
+    np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    left = np.bitwise_or.reduce(bits, axis=0) if len(ids) else np.zeros(1, np.uint64)
+    queue = [(-int(g), k) for k, g in enumerate(np.bitwise_count(bits).sum(axis=1))]
+    heapq.heapify(queue)
+    picks = 0
+    while left.any():
+        _, k = heapq.heappop(queue)
+        now = (-int(np.bitwise_count(bits[k] & left).sum()), k)
+        if queue and now > queue[0]:
+            heapq.heappush(queue, now)
+            continue
+        left &= ~bits[k]
+        picks += 1
+    return picks
+
+
 def count_oracle(dots: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per image: gt, covered dots and the greedy set-cover count (most remaining dots first, first set wins ties)."""
-    sets = hits(dots, runs).groupBy("image_id", "cand_id").agg(F.collect_list("dot_id").alias("s"))
-    img = sets.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_id", "s"))), lambda v: v["s"]).alias("sets"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("rem"))
-    fold = """aggregate(sequence(1, size(sets)), named_struct('rem', rem, 'n', 0L), (acc, i) -> CASE WHEN size(acc.rem) = 0 THEN acc ELSE
-      named_struct('rem', array_except(acc.rem, element_at(sets, -array_max(transform(sets, (t, j) -> named_struct('g', size(array_intersect(t, acc.rem)), 'j', -(j+1)))).j)), 'n', acc.n + 1L) END).n"""
-    got = img.select("image_id", F.size("rem").cast("long").alias("pred_cover"), F.expr(fold).alias("pred_greedy"))
+    """Per image: gt, covered dots and the greedy set-cover count (most remaining dots first, first set wins ties).
+
+    An image's hits meet in one task: the work is as large as an image.
+    """
+
+    def cover(t: pa.Table) -> pa.Table:
+        cand, dot = t.column("cand_id").to_numpy(), t.column("dot_id").to_numpy()
+        return pa.table({"image_id": t.column("image_id")[:1], "pred_cover": pa.array([len(np.unique(dot))], pa.int64()), "pred_greedy": pa.array([greedy_cover(cand, dot)], pa.int64())})
+
+    got = hits(dots, runs).select("image_id", "cand_id", "dot_id").groupBy("image_id").applyInArrow(cover, "image_id long, pred_cover long, pred_greedy long")
     return dots.groupBy("image_id").agg(F.count("*").alias("gt")).join(got, "image_id", "left").fillna(0, ["pred_cover", "pred_greedy"])
 
 

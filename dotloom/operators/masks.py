@@ -1,5 +1,7 @@
 """Mask operators over run-length rows (image_id, <id>, y, xs, xe): areas, overlaps, matching, suppression."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,24 @@ def areas(runs: DataFrame, key: str, name: str) -> DataFrame:
     return runs.groupBy("image_id", key).agg(F.sum(F.col("xe") - F.col("xs")).alias(name))
 
 
+#: Columns of a tile.
+TILE = 64
+
+
+def tiled(runs: DataFrame, left: str = "xs", right: str = "xe", more: int = 0) -> DataFrame:
+    """``runs`` once for each tile of columns that they touch, ``more`` columns beyond both ends included; adds ``tile``."""
+    first, last = F.floor((F.col(left) - more) / TILE), F.floor((F.col(right) - 1 + more) / TILE)
+    return runs.where(F.col(left) < F.col(right)).withColumn("tile", F.explode(F.sequence(first, last)))
+
+
 def intersections(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Intersection area of each overlapping pair; meets on (image, row), then on overlapping runs."""
+    """Intersection area of each overlapping pair. Runs meet by row and tile of columns, so that a row of very many runs doesn't square; each tile counts its own part."""
     ids = [c for c in (*a.columns, *b.columns) if c.endswith("_id") and c != "image_id"]
-    r = b.withColumnsRenamed({"xs": "xs2", "xe": "xe2"})
-    hit = a.join(r, ["image_id", "y"]).where("xs < xe2 AND xs2 < xe")
-    return hit.groupBy("image_id", *ids).agg(F.sum(F.least("xe", "xe2") - F.greatest("xs", "xs2")).alias("inter"))
+    r = tiled(b.withColumnsRenamed({"xs": "xs2", "xe": "xe2"}), "xs2", "xe2")
+    start = F.col("tile") * TILE
+    part = F.least("xe", "xe2", start + TILE) - F.greatest("xs", "xs2", start)
+    hit = tiled(a).join(r, ["image_id", "y", "tile"]).withColumn("part", part).where("part > 0")
+    return hit.groupBy("image_id", *ids).agg(F.sum("part").alias("inter"))
 
 
 def mask_overlaps(a: DataFrame, b: DataFrame, akey: str, bkey: str) -> DataFrame:
@@ -46,14 +60,31 @@ def box_iou(a: str, b: str) -> Column:
     return F.try_divide(ix * iy, F.expr(f"{a}.w*{a}.h + {b}.w*{b}.h") - ix * iy)
 
 
+def near_boxes(cand: DataFrame, box: float) -> DataFrame:
+    """Pairs (image_id, cand_id, other_id), cand_id < other_id, of boxes (x1, y1, w, h) with an IoU above ``box``, which is above 0.
+
+    Such boxes differ in width and in height by the factor 1 / box at most, and in their place by 1 - box of the larger
+    side. So each box is laid on grids of the scales (powers of two) from its own to that of the largest partner; a pair
+    meets once, on the grid of the larger width and the larger height, in the same or a near cell.
+    """
+    scales, reach = max(1, math.ceil(math.log2(1 / box))), max(1, math.ceil(2 * (1 - box)))
+    bits = lambda x: (F.length(F.bin(F.col(x).cast("long"))) - 1).alias(f"{x}_bits")
+    c = cand.where("w > 0 AND h > 0").select("image_id", "cand_id", F.struct("x1", "y1", "w", "h").alias("b"), "x1", "y1", bits("w"), bits("h"))
+    steps = lambda n, a=0: F.sequence(F.lit(a), F.lit(n))
+    c = c.withColumn("i", F.explode(steps(scales))).withColumn("j", F.explode(steps(scales))).withColumns({"i": F.col("i") + F.col("w_bits"), "j": F.col("j") + F.col("h_bits")})
+    c = c.withColumns({"cx": F.floor(F.col("x1") / F.pow(F.lit(2.0), "i")), "cy": F.floor(F.col("y1") / F.pow(F.lit(2.0), "j"))})
+    home = c.select("image_id", "i", "j", "cx", "cy", F.col("cand_id").alias("other_id"), F.col("b").alias("o"), F.col("w_bits").alias("ow"), F.col("h_bits").alias("oh"))
+    seek = c.withColumn("dx", F.explode(steps(reach, -reach))).withColumn("dy", F.explode(steps(reach, -reach))).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+    met = seek.join(home, ["image_id", "i", "j", "cx", "cy"]).where((F.col("cand_id") < F.col("other_id")) & (F.col("i") == F.greatest("w_bits", "ow")) & (F.col("j") == F.greatest("h_bits", "oh")))
+    return met.where(box_iou("b", "o") > box).select("image_id", "cand_id", "other_id")
+
+
 def duplicates(cand: DataFrame, runs: DataFrame, box: float = 0.5, mask: float = 0.9) -> DataFrame:
     """Directed pairs (image_id, cand_id, other_id) with box IoU > ``box`` and mask IoU > ``mask``.
 
     Boxes come first and each pair once; masks meet for pairs of close boxes alone.
     """
-    c = cand.select("image_id", "cand_id", F.struct("x1", "y1", "w", "h").alias("a"))
-    o = cand.select("image_id", F.col("cand_id").alias("other_id"), F.struct("x1", "y1", "w", "h").alias("b"))
-    near = c.join(o, "image_id").where(F.col("cand_id") < F.col("other_id")).where(box_iou("a", "b") > box).select("image_id", "cand_id", "other_id")
+    near = near_boxes(cand, box)
     left = near.join(runs, ["image_id", "cand_id"])
     right = runs.select("image_id", F.col("cand_id").alias("other_id"), "y", F.col("xs").alias("xs2"), F.col("xe").alias("xe2"))
     hit = left.join(right, ["image_id", "other_id", "y"]).where("xs < xe2 AND xs2 < xe")
