@@ -51,7 +51,7 @@ def _pairs(spark, sf):
     inst = ok & F.expr("u.matched_instance_id = v.matched_instance_id")
     return p.select(
         "image_id", "i", "j", dot(F.col("u.unit"), F.col("v.unit")).alias("cosine"), F.expr("n/(u.a+v.a-n) AS mask_iou"), F.expr("n/u.a AS inside_i"), F.expr("n/v.a AS inside_j"), F.expr("v.a > u.a AS j_larger"), F.expr("u.a > v.a AS i_larger"),
-        ok.alias("ok"), (ok & F.expr("u.matched_class = v.matched_class")).alias("y_sem"), inst.alias("y_inst"), F.when(inst, F.expr("n/u.a*greatest(0,v.coverage-u.coverage)")).otherwise(0.0).alias("y_part"), F.expr("u.purity*u.valid AS wi"), F.expr("v.purity*v.valid AS wj"), F.expr("u.coverage AS ci"), F.expr("v.coverage AS cj"),
+        ok.alias("ok"), (ok & F.expr("u.matched_class = v.matched_class")).alias("y_sem"), inst.alias("y_inst"), F.when(inst, F.expr("n/u.a*greatest(0,v.coverage-u.coverage)")).otherwise(0.0).alias("y_part"), F.expr("u.purity*u.valid AS wi"), F.expr("v.purity*v.valid AS wj"), F.expr("u.coverage AS cov_i"), F.expr("v.coverage AS cov_j"),
     )
 
 
@@ -120,7 +120,7 @@ def semantic_ranking(spark, sf):
 def part_direction(spark, sf):
     """How often the part score names the part and the whole of a pair the right way round."""
     p = _pairs(spark, sf)
-    other = F.when(F.col("y_inst"), F.expr("inside_j*greatest(0,ci-cj)")).otherwise(0.0)
+    other = F.when(F.col("y_inst"), F.expr("inside_j*greatest(0,cov_i-cov_j)")).otherwise(0.0)
     both = p.select("i", "j", F.col("inside_i").alias("a_part"), "y_part").union(p.select("j", "i", "inside_j", other))
     return R.direction_accuracy(both).withColumn("accuracy", F.round("accuracy", 10))
 
@@ -129,7 +129,7 @@ def part_direction(spark, sf):
 def part_ranking(spark, sf):
     """The directed part score against the part-whole target."""
     p = _pairs(spark, sf)
-    return R.ranking(p.select(F.col("inside_i").alias("s"), F.expr("y_part > 0 AS t")).union(p.select("inside_j", F.expr("y_inst AND inside_j*greatest(0,ci-cj) > 0"))), "s", "t")
+    return R.ranking(p.select(F.col("inside_i").alias("s"), F.expr("y_part > 0 AS t")).union(p.select("inside_j", F.expr("y_inst AND inside_j*greatest(0,cov_i-cov_j) > 0"))), "s", "t")
 
 
 @_add("group_affinity", PAIRS + "y AS (SELECT 1) SELECT i, j, round(affinity,6) AS affinity FROM af")
