@@ -174,7 +174,9 @@ def _joined(groups: Groups, w: Weights) -> DataFrame:
     distances' sum ``away`` of both as one: a member's distance from the common mean differs from that from its own by the
     distance of both means at most, and a group's mean distance is no less than that of the means.
     """
-    s = groups.states.df.select("image_id", "group_id", F.struct(*STATE).alias("s"))
+    own = F.struct(*STATE)
+    s = groups.states.df.withColumns({"centre": _centre(own), "cost": _plain_cost(own, w) + F.col("away") / F.col("n")})
+    s = s.select("image_id", "group_id", F.struct(*STATE, "centre", "cost").alias("s"))
     side = lambda x: s.select("image_id", F.col("group_id").alias(x), F.col("s").alias(f"s{x}"))
     d = groups.between.df.join(side("a"), ["image_id", "a"]).join(side("b"), ["image_id", "b"])
     x, y = F.col("sa"), F.col("sb")
@@ -183,13 +185,12 @@ def _joined(groups: Groups, w: Weights) -> DataFrame:
         (x["loose"] + y["loose"] + F.col("loose")).alias("loose"), (x["pairs"] + y["pairs"] + F.col("pairs")).alias("pairs"),
     )
     d = d.withColumn("s", both).withColumn("centre", _centre(F.col("s")))
-    move = lambda t: _distance(_centre(t), F.col("centre"))
+    move = lambda t: _distance(t["centre"], F.col("centre"))
     d = d.withColumns({"ma": move(x), "mb": move(y)})
     low = lambda t, m: F.greatest(t["away"] - t["n"] * m, t["n"] * m)
     high = lambda t, m: t["away"] + t["n"] * m
-    apart = _plain_cost(x, w) + x["away"] / x["n"] + _plain_cost(y, w) + y["away"] / y["n"]
     return d.select(
-        "image_id", "a", "b", F.col("s.n").alias("n"), "centre", _plain_cost(F.col("s"), w).alias("plain"), apart.alias("before"),
+        "image_id", "a", "b", F.col("s.n").alias("n"), "centre", _plain_cost(F.col("s"), w).alias("plain"), (x["cost"] + y["cost"]).alias("before"),
         (low(x, F.col("ma")) + low(y, F.col("mb"))).alias("low"), (high(x, F.col("ma")) + high(y, F.col("mb"))).alias("high"),
     )
 
