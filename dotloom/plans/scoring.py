@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dotloom.operators import geometry as G
 from dotloom.operators import masks as M
 from dotloom.operators import scoring as V
+from dotloom.operators import vocabulary as B
 from dotloom.plans.registry import MATCH, match_candidates
 from dotloom.sources import derived as S
 
@@ -182,3 +183,33 @@ SELECT layer, a.k*48+b.k AS point_id, round((b.k+0.5)*8/384,6) AS x, round((a.k+
 def seed_points(spark, sf):
     """Cell centres at a spacing of 8 of 384 pixels, for the whole image and one crop layer."""
     return G.seed_grid(spark, 8, 384, 1).select("layer", "point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+#: Every fifth vector is a class of its own, so that classes grow with the table; the others are scored, each true to the class before it.
+OPEN = """WITH e AS (SELECT vec_id AS cand_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
+cl AS (SELECT cand_id AS class_idx, z AS mu, sqrt(list_inner_product(z, z)) AS nm FROM e WHERE cand_id%5=0),
+sc AS (SELECT cand_id, cand_id-cand_id%5 AS target, class_idx, {A}*(list_inner_product(z, mu)/(nm*sqrt(list_inner_product(z, z)))/0.07)+(1-{A})*CASE WHEN class_idx%3<>0 THEN 8*list_inner_product(z, mu)-0.1*(class_idx%3) ELSE 0 END AS x FROM e, cl WHERE cand_id%5<>0),
+ow AS (SELECT cand_id, x AS own FROM sc WHERE class_idx=target), mx AS (SELECT cand_id, max(x) AS top FROM sc GROUP BY 1),
+""".replace("{A}", ALPHA)
+
+
+def _open(spark, sf):
+    e = _vectors(spark, sf)
+    means = e.where("cand_id % 5 = 0").select(F.col("cand_id").alias("class_idx"), F.col("z").alias("mu"), V.normalised(F.col("z")).alias("unit"))
+    linear = means.where("class_idx % 3 <> 0").select("class_idx", F.transform("mu", lambda x: x * 8).alias("w"), F.expr("-0.1D*(class_idx%3)").alias("b"))
+    vectors = e.where("cand_id % 5 <> 0").select("cand_id", "z", F.expr("cand_id - cand_id % 5").alias("target"))
+    return B.vocabulary_scores(vectors, means, linear, "hybrid", "target", raw_alpha=0.4)
+
+
+@_add("vocabulary_losses", OPEN + """lo AS (SELECT cand_id, any_value(own) AS own, any_value(top) + ln(sum(exp(x-top))) AS lse, count(*) AS n, sum(x) AS s, count(*) FILTER (WHERE x>own) AS rank FROM sc JOIN mx USING (cand_id) LEFT JOIN ow USING (cand_id) GROUP BY 1)
+SELECT cand_id, CASE WHEN own IS NOT NULL THEN rank END AS rank, n AS n_classes, round(lse,4) AS log_sum, round((lse-own)*0.9+(lse-s/n)*0.1,4) AS loss FROM lo""")
+def vocabulary_losses(spark, sf):
+    """Rank of the true class and smoothed loss over a vocabulary of any size."""
+    d = B.vocabulary_loss(_open(spark, sf), "target", smoothing=0.1)
+    return d.select("cand_id", "rank", "n_classes", F.round("log_sum", 4).alias("log_sum"), F.round("loss", 4).alias("loss"))
+
+
+@_add("vocabulary_top5", OPEN + "y AS (SELECT cand_id, class_idx, x, row_number() OVER (PARTITION BY cand_id ORDER BY x DESC, class_idx)-1 AS rank FROM sc) SELECT cand_id, rank, class_idx, round(x,4) AS score FROM y WHERE rank<5")
+def vocabulary_top5(spark, sf):
+    d = _open(spark, sf).select("cand_id", F.posexplode("top").alias("rank", "t"))
+    return d.select("cand_id", F.col("rank").cast("long").alias("rank"), "t.class_idx", F.round("t.score", 4).alias("score"))
