@@ -12,6 +12,8 @@ from dotloom.plans.registry import BIN, MATCH, ORACLE, _inputs, count_oracle_row
 from dotloom.plans.scoring import BASE, _linear, _means, _scored, _vectors
 from dotloom.sources import cache as C
 from dotloom.sources import derived as S
+from dotloom.sources.store import scratch
+from dotloom.streaming.recall import follow_recall, latest_recall
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -204,3 +206,15 @@ def mask_average_precision(spark, sf):
 def detection_errors(spark, sf):
     rows, truths = _detections(spark, sf, True)
     return E.error_rates(rows, truths, match_candidates(spark, sf).where("label_type = 'part'"))
+
+
+@_add("streamed_recall", S.SQL + f"per AS (SELECT image_id, count(*) AS dots, {_cov()} AS cov FROM dot d GROUP BY 1) SELECT image_id, dots, CAST(cov AS BIGINT) AS cov FROM per")
+def streamed_recall(spark, sf):
+    """Candidates and dots arrive in three parts; the query is started anew for each and goes on with its states."""
+    _, runs, dots = _inputs(spark, sf)
+    at = scratch(spark, "stream")
+    for part in range(3):
+        for name, d, key in (("runs", runs, "cand_id"), ("dots", dots, "dot_id")):
+            d.where(F.pmod(F.xxhash64(key), F.lit(3)) == part).write.mode("append").parquet(f"{at}/{name}")
+        follow_recall(*[spark.readStream.schema(d.schema).parquet(f"{at}/{name}") for name, d in (("dots", dots), ("runs", runs))], f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return latest_recall(spark, f"{at}/out")
