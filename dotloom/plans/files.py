@@ -7,6 +7,7 @@ from dotloom.plans.registry import _inputs
 from dotloom.sources import annotations as A
 from dotloom.sources import cache as C
 from dotloom.sources import derived as S
+from dotloom.sources.image_cache import read_images, write_images
 from dotloom.sources.store import scratch
 
 QUERIES: dict = {}
@@ -99,3 +100,13 @@ def dot_sets(spark, sf):
     h = D.hits(dots, runs).groupBy("image_id").agg(*[F.collect_set(F.when(F.col("cand_id") % 2 == k, F.col("dot_id"))).alias(n) for k, n in ((0, "a"), (1, "b"))])
     size = lambda c: F.size(c).cast("long")
     return h.select("image_id", size(F.array_union("a", "b")).alias("in_either"), size(F.array_intersect("a", "b")).alias("in_both"), size(F.array_except("a", "b")).alias("only_even"))
+
+
+@_add("image_cache", S.SQL + "y AS (SELECT 1) SELECT image_id, cand_id, score, x1, y1, w, h, CASE WHEN image_id%3=0 THEN 1 ELSE 2 END AS written FROM cand")
+def image_cache(spark, sf):
+    """A first write of some images, then one of all: those that are there keep their files."""
+    d, at = S.candidates(spark, sf).select("image_id", "cand_id", "score", "x1", "y1", "w", "h"), scratch(spark, "images")
+    write_images(d.where("image_id % 3 = 0").withColumn("written", F.lit(1)), at)
+    whole = d.withColumn("written", F.lit(2))
+    write_images(whole, at)
+    return read_images(spark, at, whole.schema)
