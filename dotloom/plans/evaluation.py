@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dotloom.functions import tables
 from dotloom.functions.scalars import cache_name, stem
 from dotloom.operators import detection as E
 from dotloom.operators import dots as D
@@ -143,6 +144,18 @@ def rle_roundtrip(spark, sf):
     return got.groupBy("cand_id").agg(F.sum(F.col("xe") - F.col("xs")).alias("area"), F.min("xs").alias("x1"), F.min("y").alias("y1"), F.max("xe").alias("x2"), (F.max("y") + 1).alias("y2"), F.expr(f"sum({one}) AS moment"))
 
 
+@_add("mask_runs_sql", S.SQL + """px AS (SELECT DISTINCT image_id, cand_id, y, unnest(generate_series(xs, xe-1)) AS x FROM cand_run), f AS (SELECT * FROM px WHERE x<64 AND y<64)
+SELECT image_id, y, count(DISTINCT cand_id) AS masks, count(*) AS pixels, min(x) AS first_x, max(x)+1 AS end_x FROM f GROUP BY 1,2""")
+def mask_runs_sql(spark, sf):
+    """Compressed masks read by the table function: pixels of each row of an image."""
+    c, runs, _ = _inputs(spark, sf)
+    tables.register(spark)
+    sizes = c.select("image_id").distinct().select("image_id", F.lit(S.SIDE).alias("height"), F.lit(S.SIDE).alias("width"))
+    masks = rle.encode(runs, sizes, "image_id", "cand_id")
+    sql = "SELECT image_id, y, count(DISTINCT cand_id) AS masks, sum(xe - xs) AS pixels, min(xs) AS first_x, max(xe) AS end_x FROM mask_runs(TABLE({masks})) GROUP BY image_id, y"
+    return spark.sql(sql, masks=masks)
+
+
 @_add("cache_entries", BASE + "y AS (SELECT m.image_id, lpad(CAST(m.image_id AS VARCHAR), 12, '0') AS name, count(*) AS n, list(greatest(m.matched_class, 0) ORDER BY m.cand_id) AS matched_class, list(m.valid ORDER BY m.cand_id) AS valid, list(m.purity ORDER BY m.cand_id) AS purity FROM m GROUP BY 1) SELECT image_id, name, n, CAST(matched_class AS VARCHAR) AS matched_class, CAST(valid AS VARCHAR) AS valid, CAST(sum_ AS DOUBLE) AS purity FROM (SELECT *, round(list_sum(purity), 4) AS sum_ FROM y)")
 def cache_entries(spark, sf):
     """One entry an image, its candidates' fields as arrays in the order of their ids."""
