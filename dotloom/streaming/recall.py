@@ -1,11 +1,11 @@
 """Dot recall kept up to date while candidates and dots arrive: keyed state, bounded by the image."""
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -18,53 +18,104 @@ BAND = 16
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(starts, kind="stable")
+    starts, far = starts[order], np.maximum.accumulate(ends[order])
+    head = np.ones(len(starts), bool)
+    head[1:] = starts[1:] > far[:-1]
+    return starts[head], far[np.append(head[1:], True)[: len(far)]]
+
+
+def _held(at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return at < np.append(ends, np.iinfo(np.int64).min)[np.searchsorted(starts, at, "right") - 1]
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint runs of the union, in their order; runs that touch become one, empty ones go."""
-    out: list[tuple[int, int]] = []
-    for xs, xe in sorted(s for s in spans if s[0] < s[1]):
-        if out and xs <= out[-1][1]:
-            out[-1] = (out[-1][0], max(xe, out[-1][1]))
-        else:
-            out.append((xs, xe))
-    return out
+    some = np.array([s for s in spans if s[0] < s[1]], np.int64).reshape(-1, 2)
+    return list(zip(*(v.tolist() for v in _merged(some[:, 0], some[:, 1])), strict=True))
 
 
 def uncovered(xs: list[int], spans: list[tuple[int, int]]) -> list[int]:
     """The positions that none of the disjoint runs holds."""
-    starts = [s for s, _ in spans]
-    return [x for x in xs if (k := bisect_right(starts, x)) == 0 or x >= spans[k - 1][1]]
+    starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
+    at = np.array(xs, np.int64)
+    return at[~_held(at, starts, ends)].tolist()
+
+
+def settled(cells: np.ndarray) -> tuple[np.ndarray, int]:
+    """The cells of a band with disjoint runs and each place's open dots once, and the number of dots that were covered.
+
+    ``cells`` has the rows y, xs, xe and times: a run with times 0, or so many dots at xs. Places are ranked, so that all
+    rows of pixels lie behind each other on one line whatever their numbers are.
+    """
+    y, xs, xe, times = cells
+    low, places = y.min(initial=0), np.unique(np.concatenate([xs, xe]))
+    base, dot = (y - low) * len(places), times > 0
+    s, e = base + np.searchsorted(places, xs), base + np.searchsorted(places, xe)
+    starts, ends = _merged(s[~dot], e[~dot])
+    left = ~_held(s[dot], starts, ends)
+    at, group = np.unique(s[dot][left], return_inverse=True)
+    number = np.zeros(len(at), np.int64)
+    np.add.at(number, group, times[dot][left])
+    starts, ends, number = np.concatenate([starts, at]), np.concatenate([ends, at]), np.concatenate([np.zeros(len(starts), np.int64), number])
+    n = max(len(places), 1)
+    return np.array([starts // n + low, places[starts % n], places[ends % n], number]), int(times.sum() - number.sum())
+
+
+def _cells(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(4, -1)
+
+
+#: What ``combined`` makes of dots and runs: a band's dots, those of them that are covered, and ``settled`` cells.
+BANDS = "image long, known boolean, band long, dots long, cov long, cells binary"
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (image, known, band, kind, y, xs, xe) of a batch as one row for each band."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        image, band, y, xs, xe = (b.column(c).to_numpy() for c in ("image", "band", "y", "xs", "xe"))
+        known, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("known", "kind"))
+        run, lost = kind == "run", kind == "lost"
+        cells = np.array([y, xs, np.where(run, xe, xs), ~run], np.int64)
+        order = np.lexsort((band, image, known))
+        keys = np.array([image, known, band], np.int64)[:, order]
+        first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+        dots, cov, packed = [], [], []
+        for rows in np.split(order, first[1:]):
+            some, covered = settled(cells[:, rows[~lost[rows]]])
+            dots.append(int((~run[rows]).sum()))
+            cov.append(covered)
+            packed.append(some.tobytes())
+        image, known, band = keys[:, first]
+        yield pa.RecordBatch.from_arrays([pa.array(image), pa.array(known > 0), pa.array(band), pa.array(dots, pa.int64()), pa.array(cov, pa.int64()), pa.array(packed, pa.binary())], names=["image", "known", "band", "dots", "cov", "cells"])
 
 
 class Cover(StatefulProcessor):
-    """The state of a band of an image: by row of pixels the disjoint runs of all masks so far and the dots that none holds, and both counts.
+    """The state of a band of an image: the disjoint runs of all masks so far and the dots that none holds, and both counts.
 
-    A batch reads and writes the rows that it touches only. Runs grow to at most half the width a row, however many
-    candidates come; dots leave the state once they are covered.
+    A batch reads and writes the state of a band once, however many rows of pixels it touches. Runs grow to at most half
+    the width a row, however many candidates come; dots at one place are one entry and leave the state once covered.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "y long", "starts array<long>, ends array<long>, open array<long>")
-        self.counts = handle.getValueState("counts", "dots long, cov long")
+        self.state = handle.getValueState("band", "dots long, cov long, cells binary")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         image, known, band = key
-        old = tuple(int(v) for v in self.counts.get()) if self.counts.exists() else (0, 0)
-        dots, cov = old
-        for batch in rows:
-            dots += int((batch["kind"] != "run").sum())
-            for y, part in batch[batch["kind"] != "lost"].groupby("y"):
-                at, runs = (int(y),), part[part["kind"] == "run"]
-                spans, open_dots = [], part.loc[part["kind"] == "dot", "xs"].tolist()
-                if self.rows.containsKey(at):
-                    starts, ends, before = self.rows.getValue(at)
-                    spans, open_dots = list(zip(starts, ends, strict=True)), [*before, *open_dots]
-                spans = merged_spans([*spans, *zip(runs["xs"].tolist(), runs["xe"].tolist(), strict=True)])
-                left = uncovered(open_dots, spans)
-                cov += len(open_dots) - len(left)
-                self.rows.updateValue(at, ([int(s) for s, _ in spans], [int(e) for _, e in spans], [int(x) for x in left]))
-        self.counts.update((dots, cov))
-        if (dots, cov) != old:
-            yield pd.DataFrame({"image_id": pd.Series([image if known else None], dtype="Int64"), "band": [band], "dots": [dots], "cov": [cov]})
+        old = self.state.get()
+        dots, cov, packed = (0, 0, b"") if old is None else old
+        before, parts = (dots, cov), [_cells(packed)]
+        for r in rows:
+            dots, cov = dots + r.dots, cov + r.cov
+            parts.append(_cells(r.cells))
+        cells, covered = settled(np.concatenate(parts, axis=1))
+        cov += covered
+        self.state.update((dots, cov, cells.tobytes()))
+        if (dots, cov) != before:
+            yield Row(image_id=image if known else None, band=band, dots=dots, cov=cov)
 
     def close(self) -> None:
         pass
@@ -81,10 +132,11 @@ def recall_updates(dots: DataFrame, runs: DataFrame, radius: int = 0) -> DataFra
     placed = F.col("image_id").isNotNull() & F.col("yi").isNotNull() & F.col("xi").isNotNull()
     d = dots.select("image_id", F.when(placed, "dot").otherwise("lost").alias("kind"), zero("yi").alias("y"), zero("xi").alias("xs"), F.lit(0).cast("long").alias("xe"))
     r = M.dilated(runs, radius).where("image_id IS NOT NULL AND xs < xe AND y IS NOT NULL").select("image_id", F.lit("run").alias("kind"), zero("y").alias("y"), zero("xs").alias("xs"), zero("xe").alias("xe"))
-    # A null in a column makes its whole Arrow batch floating, and such keys find no state: none is left.
+    # Nulls would make Arrow columns floating and keys that find no state: none is left.
     known = F.col("image_id").isNotNull()
     rows = d.union(r).select(zero("image_id").alias("image"), known.alias("known"), F.floor(F.col("y") / BAND).alias("band"), "kind", "y", "xs", "xe")
-    return rows.groupBy("image", "known", "band").transformWithStateInPandas(Cover(), "image_id long, band long, dots long, cov long", "Update", "None")
+    bands = rows.mapInArrow(combined, BANDS)
+    return bands.groupBy("image", "known", "band").transformWithState(Cover(), "image_id long, band long, dots long, cov long", "Update", "None")
 
 
 def follow_recall(dots: DataFrame, runs: DataFrame, target: str, checkpoint: str, radius: int = 0) -> StreamingQuery:
