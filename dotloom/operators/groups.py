@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotloom.sources.store import Kept, kept
+from dotloom.functions.scalars import bound
+from dotloom.sources.store import Kept, kept, scratch
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -121,25 +122,32 @@ def _plain_cost(s: Column, w: Weights) -> Column:
     return t["entropy"] + t["inconsistency"] + t["noise"] + w.complexity
 
 
+def _met(members: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
+    """(image_id, a, b, loose, pairs) of the pairs inside a group (a = b) and between two."""
+    g = lambda c, x: members.select(F.col("cand_id").alias(c), F.col("group_id").alias(x), *(["image_id"] if c == "i" else []))
+    met = pairs.select("i", "j", "affinity").join(g("i", "gi"), "i").join(g("j", "gj"), "j")
+    return met.groupBy("image_id", F.least("gi", "gj").alias("a"), F.greatest("gi", "gj").alias("b")).agg(F.sum(-F.log(F.col("affinity") + weights.eps)).alias("loose"), F.count("*").alias("pairs"))
+
+
 def grouped(members: DataFrame, features: DataFrame, pairs: DataFrame, weights: Weights) -> Groups:
     """Groups of ``members`` (image_id, group_id, cand_id), ``features`` (cand_id, p, z, valid) and ``pairs`` (i, j, affinity)."""
     own = kept(members.select("image_id", "cand_id", "group_id"), "members")
     unsure = (F.coalesce(F.col("valid"), F.lit(0)) <= 0) | (F.array_max("p") < weights.noise_below)
     m = own.df.join(features.select("cand_id", "z", F.concat("p", "z").alias("v"), F.size("p").alias("classes"), unsure.cast("long").alias("noisy")), "cand_id")
     m = kept(m, "features")
-    sums = m.df.select(*KEY, F.posexplode("v").alias("k", "v")).groupBy(*KEY, "k").agg(F.sum("v").alias("v"))
-    sums = sums.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("sums"))
-    n = m.df.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("noisy").alias("noisy"), F.max("classes").alias("classes")).join(sums, KEY)
+    # A sum for each place: no row for each value is exchanged.
+    width = m.df.agg(F.max(F.size("v"))).first()[0] or 0
+    sums = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(width)]).cast("array<double>")
+    n = m.df.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("noisy").alias("noisy"), F.max("classes").alias("classes"), F.slice(sums, F.lit(1), F.max(F.size("v"))).alias("sums")).where("sums IS NOT NULL")
+    sizes = kept(n, "sizes")
+    n = sizes.df
     centre = n.select(*KEY, _centre(F.struct("n", "sums", "classes")).alias("c"))
     away = m.df.join(centre, KEY).groupBy(*KEY).agg(F.sum(_distance(F.col("z"), F.col("c"))).alias("away"))
-    g = lambda c, x: own.df.select(F.col("cand_id").alias(c), F.col("group_id").alias(x), *(["image_id"] if c == "i" else []))
-    met = pairs.select("i", "j", "affinity").join(g("i", "gi"), "i").join(g("j", "gj"), "j")
-    met = met.groupBy("image_id", F.least("gi", "gj").alias("a"), F.greatest("gi", "gj").alias("b")).agg(F.sum(-F.log(F.col("affinity") + weights.eps)).alias("loose"), F.count("*").alias("pairs"))
-    met = kept(met, "met")
+    met = kept(_met(own.df, pairs, weights), "met")
     inside = met.df.where("a = b").select("image_id", F.col("a").alias("group_id"), "loose", "pairs")
     states = n.join(away, KEY).join(inside, KEY, "left").select(*KEY, "n", "noisy", "classes", "sums", F.coalesce("loose", F.lit(0.0)).alias("loose"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "away")
     out = Groups(own, kept(states, "states"), kept(met.df.where("a < b"), "between"))
-    for t in (m, met):
+    for t in (m, sizes, met):
         t.drop()
     return out
 
@@ -184,15 +192,18 @@ def _joined(groups: Groups, w: Weights) -> DataFrame:
         (x["n"] + y["n"]).alias("n"), (x["noisy"] + y["noisy"]).alias("noisy"), x["classes"].alias("classes"), F.zip_with(x["sums"], y["sums"], lambda u, v: u + v).alias("sums"),
         (x["loose"] + y["loose"] + F.col("loose")).alias("loose"), (x["pairs"] + y["pairs"] + F.col("pairs")).alias("pairs"),
     )
-    d = d.withColumn("s", both).withColumn("centre", _centre(F.col("s")))
-    move = lambda t: _distance(t["centre"], F.col("centre"))
-    d = d.withColumns({"ma": move(x), "mb": move(y)})
     low = lambda t, m: F.greatest(t["away"] - t["n"] * m, t["n"] * m)
     high = lambda t, m: t["away"] + t["n"] * m
-    return d.select(
-        "image_id", "a", "b", F.col("s.n").alias("n"), "centre", _plain_cost(F.col("s"), w).alias("plain"), (x["cost"] + y["cost"]).alias("before"),
-        (low(x, F.col("ma")) + low(y, F.col("mb"))).alias("low"), (high(x, F.col("ma")) + high(y, F.col("mb"))).alias("high"),
-    )
+
+    def of(s, centre, m):
+        return F.struct(
+            s["n"].alias("n"), centre.alias("centre"), _plain_cost(s, w).alias("plain"), (x["cost"] + y["cost"]).alias("before"), (low(x, m["a"]) + low(y, m["b"])).alias("low"), (high(x, m["a"]) + high(y, m["b"])).alias("high")
+        )
+
+    # Sums, means and their distances are computed once a pair: as columns they would be written out again wherever they are used.
+    moves = lambda c: F.struct(_distance(x["centre"], c).alias("a"), _distance(y["centre"], c).alias("b"))
+    r = bound(both, lambda s: bound(_centre(s), lambda c: bound(moves(c), lambda m: of(s, c, m))))
+    return d.select("image_id", "a", "b", r.alias("r")).select("image_id", "a", "b", "r.*")
 
 
 def _ends(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -236,20 +247,22 @@ def _mutual(gains: DataFrame, least: float) -> DataFrame:
 
 
 def _after(groups: Groups, chosen: DataFrame) -> Groups:
-    """The groups after the chosen pairs (image_id, a, b, away) became one each, under the lower id."""
+    """The groups of the images that have chosen pairs (image_id, a, b, away), after these became one each, under the lower id."""
+    images = chosen.select("image_id").distinct()
+    of = lambda t: t.df.join(images, "image_id", "left_semi")
     gone = chosen.select("image_id", F.col("b").alias("group_id"), F.col("a").alias("into"))
     new = lambda d, key: d.join(gone.withColumnRenamed("group_id", key), ["image_id", key], "left").withColumn(key, F.coalesce("into", key)).drop("into")
-    between = new(new(groups.between.df, "a"), "b")
+    between = new(new(of(groups.between), "a"), "b")
     between = between.groupBy("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("loose").alias("loose"), F.sum("pairs").alias("pairs"))
     inner = chosen.select("image_id", "a", "b", F.col("away").alias("common")).join(groups.between.df, ["image_id", "a", "b"]).select("image_id", F.col("a").alias("group_id"), "common", F.col("loose").alias("more"), F.col("pairs").alias("met"))
-    states = new(groups.states.df, "group_id").groupBy(*KEY).agg(
+    states = new(of(groups.states), "group_id").groupBy(*KEY).agg(
         F.sum("n").alias("n"), F.sum("noisy").alias("noisy"), F.max("classes").alias("classes"), F.collect_list("sums").alias("all"), F.sum("loose").alias("loose"), F.sum("pairs").alias("pairs"), F.sum("away").alias("away"),
     )
     sums = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.zip_with(F.col("all")[0], F.try_element_at("all", F.lit(2)), lambda u, v: u + v))
     states = states.join(inner, KEY, "left").select(
         *KEY, "n", "noisy", "classes", sums.alias("sums"), (F.col("loose") + F.coalesce("more", F.lit(0.0))).alias("loose"), (F.col("pairs") + F.coalesce("met", F.lit(0))).alias("pairs"), F.coalesce("common", "away").alias("away"),
     )
-    members = new(groups.members.df, "group_id").select("image_id", "cand_id", "group_id")
+    members = new(of(groups.members), "group_id").select("image_id", "cand_id", "group_id")
     out = Groups(kept(members, "members"), kept(states, "states"), kept(between.where("a < b"), "between"))
     groups.drop()
     return out
@@ -263,18 +276,30 @@ def merged(members: DataFrame, gains: DataFrame, least: float = 1e-9) -> DataFra
 
 def split(members: DataFrame, features: DataFrame, pairs: DataFrame, least: float, most_entropy: float = 1.0, most_inconsistency: float = 1.0, **weights: float) -> DataFrame:
     """Groups of high entropy or inconsistency fall into their components at the higher affinity ``least``, where that lowers the total cost."""
-    old = costs(members, features, pairs, **weights)
-    bad = old.where((F.col("entropy") > most_entropy) | (F.col("inconsistency") > most_inconsistency)).select("image_id", "group_id", "cost")
-    inside = members.join(bad.select("image_id", "group_id"), ["image_id", "group_id"], "left_semi")
-    g = lambda c: inside.select("image_id", "group_id", F.col("cand_id").alias(c))
-    own = g("i").join(pairs.select("i", "j", "affinity"), "i").join(g("j"), ["image_id", "group_id", "j"])
-    parts = components(inside.select("image_id", "cand_id"), first_neighbours(own.select("image_id", "i", "j", "affinity"), "affinity", least))
-    new = costs(parts, features, pairs, **weights).select("image_id", F.col("group_id").alias("part"), F.col("cost").alias("part_cost"))
-    of = parts.select("image_id", "cand_id", F.col("group_id").alias("part")).join(inside, ["image_id", "cand_id"])
-    sums = of.select("image_id", "group_id", "part").distinct().join(new, ["image_id", "part"]).groupBy("image_id", "group_id").agg(F.sum("part_cost").alias("after"))
-    better = bad.join(sums, ["image_id", "group_id"]).where("after < cost").select("image_id", "group_id", F.lit(True).alias("better"))
-    moved = of.join(better, ["image_id", "group_id"]).select("image_id", "cand_id", "part")
-    return members.join(moved, ["image_id", "cand_id"], "left").select("image_id", "cand_id", F.coalesce("part", "group_id").alias("group_id"))
+    return _divided(members, features, pairs, Weights(**weights), least, most_entropy, most_inconsistency).members.df
+
+
+def _divided(members: DataFrame, features: DataFrame, pairs: DataFrame, w: Weights, least: float, most_entropy: float = 1.0, most_inconsistency: float = 1.0) -> Groups:
+    """``split``, with the states: each group's is computed once, that of a part where its group is bad."""
+    whole = grouped(members, features, pairs, w)
+    c = state_costs(whole.states.df, w)
+    bad = kept(c.where((F.col("entropy") > most_entropy) | (F.col("inconsistency") > most_inconsistency)).select(*KEY, "cost"), "bad")
+    inside = kept(whole.members.df.join(bad.df.select(*KEY), KEY, "left_semi"), "inside")
+    g = lambda c: inside.df.select(*KEY, F.col("cand_id").alias(c))
+    own = kept(g("i").join(pairs.select("i", "j", "affinity"), "i").join(g("j"), [*KEY, "j"]).select("image_id", "i", "j", "affinity"), "own")
+    parts = grouped(components(inside.df.select("image_id", "cand_id"), first_neighbours(own.df, "affinity", least)), features, own.df, w)
+    cost = state_costs(parts.states.df, w).select("image_id", F.col("group_id").alias("part"), F.col("cost").alias("part_cost"))
+    of = parts.members.df.select("image_id", "cand_id", F.col("group_id").alias("part")).join(inside.df, ["image_id", "cand_id"])
+    sums = of.select(*KEY, "part").distinct().join(cost, ["image_id", "part"]).groupBy(*KEY).agg(F.sum("part_cost").alias("after"))
+    moved = kept(of.join(bad.df.join(sums, KEY).where("after < cost").select(*KEY), KEY), "moved")
+    now = whole.members.df.join(moved.df.select("image_id", "cand_id", "part"), ["image_id", "cand_id"], "left").select("image_id", "cand_id", F.coalesce("part", "group_id").alias("group_id"))
+    gone, new = moved.df.select(*KEY).distinct(), moved.df.select("image_id", F.col("part").alias("group_id")).distinct()
+    states = whole.states.df.join(gone, KEY, "left_anti").unionByName(parts.states.df.join(new, KEY, "left_semi"))
+    now = kept(now, "members")
+    out = Groups(now, kept(states, "states"), kept(_met(now.df, pairs, w).where("a < b"), "between"))
+    for t in (whole, parts, bad, inside, own, moved):
+        t.drop()
+    return out
 
 
 def isolated(members: DataFrame, features: DataFrame, confidence: float = 0.5) -> DataFrame:
@@ -288,18 +313,22 @@ def refined(members: DataFrame, features: DataFrame, pairs: DataFrame, split_lea
     """Splits groups (by the ``limits`` of ``split``), merges pairs of groups until none gains, then marks noise.
 
     A round merges all pairs that are each other's best; each merge lowers an image's number of groups, so the rounds end.
-    A round's tables replace those of the one before.
+    A round's tables replace those of the one before, and hold the images alone in which groups still merge.
     """
     w = Weights(**weights)
-    groups = grouped(split(members, features, pairs, split_least, **(limits or {}), **weights), features, pairs, w)
-    while True:
+    groups = _divided(members, features, pairs, w, split_least, **(limits or {}))
+    path, schema, ended = scratch(members.sparkSession, "refined"), groups.members.df.schema, False
+    while not ended:
         chosen = kept(_mutual(_gains(groups, features, w, least), least), "chosen")
-        done = chosen.df.isEmpty()
-        if not done:
+        # An image without a chosen pair has none in any later round.
+        groups.members.df.join(chosen.df.select("image_id").distinct(), "image_id", "left_anti").write.mode("append").parquet(path)
+        ended = chosen.df.isEmpty()
+        if ended:
+            groups.drop()
+        else:
             groups = _after(groups, chosen.df)
         chosen.drop()
-        if done:
-            return isolated(groups.members.df, features, confidence)
+    return isolated(members.sparkSession.read.schema(schema).parquet(path), features, confidence)
 
 
 # ---------------------------------------------------------------- counting

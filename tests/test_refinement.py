@@ -133,3 +133,22 @@ def test_no_candidates(spark):
     f = spark.createDataFrame([], "cand_id long, p array<double>, z array<double>, valid int")
     a = spark.createDataFrame([], "image_id long, i long, j long, affinity double")
     assert G.refined(m, f, a, 0.3).count() == 0
+
+
+def test_images_without_a_merge_leave_the_rounds(spark, monkeypatch):
+    # Image 1 merges two equal candidates, image 2 has none that gain, image 3 has a single.
+    m = spark.createDataFrame([(1, 10, 10), (1, 11, 11), (2, 20, 20), (2, 21, 21), (3, 30, 30)], "image_id long, cand_id long, group_id long")
+    p, q = [1.0, 0.0], [0.0, 1.0]
+    f = spark.createDataFrame([(10, p, p, 1), (11, p, p, 1), (20, p, p, 1), (21, q, q, 1), (30, p, p, 1)], "cand_id long, p array<double>, z array<double>, valid int")
+    a = spark.createDataFrame([(1, 10, 11, 0.9), (2, 20, 21, 1e-6)], "image_id long, i long, j long, affinity double")
+    rounds, after = [], G._after
+
+    def seen(groups, chosen):
+        out = after(groups, chosen)
+        rounds.append([sorted({r.image_id for r in t.df.collect()}) for t in (out.members, out.states, out.between)])
+        return out
+
+    monkeypatch.setattr(G, "_after", seen)
+    got = sorted(tuple(r)[:3] for r in G.refined(m, f, a, 0.5, **KW).collect())
+    assert got == [(1, 10, 10), (1, 11, 10), (2, 20, 20), (2, 21, 21), (3, 30, 30)]
+    assert rounds == [[[1], [1], []]]
