@@ -20,6 +20,8 @@ from dotloom.sources.store import kept, scratch
 MOST_BYTES = 64_000_000
 #: Candidates and classes of one matrix product.
 ROWS, COLUMNS = 256, 4096
+#: Pairs whose vectors are gathered at a time to be added up in order; equal classes may make all of a product such pairs.
+PAIRS = 8192
 KINDS = ("cosine", "linear", "margin", "hybrid")
 STATE = T.StructType([
     T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("best", T.ArrayType(T.DoubleType())), T.StructField("above", T.LongType()),
@@ -86,19 +88,24 @@ class Tile:
         scale = max(1 / self.t, 30.0) * size(u) + length * size(w) + np.abs(b).max(initial=0.0)
         return _head(self.kind, cos, closed, self.t, self.a), 8 * (z.shape[1] + 8) * np.finfo(float).eps * scale
 
-    def exact(self, z, n, at):
-        """Scores of candidates against one class each, added up in order."""
-        closed = np.where(self.known[at], _in_order(z, self.w[at]) + self.b[at], 0.0)
-        return _head(self.kind, _in_order(z, self.unit[at]) / n, closed, self.t, self.a)
+    def exact(self, z, n, rows, classes):
+        """Scores of pairs of a candidate and a class, added up in order, ``PAIRS`` at a time."""
+        out = np.empty(len(rows))
+        for s in range(0, len(rows), PAIRS):
+            r, at = rows[s : s + PAIRS], classes[s : s + PAIRS]
+            closed = np.where(self.known[at], _in_order(z[r], self.w[at]) + self.b[at], 0.0)
+            out[s : s + PAIRS] = _head(self.kind, _in_order(z[r], self.unit[at]) / n[r], closed, self.t, self.a)
+        return out
 
     def add(self, z, n, own, state):
         """Brings the states of candidates up to date; matrix products choose, scores near a border are added up in order."""
         for s in range(0, len(self.ids), COLUMNS):
             part = slice(s, s + COLUMNS)
             x, slack = self.fast(z, n, part)
-            scaled = x / self.loss_t
-            high = np.maximum(state["high"], scaled.max(1))
-            state["mass"] = state["mass"] * np.exp(state["high"] - high) + np.exp(scaled - high[:, None]).sum(1)
+            work = x / self.loss_t
+            high = np.maximum(state["high"], work.max(1))
+            work -= high[:, None]
+            state["mass"] = state["mass"] * np.exp(state["high"] - high) + np.exp(work, out=work).sum(1)
             state["high"] = high
             state["weight"] += self.weight[part].sum()
             state["weighted"] += x @ self.weight[part]
@@ -107,11 +114,13 @@ class Tile:
                 floor = np.maximum(floor, np.partition(x, x.shape[1] - self.k, axis=1)[:, x.shape[1] - self.k])
             with np.errstate(invalid="ignore"):
                 state["above"] += (x > (own + slack)[:, None]).sum(1)
-                close = np.abs(x - own[:, None]) <= slack[:, None]
+                np.subtract(x, own[:, None], out=work)
+                close = np.abs(work, out=work) <= slack[:, None]
             r, c = np.nonzero(close)
-            state["above"] += np.bincount(r[self.exact(z[r], n[r], c + s) > own[r]], minlength=len(z))
+            state["above"] += np.bincount(r[self.exact(z, n, r, c + s) > own[r]], minlength=len(z))
             r, c = np.nonzero(x >= (floor - 2 * slack)[:, None])
-            self.best(state, r, self.ids[c + s], self.exact(z[r], n[r], c + s))
+            del x, work, close
+            self.best(state, r, self.ids[c + s], self.exact(z, n, r, c + s))
 
     def best(self, state, r, ids, score):
         """The k best of those that a candidate has and the new ones, the lower id first among equals."""

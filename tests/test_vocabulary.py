@@ -1,14 +1,16 @@
 """Tiled scoring of large vocabularies against the scores held whole."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dotloom.functions.scalars import normalised
 from dotloom.operators import scoring as V
-from dotloom.operators.vocabulary import vocabulary_loss, vocabulary_scores
+from dotloom.operators.vocabulary import COLUMNS, ROWS, Tile, vocabulary_loss, vocabulary_scores
 
 
 def _tables(spark, classes=60, rows=40, width=6, seed=3):
@@ -83,3 +85,22 @@ def test_many_classes_in_tiles_of_a_bounded_size(spark):
         x = unit @ z / np.sqrt(z @ z) / 0.07
         assert abs(r["rank"] - (x > x[r.target]).sum()) <= 1
         assert r.top[0].score == pytest.approx(x.max(), rel=1e-12) and r.n_classes == n
+
+
+def test_equal_classes_take_bounded_memory():
+    # All classes are equal: each pair of a candidate and a class is close to the own score and one of the best.
+    width, k = 64, 5
+    vec = [1.0 / 8] * width
+    cols = {"class_idx": list(range(COLUMNS)), "unit": [vec] * COLUMNS, "w": [vec] * COLUMNS, "b": [0.0] * COLUMNS, "weight": [1.0] * COLUMNS}
+    tile = Tile(pa.table(cols), "hybrid", 0.07, 0.5, 1.0, k)
+    z, n = np.tile(np.array(vec), (ROWS, 1)), np.ones(ROWS)
+    zero = np.zeros(ROWS, np.int64)
+    own = tile.exact(z, n, np.arange(ROWS), zero)
+    state = {"above": zero.copy(), "high": np.full(ROWS, -np.inf), "mass": np.zeros(ROWS), "weight": np.zeros(ROWS), "weighted": np.zeros(ROWS)}
+    state |= {"ids": np.full((ROWS, k), 2**63 - 1), "best": np.full((ROWS, k), -np.inf)}
+    tracemalloc.start()
+    tile.add(z, n, own, state)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (state["above"] == 0).all() and (state["ids"] == np.arange(k)).all()
+    assert most < 200e6
